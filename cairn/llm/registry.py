@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op8_best_fit_packing
 from .quality import op10_quality_rules
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLES: dict[str, str] = {}
