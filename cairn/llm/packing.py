@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -142,7 +143,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(pdf: pd.DataFrame, p: Packing, level: int, last: bool) -> pd.DataFrame:
+def _packed(p: Packing, level: int, last: bool, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     lengths = pdf["length"].to_numpy()
     bins = best_fit(lengths, p.capacity)
@@ -168,7 +169,7 @@ def pack(items: DataFrame, p: Packing = Packing()) -> DataFrame:
     rest, level, done = items.withColumn("g", key), 0, []
     while True:
         schema = ", ".join(f"{c} {t}" for c, t in rest.dtypes) + ", sequence_id long, offset long"
-        at = common.stored(rest.groupBy("g").applyInPandas(lambda pdf, lv=level, end=groups == 1: _packed(pdf, p, lv, end), schema))
+        at = common.stored(rest.groupBy("g").applyInPandas(partial(_packed, p, level, groups == 1), schema))
         done.append(at.where("sequence_id >= 0").drop("g"))
         if groups == 1:
             break
