@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from .langid import op3_language_id
 from .packing import op8_best_fit_packing
 from .quality import op10_quality_rules
+from .secrets import op5_secret_scans
+from .secrets import oracle as secrets_sql
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op5_secret_scans": op5_secret_scans,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_secret_scans": secrets_sql(),
+}
