@@ -11,6 +11,7 @@ packed row by row; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -46,52 +47,45 @@ class Packing:
 class Encoder:
     """Ids of texts by a byte-level BPE tokenizer file, as little-endian uint32 bytes.
 
-    The merges work inside the pieces that the splitting pattern makes, so the ids of a piece are
-    remembered.  A text whose blanks are simple is split at its spaces, each of which belongs to what
-    follows; other texts are split by the pattern itself; texts with characters beyond Latin letters,
-    on which regex engines disagree, and those that spell a special token go to the tokenizer whole.
+    Where the file's merges are in the order of their ids, the ids are ranks, and a rank-based BPE
+    gives the same ids several times faster.  Texts with characters beyond Latin letters, on whose
+    classes regex engines may disagree, and those that spell a special token go to the tokenizer
+    that the file describes, as does everything if the file is of another kind.
     """
 
-    #: The pattern of the byte-level pre-tokenizer (fixed value), in terms of what `re` offers.
-    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    #: The pattern of the byte-level pre-tokenizer (fixed value).
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     ODD = re.compile(r"[^\t\n\r\x20-\x7e\xc0-ɏ]|<\|")
-    BLANKS = re.compile(r"\s ")
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.words, self.pieces = _Memo(self._word, remember), _Memo(self._piece, remember)
-
-    def _whole(self, s: str) -> bytes:
-        return np.array(self.tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-
-    _piece = _whole
-
-    def _word(self, s: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.SPLIT.findall(s)))
+        ranks = self._ranks(path)
+        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def _ranks(path: str) -> dict[bytes, int] | None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+            return None
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        ids = [model["vocab"][m] for m in merged]
+        if ids != sorted(ids):
+            return None
+        # printable bytes stand for themselves, the others for the code points from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        of = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(plain))}
+        return {bytes(of[c] for c in t): model["vocab"][t] for t in [*of, *merged]}
 
     def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self._whole(text)
-        if self.BLANKS.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.SPLIT.findall(text)))
-        first, *rest = text.split(" ")
-        return self._word(first) + b"".join(map(self.words.__getitem__, rest and (" " + "\0 ".join(rest)).split("\0")))
-
-
-class _Memo(dict):
-    """Remembers results until it is full; then it only serves what it has."""
-
-    def __init__(self, make, most: int):  # noqa: ANN001
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes:
-        made = self.make(key)
-        if len(self) < self.most:
-            self[key] = made
-        return made
+        if self.fast is None or self.ODD.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
