@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .langid import op3_language_id
+from .licenses import op2_license_scans
+from .licenses import oracle as licenses_sql
 from .packing import op8_best_fit_packing
 from .quality import op10_quality_rules
 from .secrets import op5_secret_scans
@@ -10,6 +12,7 @@ from .secrets import oracle as secrets_sql
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op2_license_scans": op2_license_scans,
     "op3_language_id": op3_language_id,
     "op5_secret_scans": op5_secret_scans,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -17,5 +20,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op2_license_scans": licenses_sql(),
     "op5_secret_scans": secrets_sql(),
 }
