@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_benchmark_decontamination
+from .decontaminate import oracle as decontaminate_sql
 from .langid import op3_language_id
 from .licenses import op2_license_scans
 from .licenses import oracle as licenses_sql
@@ -15,6 +17,7 @@ QUERIES = {
     "op2_license_scans": op2_license_scans,
     "op3_language_id": op3_language_id,
     "op5_secret_scans": op5_secret_scans,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
@@ -22,4 +25,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_license_scans": licenses_sql(),
     "op5_secret_scans": secrets_sql(),
+    "op7_benchmark_decontamination": decontaminate_sql(),
 }
