@@ -11,11 +11,13 @@ from .packing import op8_best_fit_packing
 from .quality import op10_quality_rules
 from .secrets import op5_secret_scans
 from .secrets import oracle as secrets_sql
+from .substrings import op4_substring_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_license_scans": op2_license_scans,
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
