@@ -69,7 +69,7 @@ def apply(docs: DataFrame, found: DataFrame, n_buckets: int, make: Callable[[byt
     counts) for the values of `fields`; the result has doc_id and these.  A bucket holds an even share
     of the documents, so a task's memory is the input over the number of buckets."""
     schema = pa.schema([("doc_id", pa.int64()), *fields])
-    kinds = {pa.int64(): "long", pa.string(): "string"}
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     ddl = "doc_id long, " + ", ".join(f"{n} {kinds[t]}" for n, t in fields)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

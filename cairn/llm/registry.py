@@ -12,6 +12,7 @@ from .quality import op10_quality_rules
 from .secrets import op5_secret_scans
 from .secrets import oracle as secrets_sql
 from .substrings import op4_substring_dedup
+from .suffixes import op6_suffix_array_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
