@@ -33,14 +33,17 @@ ENDS = (".", "!", "?", "\n")
 @dataclass(frozen=True)
 class Fit:
     """rows: labelled documents used at most (in expectation).  bits: log2 of the feature table.
-    least: documents that must hold a feature for it to get a weight."""
+    least, chi2: documents that must hold a feature, and how far its share of toxic ones must be from
+    the overall share, for it to get a weight; most words of a document say nothing about its label,
+    and weights for them would only remember the training rows."""
 
-    rows: int = 10_000
+    rows: int = 12_000
     bits: int = 20
     least: int = 4
-    steps: int = 250
-    rate: float = 0.3
-    l2: float = 2e-6
+    chi2: float = 20.0
+    steps: int = 600
+    rate: float = 1.0
+    l2: float = 1e-6
 
 
 class Words(dict):
@@ -80,7 +83,7 @@ class Model:
 
 def sentence_scores(f: np.ndarray, sent: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
     z = np.bincount(sent, w[f]) + bias if len(f) else np.empty(0)
-    return 1 / (1 + np.exp(-z))
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
 def noisy_or(p: np.ndarray) -> float:
@@ -113,16 +116,20 @@ def train(rows: Iterable[tuple[str | None, int]], fit: Fit = Fit()) -> Model:
     none = Model(fit.bits, np.empty(0, np.int64), np.empty(0, np.float32), -50.0)
     if len(set(y)) < 2:
         return none
-    seen, n_docs = np.unique(np.concatenate([np.unique(f) for f in feats]), return_counts=True)
-    index = seen[n_docs >= fit.least]
     f, sent, doc, y = np.concatenate(feats), np.concatenate(sents), np.concatenate(docs), np.array(y)
+    distinct = [np.unique(x) for x in feats]
+    seen, at, n_docs = np.unique(np.concatenate(distinct), return_inverse=True, return_counts=True)
+    n_toxic = np.bincount(at, np.repeat(y, [len(x) for x in distinct]), len(seen))
+    share, n = y.mean(), len(y)
+    apart = (n_toxic - share * n_docs) ** 2 / (share * (1 - share) * n_docs * np.maximum(1 - n_docs / n, 1 / n))
+    index = seen[(n_docs >= fit.least) & (apart >= fit.chi2)]
     at = np.minimum(np.searchsorted(index, f), max(0, len(index) - 1))
     known = index[at] == f if len(index) else np.zeros(len(f), bool)
     f, fs = at[known], sent[known]
     w, b, gw, gb = np.zeros(len(index)), -5.0, np.full(len(index), 1e-8), 1e-8
     for _ in range(fit.steps):
         z = np.bincount(fs, w[f], n_sent) + b
-        p = 1 / (1 + np.exp(-z))
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         s = np.bincount(doc, np.logaddexp(0, z), len(y))  # -log of the chance that no sentence is toxic
         blame = np.where(y == 1, -1 / np.expm1(np.maximum(s, 1e-9)), 1.0)
         dz = p * blame[doc] / len(y)
