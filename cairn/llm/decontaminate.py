@@ -1,7 +1,7 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 Postings of the training texts (term, document, place) are stored for every term that a test item
-holds.  A test phrase is looked up from its rarest terms: the postings of the rarest, shifted by its
+holds; terms are pairs of neighbouring words.  A test phrase is looked up from its rarest terms: the postings of the rarest, shifted by its
 offset in the phrase, give places where the phrase may start; the second rarest, shifted likewise,
 is intersected with them; what is left is checked against the postings of all other terms.  Only
 the postings of rare terms and the few survivors move.
@@ -52,39 +52,54 @@ def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """The stored postings: term, doc_id, h (a hash of the text, which tells rows of one id apart) and
     pos, for the given terms, and for _END with the number of words as pos.
 
-    Terms meet on their full lower case, which equal terms share, before A-Z alone is lowered."""
+    A term is a word, or two words with a blank between them, which stands where the first one does:
+    pairs of words are far rarer than words, so phrases are looked up by pairs.  Terms meet by a hash of
+    their full lower case, which equal terms share, before A-Z alone is lowered and compared."""
     parts = docs.select("doc_id", F.hash("text").alias("h"), split_words(F.coalesce("text", F.lit(""))).alias("parts"))
     flat = parts.select("doc_id", "h", leading(F.col("parts")).alias("lead"), count_words(F.col("parts")).cast("int").alias("n"), F.concat("parts", F.array(F.lit(_END))).alias("parts"))
-    words = flat.select("doc_id", "h", "lead", "n", F.posexplode("parts").alias("pos", "raw"))
-    known = terms.select(F.col("term"), F.lower("term").alias("low"))
-    ends = terms.sparkSession.createDataFrame([(_END, _END)], "term string, low string")
-    met = words.join(_sized(known.unionByName(ends), n_terms), (F.lower("raw") == F.col("low")) & (_lower(F.col("raw")) == F.col("term")))
-    pos = F.when(F.col("term") == _END, F.col("n")).otherwise(F.col("pos") - F.col("lead"))
-    return common.stored(met.select("term", "doc_id", "h", pos.cast("int").alias("pos")))
+    beside = F.arrays_zip(F.col("parts").alias("a"), F.slice("parts", F.lit(2), F.size("parts")).alias("b"))
+    words = flat.select("doc_id", "h", "lead", "n", F.posexplode(beside).alias("pos", "x")).select("doc_id", "h", "lead", "n", "pos", F.col("x.a").alias("a"), F.coalesce("x.b", F.lit("")).alias("b"))
+    known = terms.select("term", F.split("term", " ").alias("t")).select("term", F.get("t", F.lit(0)).alias("t1"), F.get("t", F.lit(1)).alias("t2"))
+    ends = terms.sparkSession.createDataFrame([(_END, _END, "")], "term string, t1 string, t2 string")
+    key = lambda *cols: F.xxhash64(*[F.lower(c) for c in cols])
+    pairs = known.where("t2 is not null").unionByName(ends).withColumn("key", key("t1", "t2"))
+    met = words.join(_sized(pairs, n_terms), (key("a", "b") == F.col("key")) & (_lower(F.col("a")) == F.col("t1")) & (_lower(F.col("b")) == F.col("t2")))
+    pos = F.when(F.col("term") == _END, F.col("n")).otherwise(F.col("pos") - F.col("lead")).cast("int").alias("pos")
+    out = met.select("term", "doc_id", "h", pos)
+    single = known.where("t2 is null").drop("t2").withColumn("key", key("t1"))
+    if not single.isEmpty():
+        met = words.join(_sized(single, n_terms), (key("a") == F.col("key")) & (_lower(F.col("a")) == F.col("t1")))
+        out = out.unionByName(met.select("term", "doc_id", "h", pos))
+    return common.stored(out)
+
+
+def terms_of(ids: DataFrame) -> DataFrame:
+    """w, n (words), k (terms), off, term: the pairs of neighbours of each phrase, or its only word."""
+    pairs = F.expr("if(size(words) = 1, words, transform(slice(words, 1, size(words) - 1), (x, i) -> concat(x, ' ', words[i + 1])))")
+    return ids.select("w", F.size("words").alias("n"), pairs.alias("terms")).select("w", "n", F.size("terms").alias("k"), F.posexplode("terms").alias("off", "term"))
 
 
 def phrases(index: DataFrame, ids: DataFrame) -> DataFrame:
     """Exact matches: doc_id, h, start (in words), w, n (words of the phrase); one row per place."""
-    n_rows = ids.count() * WINDOW
+    places = terms_of(ids)
+    n_rows = places.count()
     freq = index.where(F.col("term") != _END).groupBy("term").agg(F.count("*").alias("df"))
-    places = ids.select("w", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
-    order = Window.partitionBy("w").orderBy("df", "off")
+    order, whole = Window.partitionBy("w").orderBy("df", "off"), Window.partitionBy("w")
     # a phrase with a term that no document holds has no place in it
-    ranked = places.join(freq, "term").withColumn("rank", F.row_number().over(order)).withColumn("found", F.count("*").over(Window.partitionBy("w"))).where("found = n")
-    ranked = common.stored(ranked.select("w", "n", "off", "term", "rank"))
+    ranked = places.join(freq, "term").withColumn("rank", F.row_number().over(order)).withColumn("found", F.count("*").over(whole)).where("found = k")
+    ranked = common.stored(ranked.select("w", "n", "k", "off", "term", "rank"))
 
     def shifted(rank: int) -> DataFrame:
-        of = _sized(ranked.where(F.col("rank") == rank).select("term", "w", "n", "off"), n_rows)
-        return index.join(of, "term").select("doc_id", "h", (F.col("pos") - F.col("off")).alias("start"), "w", "n").where("start >= 0").distinct()
+        of = _sized(ranked.where(F.col("rank") == rank).select("term", "w", "n", "k", "off"), n_rows)
+        return index.join(of, "term").select("doc_id", "h", (F.col("pos") - F.col("off")).alias("start"), "w", "n", "k").where("start >= 0").distinct()
 
     first = shifted(1)
-    both = _semi(first.where("n > 1"), shifted(2), ["start", "w"])
-    left = common.stored(first.where("n = 1").unionByName(both))
-    need = left.where("n > 2").join(_sized(ranked.where("rank > 2").select("w", "off", "term"), n_rows), "w")
-    need = need.select("doc_id", "h", "start", "w", "n", (F.col("start") + F.col("off")).alias("pos"), "term")
-    there = index.where(F.col("term") != _END).distinct()
-    full = _inner(need, there, ["pos", "term"]).groupBy("doc_id", "h", "start", "w", "n").agg(F.count("*").alias("k")).where("k = n - 2").drop("k")
-    return left.where("n <= 2").unionByName(full)
+    both = _semi(first.where("k > 1"), shifted(2), ["start", "w"])
+    left = common.stored(first.where("k = 1").unionByName(both))
+    need = left.where("k > 2").join(_sized(ranked.where("rank > 2").select("w", "off", "term"), n_rows), "w")
+    need = need.select("doc_id", "h", "start", "w", "n", "k", (F.col("start") + F.col("off")).alias("pos"), "term")
+    full = _inner(need, index.where(F.col("term") != _END), ["pos", "term"]).distinct().groupBy("doc_id", "h", "start", "w", "n", "k").agg(F.count("*").alias("there")).where("there = k - 2")
+    return left.where("k <= 2").drop("k").unionByName(full.drop("k", "there"))
 
 
 def _on(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
@@ -126,7 +141,7 @@ def report(docs: DataFrame, items: DataFrame, least_items: int = 2) -> DataFrame
     """For each row of docs: doc_id, h, n_words, n_hit (words inside a matched phrase), n_items,
     items_sha256 and contaminated (`least_items` items or more)."""
     ids, holds = windows(items)
-    terms = common.stored(ids.select(F.explode("words").alias("term")).distinct())
+    terms = common.stored(terms_of(ids).select("term").distinct())
     index = build_index(docs, terms, terms.count())
     places = common.stored(phrases(index, ids))
     hit = places.select(*_KEY, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy(*_KEY).agg(F.count("*").alias("n_hit"))
