@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDERS, PROFILE, UNKNOWN = (1, 2, 3), 400, "und"
+PROFILE, UNKNOWN = 400, "und"
+#: Stands for what isn't a letter; not 0, so that n-grams of different orders differ.
+BLANK = 1
 _LETTER: np.ndarray | None = None
 
 
@@ -38,17 +40,16 @@ def letters() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """The n-grams of a text as integers of up to 63 bits, 21 bits a letter (0 is the blank)."""
+    """The n-grams of a text as integers of up to 63 bits, 21 bits a letter or blank."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    c = np.where(letters()[c], c, 0)
-    c = np.concatenate([[0], c, [0]])
-    c = c[1:][(c[1:] != 0) | (c[:-1] != 0)]  # blanks in a row become one
+    c = np.concatenate([[BLANK], np.where(letters()[c], c, BLANK), [BLANK]])
+    c = c[1:][(c[1:] != BLANK) | (c[:-1] != BLANK)]  # blanks in a row become one
     if len(c) < 2:
         return np.empty(0, np.int64)
-    c = np.concatenate([[0], c]) if c[0] else c
+    c = np.concatenate([[BLANK], c]) if c[0] != BLANK else c
     two = c[:-1] << 21 | c[1:]
-    three = (two[:-1] << 21 | c[2:])[c[1:-1] != 0]
-    return np.concatenate([c[c != 0], two, three])
+    three = (two[:-1] << 21 | c[2:])[c[1:-1] != BLANK]
+    return np.concatenate([c[c != BLANK], two, three])
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
