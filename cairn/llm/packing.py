@@ -14,9 +14,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -154,6 +153,13 @@ def _packed(p: Packing, level: int, last: bool, pdf: pd.DataFrame) -> pd.DataFra
     return pdf.assign(sequence_id=seq, offset=off)
 
 
+def _packer(p: Packing, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _packed(p, level, last, pdf)
+
+    return run
+
+
 def pack(items: DataFrame, p: Packing = Packing()) -> DataFrame:
     """items (columns of `pieces`) with sequence_id and offset.  A sequence's pieces lie gapless from
     offset 0.  items should be a stored table: it is counted, then read again."""
@@ -163,7 +169,7 @@ def pack(items: DataFrame, p: Packing = Packing()) -> DataFrame:
     rest, level, done = items.withColumn("g", key), 0, []
     while True:
         schema = ", ".join(f"{c} {t}" for c, t in rest.dtypes) + ", sequence_id long, offset long"
-        at = common.stored(rest.groupBy("g").applyInPandas(partial(_packed, p, level, groups == 1), schema))
+        at = common.stored(rest.groupBy("g").applyInPandas(_packer(p, level, groups == 1), schema))
         done.append(at.where("sequence_id >= 0").drop("g"))
         if groups == 1:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op7_benchmark_decontamination
 from .decontaminate import oracle as decontaminate_sql
 from .langid import op3_language_id
@@ -27,6 +29,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_license_scans": licenses_sql(),

@@ -42,7 +42,7 @@ class Suffixes:
 
     depth: int = 100
     anchor: int = 16
-    chunk: int = 4 << 20
+    chunk: int = 2 << 20
     buckets: int = 4
 
     @property
