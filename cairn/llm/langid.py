@@ -39,17 +39,38 @@ def letters() -> np.ndarray:
     return _LETTER
 
 
-def grams(text: str) -> np.ndarray:
-    """The n-grams of a text as integers of up to 63 bits, 21 bits a letter or blank."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's letters with one blank between, before and after its runs of letters; and the place
+    of each in the text plus one."""
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     c = np.concatenate([[BLANK], np.where(letters()[c], c, BLANK), [BLANK]])
-    c = c[1:][(c[1:] != BLANK) | (c[:-1] != BLANK)]  # blanks in a row become one
-    if len(c) < 2:
-        return np.empty(0, np.int64)
-    c = np.concatenate([[BLANK], c]) if c[0] != BLANK else c
+    at = np.flatnonzero(np.concatenate([[True], (c[1:] != BLANK) | (c[:-1] != BLANK)]))
+    return c[at], at
+
+
+def paired(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the n-grams of coded letters, by order; 21 bits a letter or blank."""
     two = c[:-1] << 21 | c[1:]
-    three = (two[:-1] << 21 | c[2:])[c[1:-1] != BLANK]
-    return np.concatenate([c[c != BLANK], two, three])
+    return c[c != BLANK], two, (two[:-1] << 21 | c[2:])[c[1:-1] != BLANK]
+
+
+def grams(text: str) -> np.ndarray:
+    """The n-grams of a text as integers of up to 63 bits."""
+    c, _ = coded(text.lower())
+    return np.concatenate(paired(c)) if len(c) > 2 else np.empty(0, np.int64)
+
+
+def weighted(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of lower-cased words with their numbers: each word's letters are looked at once."""
+    c, at = coded(" ".join(words))
+    if len(c) < 3:
+        return (np.empty(0, np.int64),) * 2
+    # a gram belongs to the word of its letter: its own, the other one's than the blank, the middle one's
+    word = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+    word = word[np.clip(at - 1, 0, len(word) - 1)]
+    n = np.fromiter(words.values(), np.int64, len(words))[word]
+    keys = paired(c)
+    return counted(np.concatenate(keys), np.concatenate([n[c != BLANK], np.where(c[:-1] != BLANK, n[:-1], n[1:]), n[1:-1][c[1:-1] != BLANK]]))
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +91,7 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 words.setdefault(lang, Counter()).update(text.lower().split())
             for lang, n in words.items():
-                parts = [(grams(w), k) for w, k in n.items()]
-                keys = np.concatenate([g for g, _ in parts] or [np.empty(0, np.int64)])
-                got = counted(keys, np.repeat([k for _, k in parts], [len(g) for g, _ in parts]))
-                had = total.get(lang)
+                got, had = weighted(n), total.get(lang)
                 total[lang] = got if had is None else counted(np.concatenate([had[0], got[0]]), np.concatenate([had[1], got[1]]))
         for lang, (u, n) in total.items():
             yield pa.record_batch([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(n)], names=["lang", "gram", "n"])

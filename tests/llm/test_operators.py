@@ -270,3 +270,10 @@ def test_pack_and_unpack():
     a, b = np.arange(1000, dtype=np.uint64) * common.U64(7919), np.arange(1000, dtype=np.int32)
     x, y = common.unpack(common.pack(a, b), 1000, "u8", "i4")
     assert (a == x).all() and (b == y).all()
+
+
+def test_weighted_grams_are_those_of_the_text():
+    text = "don't-stop, the  café élan\nthe 12 the A.B über 日本 the!"
+    u, n = langid.weighted(dict(brute.Counter(text.lower().split())))
+    v, m = langid.counted(np.concatenate([langid.grams(w) for w in text.split()]))
+    assert (u == v).all() and (n == m).all() and len(set(u)) == len(u)
