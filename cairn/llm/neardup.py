@@ -194,8 +194,18 @@ def signatures(n: int, own: int, token: np.ndarray, df: np.ndarray, p: Join) ->
     return np.unique(np.concatenate(keys))
 
 
-CLASS_DDL = "kind int, sig long, cid long, n int, doc_id long, key long, blob binary"
-_CLASS = pa.schema([("kind", pa.int32()), ("sig", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
+CLASS_DDL = "kind int, sig long, cid long, n int, r int, doc_id long, key long, blob binary, bits binary"
+_CLASS = pa.schema([("kind", pa.int32()), ("sig", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("r", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary()), ("bits", pa.binary())])
+#: Bits of a set's sketch; a token sets one.
+SKETCH = 512
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[(common.mix(tokens) % U64(SKETCH)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 MEMBER, SET, KEY = 0, 1, 2
 
 
@@ -216,7 +226,7 @@ def _classes(t: pa.Table, p: Join) -> pa.Table:
     void = pa.nulls
     null_id = doc == ranges.LAST
     k = len(doc)
-    out.append(pa.record_batch([pa.array(np.zeros(k, np.int32)), pa.array(sig.view(np.int64)), pa.array(cid, mask=null_id), pa.array(n), pa.array(doc, mask=null_id), void(k, pa.int64()), void(k, pa.binary())], schema=_CLASS))
+    out.append(pa.record_batch([pa.array(np.zeros(k, np.int32)), pa.array(sig.view(np.int64)), pa.array(cid, mask=null_id), pa.array(n), void(k, pa.int32()), pa.array(doc, mask=null_id), void(k, pa.int64()), void(k, pa.binary()), void(k, pa.binary())], schema=_CLASS))
     if shared:
         s, token, df = (np.concatenate(c) for c in zip(*shared))
         order = np.lexsort((token, s))
@@ -231,15 +241,15 @@ def _classes(t: pa.Table, p: Join) -> pa.Table:
         for sg, lo, hi, size, c in zip(us.tolist(), first.tolist(), last.tolist(), n[at].tolist(), doc[at].tolist()):
             got = signatures(size, size - (hi - lo), token[lo:hi], df[lo:hi], p)
             if len(got):
-                sets.append((sg, c, size, token[lo:hi].tobytes()))
+                sets.append((sg, c, size, hi - lo, token[lo:hi].tobytes(), sketch(token[lo:hi])))
                 keys.append(got)
         if sets:
-            sg, c, size, blob = zip(*sets)
+            sg, c, size, r, blob, bits = zip(*sets)
             m, per = len(sets), [len(x) for x in keys]
-            sg, c, size = np.array(sg, U64).view(np.int64), np.array(c, np.int64), np.array(size, np.int32)
-            out.append(pa.record_batch([pa.array(np.full(m, SET, np.int32)), pa.array(sg), pa.array(c), pa.array(size), void(m, pa.int64()), void(m, pa.int64()), pa.array(blob, pa.binary())], schema=_CLASS))
+            sg, c, size, r = np.array(sg, U64).view(np.int64), np.array(c, np.int64), np.array(size, np.int32), np.array(r, np.int32)
+            out.append(pa.record_batch([pa.array(np.full(m, SET, np.int32)), pa.array(sg), pa.array(c), pa.array(size), pa.array(r), void(m, pa.int64()), void(m, pa.int64()), pa.array(blob, pa.binary()), pa.array(bits, pa.binary())], schema=_CLASS))
             k = sum(per)
-            out.append(pa.record_batch([pa.array(np.full(k, KEY, np.int32)), pa.array(np.repeat(sg, per)), pa.array(np.repeat(c, per)), pa.array(np.repeat(size, per)), void(k, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), void(k, pa.binary())], schema=_CLASS))
+            out.append(pa.record_batch([pa.array(np.full(k, KEY, np.int32)), pa.array(np.repeat(sg, per)), pa.array(np.repeat(c, per)), pa.array(np.repeat(size, per)), pa.array(np.repeat(r, per)), void(k, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), void(k, pa.binary()), void(k, pa.binary())], schema=_CLASS))
     return pa.Table.from_batches(out, schema=_CLASS)
 
 
@@ -254,42 +264,57 @@ def classes(docs: DataFrame, p: Join = Join()) -> DataFrame:
 PAIR_DDL = "a long, b long"
 
 
-def _pairs(batches: Iterable[pa.RecordBatch], p: Join, full: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, sig, root) sorted by key and n: candidate pairs (a, b), the smaller set first.  Lists are
-    walked, not gathered: with the first of a list and the one before, or, in full, with all before
-    whose size is in reach and whose root differs."""
-    key, lead, prev, held = None, None, None, []
+def _reach(p: Join, n: int, r: int, m: int, q: int) -> bool:
+    """Whether sets of n and m tokens, of which r and q are in other sets too, may be similar enough."""
+    return (100 + p.percent) * min(r, q) >= p.percent * (n + m)
+
+
+def _first_pairs(batches: Iterable[pa.RecordBatch], p: Join) -> Iterator[pa.RecordBatch]:
+    """Lists, as rows (key, n, r, sig) sorted by key and n, give pairs (a, b) with the first of the list (the
+    first in reach by size) and with the one before.  Lists are walked, not gathered."""
+    key, lead, prev = None, None, None
     for b in batches:
-        a_out, b_out = [], []
-        roots = b.column("root").to_pylist() if full else [None] * b.num_rows
-        for k, n, s, r in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), b.column("sig").to_pylist(), roots):
-            me = (n, s, r)
+        out = []
+        for k, *me in zip(*(b.column(c).to_pylist() for c in ("key", "n", "r", "sig"))):
             if k != key:
-                key, lead, prev, held = k, me, me, [me]
-                continue
-            if full:
-                held = [o for o in held if 100 * o[0] >= p.percent * n]
-                for o in held:
-                    if o[2] != r:
-                        a_out.append(o[1])
-                        b_out.append(s)
-                held.append(me)
+                key, lead, prev = k, me, me
                 continue
-            if 100 * lead[0] < p.percent * n:
-                lead = prev if 100 * prev[0] >= p.percent * n else me
-            for o in {lead, prev}:
-                if o[1] != s and 100 * o[0] >= p.percent * n:
-                    a_out.append(o[1])
-                    b_out.append(s)
+            if 100 * lead[0] < p.percent * me[0]:
+                lead = prev if 100 * prev[0] >= p.percent * me[0] else me
+            out += [(o[2], me[2]) for o in ((lead,) if lead is prev else (lead, prev)) if o[2] != me[2] and _reach(p, me[0], me[1], o[0], o[1])]
             prev = me
-        got = np.unique(np.stack([np.array(a_out, np.int64), np.array(b_out, np.int64)]), axis=1)
-        yield pa.record_batch([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+        yield _unique(out)
+
+
+def _all_pairs(batches: Iterable[pa.RecordBatch], p: Join) -> Iterator[pa.RecordBatch]:
+    """Lists, as rows (key, n, r, sig, root, bits) sorted by key and n, give all pairs (a, b) of different
+    roots that may be similar enough.  A bit that one sketch has and the other lacks is a token
+    that the other set lacks, so sketches bound the intersection from above."""
+    key, held = None, []
+    for b in batches:
+        out = []
+        for k, n, r, s, root, bits in zip(*(b.column(c).to_pylist() for c in ("key", "n", "r", "sig", "root", "bits"))):
+            x = int.from_bytes(bits)
+            if k != key:
+                key, held = k, []
+            elif held and 100 * held[0][0] < p.percent * n:
+                held = [o for o in held if 100 * o[0] >= p.percent * n]
+            for m, q, t, other, y in held:
+                if other != root and _reach(p, n, r, m, q) and _reach(p, n, r - (x & ~y).bit_count(), m, q - (y & ~x).bit_count()):
+                    out.append((t, s))
+            held.append((n, r, s, root, x))
+        yield _unique(out)
+
+
+def _unique(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*set(pairs)) if pairs else ((), ())
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidates(keys: DataFrame, p: Join, full: bool) -> DataFrame:
-    cols = ["key", "n", "sig", *(["root"] if full else [])]
-    lists = keys.select(*cols).repartition("key").sortWithinPartitions("key", "n", "sig")
-    return lists.mapInArrow(lambda it: _pairs(it, p, full), PAIR_DDL).distinct()
+def candidates(lists: DataFrame, p: Join, full: bool) -> DataFrame:
+    """Distinct pairs of lists (columns as the walkers read them)."""
+    walk = _all_pairs if full else _first_pairs
+    return lists.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(lambda it: walk(it, p), PAIR_DDL).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
@@ -319,13 +344,13 @@ def join(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
     between classes (ca, cb, both), which connect each component."""
     rows = classes(docs, p)
     sets, keys = rows.where(F.col("kind") == SET), rows.where(F.col("kind") == KEY)
-    first = common.stored(candidates(keys, p, full=False))
+    first = common.stored(candidates(keys.select("key", "n", "r", "sig"), p, full=False))
     links = common.stored(verified(first, sets, p))
     roots = graph.components(links)
-    labelled = keys.join(roots, F.col("cid") == F.col("node"), "left").select("key", "n", "sig", F.coalesce("root", "cid").alias("root"))
+    labelled = keys.join(roots, F.col("cid") == F.col("node"), "left").select("key", "n", "r", "sig", F.coalesce("root", "cid").alias("root"))
     open_ = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k")).where("r0 <> r1 and k > 2").select("key")
-    rest = candidates(labelled.join(open_, "key"), p, full=True).join(first, ["a", "b"], "left_anti")
-    more = common.stored(verified(rest, sets, p))
+    rest = candidates(labelled.join(open_, "key").join(sets.select("sig", "bits"), "sig"), p, full=True)
+    more = common.stored(verified(rest.join(first, ["a", "b"], "left_anti"), sets, p))
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = graph.components(links)
