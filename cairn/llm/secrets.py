@@ -173,7 +173,7 @@ def _holds(q: tuple | str) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """All columns of docs and `found`: array<struct<s, k, kind, e>> of every rule's spans, by start and
+    """All columns of docs (but one called `found`) and `found`: array<struct<s, k, kind, e>> of every rule's spans, by start and
     then by the order of the rules."""
     grams = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
     hits = candidates(build_index(docs, grams), rules) if grams else None
@@ -196,7 +196,7 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """docs with each secret replaced by [REDACTED:kind]; where spans overlap, what the first covers
     goes with it.  All columns and rows stay."""
-    found = scan(docs, rules)
+    found = scan(docs.select("doc_id", "text", F.struct("*").alias("__row")), rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -204,7 +204,8 @@ def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("found") > 0, clean).otherwise(F.col("text"))
+    return found.select(*[(text if c == "text" else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
