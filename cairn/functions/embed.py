@@ -48,7 +48,8 @@ def term_counts(docs: DataFrame, key: str, text: str = "text", stop: list[str] |
 
 def term_cosine(a: DataFrame, b: DataFrame, ka: str, kb: str) -> DataFrame:
     """Cosine of each pair of sparse vectors that share a token: ka, kb, score.  Lengths travel with the
-    entries, so pairs meet in one join on tokens and one sum."""
+    entries, so pairs meet in one join on tokens and one sum.  For few vectors against many and only the
+    best of them, `search.top_k_terms` moves far less."""
 
     def unit(d: DataFrame, k: str, name: str) -> DataFrame:
         size = d.groupBy(k).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))

@@ -6,6 +6,10 @@ blocks, and only each block's k best go to the final rank."""
 
 from __future__ import annotations
 
+import heapq
+import math
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -86,3 +90,60 @@ def top_k_batch(queries: DataFrame, rows: DataFrame, k: int = DEFAULT_K, id_: st
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return pairs.mapInArrow(run, "query_id long, id long, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Entries of sparse query vectors that one block of queries holds; each block is one pass over the texts.
+TERM_BLOCK = 200_000
+
+
+def top_k_terms(queries: list[tuple[int, str]], docs: DataFrame, k: int, stop: Sequence[str], id_: str = "doc_id", text: str = "text", digits: int = 6) -> DataFrame:
+    """query_id, id, score (rounded) and rank of the k texts whose token counts are most similar to each query's,
+    ties by id.  Each batch of texts is scored against all queries of a block and passes on its k best, so
+    what moves is k rows per query and batch, not a row per pair."""
+    schema = "query_id long, id long, score double"
+    out = docs.sparkSession.createDataFrame([], schema)
+    blocks, held = [[]], 0
+    for q, t in queries:
+        n = _term_counts(t, stop)
+        if held + len(n) > TERM_BLOCK:
+            blocks, held = [*blocks, []], 0
+        blocks[-1].append((q, n))
+        held += len(n)
+    for block in [b for b in blocks if b]:
+        out = out.unionByName(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_term_scorer(block, k, stop, digits), schema))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _term_counts(text: str | None, stop: Sequence[str]) -> Counter:
+    n = Counter(re.findall("[a-z]{3,}", (text or "").lower()))
+    for w in stop:
+        n.pop(w, None)
+    return n
+
+
+def _term_scorer(block: list[tuple[int, Counter]], k: int, stop: Sequence[str], digits: int):  # noqa: ANN202
+    entries: dict[str, list[tuple[int, float]]] = {}
+    for j, (_, n) in enumerate(block):
+        size = math.sqrt(sum(x * x for x in n.values()))
+        for w, x in n.items():
+            entries.setdefault(w, []).append((j, x / size))
+    known = {w: (np.array([j for j, _ in e]), np.array([x for _, x in e])) for w, e in entries.items()}
+    ids = [q for q, _ in block]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, scores = b.column("id").to_pylist(), np.zeros((b.num_rows, len(ids)))
+            for i, t in enumerate(b.column("text").to_pylist()):
+                n = _term_counts(t, stop)
+                size = math.sqrt(sum(x * x for x in n.values()))
+                for w in n.keys() & known.keys():
+                    j, x = known[w]
+                    scores[i, j] += n[w] / size * x
+            rows = []
+            for j, q in enumerate(ids):
+                some = [(-round(float(scores[i, j]), digits), docs[i]) for i in np.flatnonzero(scores[:, j] > 0).tolist()]
+                rows += [(q, d, -s) for s, d in heapq.nsmallest(k, some)]
+            yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+
+    return run

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.session import stored
+
 SEGMENT_ROWS, SEGMENT_BYTES, BLOCK_ROWS = 10_000, 64 << 20, 128
 RECORD = "id long, vector array<float>, text string, metadata map<string,string>, norm float, created_at_ns long"
 
@@ -26,19 +28,17 @@ def next_id(rows: DataFrame, id_: str = "id") -> int:
 
 
 def numbered(rows: DataFrame, first: int, id_: str = "id") -> DataFrame:
-    """rows with gapless ids from `first`.  Partitions are counted and offset, so no single task sees all
-    rows; the input must be stored or deterministic."""
+    """rows with gapless ids from `first`, in the order of partitions and of rows in them.  Partitions are
+    counted and offset, so no single task sees all rows; rows are stored with their places first, so
+    places can't change between the count and the use."""
     spark = rows.sparkSession
-    parted = rows.withColumn("__p", F.spark_partition_id())
-    counts = {r["__p"]: r["count"] for r in parted.groupBy("__p").count().collect()}
-    base, at = {}, first
-    for p in sorted(counts):
-        base[p], at = at, at + counts[p]
-    if not base:
-        return rows.withColumn(id_, F.lit(first).cast("long"))
-    offsets = spark.createDataFrame(sorted(base.items()), "__p int, __base long")  # one row per partition
-    local = parted.withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    return local.join(F.broadcast(offsets), "__p").withColumn(id_, F.col("__base") + F.col("__i")).drop("__p", "__base", "__i")
+    placed = stored(rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    base, at = [], first
+    for r in sorted(placed.groupBy("__p").count().collect()):
+        base.append((r["__p"], at))
+        at += r["count"]
+    offsets = spark.createDataFrame(base, "__p int, __base long")  # one row per partition
+    return placed.join(F.broadcast(offsets), "__p").withColumn(id_, F.col("__base") + F.col("__i")).drop("__p", "__base", "__i")
 
 
 def append(spark: SparkSession, path: str, rows: DataFrame, id_: str = "id") -> None:

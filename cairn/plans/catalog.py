@@ -161,10 +161,9 @@ s AS (SELECT item_id, doc_id, round(sum(x * y), 6) AS score FROM u JOIN v USING
 SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 3""")
 def tf_topk(spark: SparkSession, sf: str) -> DataFrame:
     """For each test item the three documents whose token counts are most similar."""
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    s = embed.term_cosine(embed.term_counts(items, "item_id"), embed.term_counts(docs, "doc_id"), "item_id", "doc_id").withColumn("score", F.round("score", 6))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]  # the questions asked
+    near = search.top_k_terms(items, table(spark, sf, "documents"), 3, text.STOP_WORDS)
+    return near.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 _KEYS = ["the", "est", "und", "ing", "tion", "que", "license"]

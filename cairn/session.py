@@ -1,8 +1,30 @@
-"""Sessions for local use."""
+"""Sessions for local use, and stored intermediates in the folder that a cluster shares."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one is
+    set only where the session names none, as in local tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor
+    costs a re-read, and several consumers share one computation."""
+    spark = df.sparkSession
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:

@@ -271,6 +271,13 @@ def test_embedders(spark):
     asked = spark.createDataFrame([("q", "which animal drinks milk")], "q string, text string")
     best = embed.term_cosine(embed.term_counts(asked, "q"), embed.term_counts(docs, "d"), "q", "d").orderBy(F.desc("score")).first()
     assert best.d == "cats" and best.score == pytest.approx(2 / (3**0.5 * 4**0.5))
+    numbered = spark.createDataFrame([(1, "the cat drinks milk and sleeps"), (2, "the car has an engine and wheel"), (3, None)], "doc_id long, text string")
+    search.TERM_BLOCK, was = 2, search.TERM_BLOCK
+    try:
+        near = search.top_k_terms([(7, "which animal drinks milk"), (8, "engine"), (9, "")], numbered, 2, text.STOP_WORDS).collect()
+    finally:
+        search.TERM_BLOCK = was
+    assert {(r.query_id, r.id, r["rank"]) for r in near} == {(7, 1, 1), (8, 2, 1)} and {r.score for r in near} == {0.57735}
     assert one(spark, embed.keywords(F.lit("Kitten MILK"), ["milk", "cat", "kitten"])) == pytest.approx([0.5**0.5, 0, 0.5**0.5])
 
 
