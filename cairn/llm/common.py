@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.session import scratch, stored
+
+__all__ = ["scratch", "stored"]
 U64 = np.uint64
 word_hash = xxhash.xxh3_64_intdigest
 
@@ -24,25 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one is
-    set only where the session names none, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor
-    costs a re-read, and several consumers share one computation."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads the bits of linear hashes."""
     x = x ^ (x >> U64(32))
