@@ -16,8 +16,9 @@ Stages:
    intersection consists of.
 3. Classes select their prefixes; most have enough tokens of their own to have no partner.
 4. Classes of one signature are candidates: first each with the smallest and the next smaller one of its
-   list, and once these links are known, each pair of a list that is not yet connected.  Links are verified
-   on exact intersections.  So a group of n near copies costs about n candidates, not n * n.
+   list; once these links are known, a few of each component in a list with those of the others; at last
+   each pair of a list that is not connected yet and still in reach.  Links are verified on exact
+   intersections.  So a group of n near copies costs about n candidates, not n * n.
 5. Components, by small and large stars.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a null doc_id
@@ -28,6 +29,7 @@ Sets are told apart by 64-bit fingerprints, tokens by 64-bit hashes.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -44,13 +46,16 @@ from .common import U64
 class Join:
     """width: words of a shingle.  percent: least Jaccard similarity.  frequent: a token of so many classes
     or more is frequent.  chunk: bytes of text that a task hashes at once.  part: a document of
-    2**b to 2**(b+1) tokens splits the frequent class into 2**b / part parts."""
+    2**b to 2**(b+1) tokens splits the frequent class into 2**b / part parts.  members: in the rounds after
+    the first, how many of each component that a list holds are compared; a last round compares all
+    that is not connected by then, unless no component had more."""
 
     width: int = 5
     percent: int = 75
     frequent: int = 64
     chunk: int = 8 << 20
     part: int = 16
+    members: tuple[int, ...] = (2, 16)
 
     def missing(self, n: int) -> int:
         """How many of n tokens a similar set may lack."""
@@ -286,24 +291,39 @@ def _first_pairs(batches: Iterable[pa.RecordBatch], p: Join) -> Iterator[pa.Reco
         yield _unique(out)
 
 
-def _all_pairs(batches: Iterable[pa.RecordBatch], p: Join) -> Iterator[pa.RecordBatch]:
-    """Lists, as rows (key, n, r, sig, root, bits) sorted by key and n, give all pairs (a, b) of different
-    roots that may be similar enough.  A bit that one sketch has and the other lacks is a token
-    that the other set lacks, so sketches bound the intersection from above."""
-    key, held = None, []
+def _all_pairs(batches: Iterable[pa.RecordBatch], p: Join, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Lists, as rows (key, n, r, sig, root, bits) sorted by key and n, give the pairs (a, b) of different
+    roots that may be similar enough; with `most`, only among so many members of each root, which
+    the hash of key and set picks, so that lists of the same sets try different ones.  A bit that
+    one sketch has and the other lacks is a token that the other set lacks, so sketches bound the
+    intersection from above."""
+    key, members = None, []
     for b in batches:
         out = []
-        for k, n, r, s, root, bits in zip(*(b.column(c).to_pylist() for c in ("key", "n", "r", "sig", "root", "bits"))):
-            x = int.from_bytes(bits)
+        for k, *me in zip(*(b.column(c).to_pylist() for c in ("key", "n", "r", "sig", "root", "bits"))):
             if k != key:
-                key, held = k, []
-            elif held and 100 * held[0][0] < p.percent * n:
-                held = [o for o in held if 100 * o[0] >= p.percent * n]
-            for m, q, t, other, y in held:
-                if other != root and _reach(p, n, r, m, q) and _reach(p, n, r - (x & ~y).bit_count(), m, q - (y & ~x).bit_count()):
-                    out.append((t, s))
-            held.append((n, r, s, root, x))
+                out += _across(key, members, p, most)
+                key, members = k, []
+            members.append(me)
         yield _unique(out)
+    yield _unique(list(_across(key, members, p, most)))
+
+
+def _across(key: int | None, members: list[list], p: Join, most: int | None) -> Iterator[tuple[int, int]]:
+    if most is not None:
+        by_root: dict[int, list] = {}
+        for m in members:
+            by_root.setdefault(m[3], []).append(m)
+        members = sorted((m for ms in by_root.values() for m in heapq.nsmallest(most, ms, lambda m: hash((key, m[2])))), key=lambda m: (m[0], m[2]))
+    held: list[tuple] = []
+    for n, r, s, root, bits in members:
+        x = int.from_bytes(bits)
+        if held and 100 * held[0][0] < p.percent * n:
+            held = [o for o in held if 100 * o[0] >= p.percent * n]
+        for m, q, t, other, y in held:
+            if other != root and _reach(p, n, r, m, q) and _reach(p, n, r - (x & ~y).bit_count(), m, q - (y & ~x).bit_count()):
+                yield t, s
+        held.append((n, r, s, root, x))
 
 
 def _unique(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -311,10 +331,10 @@ def _unique(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidates(lists: DataFrame, p: Join, full: bool) -> DataFrame:
+def candidates(lists: DataFrame, p: Join, full: bool, most: int | None = None) -> DataFrame:
     """Distinct pairs of lists (columns as the walkers read them)."""
-    walk = _all_pairs if full else _first_pairs
-    return lists.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(lambda it: walk(it, p), PAIR_DDL).distinct()
+    walk = (lambda it: _all_pairs(it, p, most)) if full else (lambda it: _first_pairs(it, p))
+    return lists.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(walk, PAIR_DDL).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
@@ -339,21 +359,41 @@ def verified(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
     return joined.mapInArrow(run, "ca long, cb long, both long")
 
 
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Roots after further links: only the roots that these connect are looked at."""
+    of = roots.select("node", "root")
+    ends = more
+    for c in ("ca", "cb"):
+        ends = ends.join(of.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")), c, "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", c))
+    top = graph.components(ends.select("r_ca", "r_cb"))
+    up = top.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    moved = of.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return common.stored(moved.unionByName(top.join(of.select("node"), "node", "left_anti").select("node", "root")))
+
+
 def join(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, n_shingles, cid, component_id), one row per row of docs, and the links found
     between classes (ca, cb, both), which connect each component."""
     rows = classes(docs, p)
     sets, keys = rows.where(F.col("kind") == SET), rows.where(F.col("kind") == KEY)
-    first = common.stored(candidates(keys.select("key", "n", "r", "sig"), p, full=False))
-    links = common.stored(verified(first, sets, p))
+    tried = common.stored(candidates(keys.select("key", "n", "r", "sig"), p, full=False))
+    links = common.stored(verified(tried, sets, p))
     roots = graph.components(links)
-    labelled = keys.join(roots, F.col("cid") == F.col("node"), "left").select("key", "n", "r", "sig", F.coalesce("root", "cid").alias("root"))
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k")).where("r0 <> r1 and k > 2").select("key")
-    rest = candidates(labelled.join(open_, "key").join(sets.select("sig", "bits"), "sig"), p, full=True)
-    more = common.stored(verified(rest.join(first, ["a", "b"], "left_anti"), sets, p))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = graph.components(links)
+    for most in (*p.members, None):
+        labelled = keys.join(roots, F.col("cid") == F.col("node"), "left").select("key", "n", "r", "sig", F.coalesce("root", "cid").alias("root"))
+        per = labelled.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.max("k").alias("largest"))
+        open_ = common.stored(per.where("roots > 1 and k > 2").select("key", "largest"))
+        largest = open_.agg(F.max("largest")).first()[0]
+        if largest is None:
+            break
+        now = candidates(labelled.join(open_.select("key"), "key").join(sets.select("sig", "bits"), "sig"), p, full=True, most=most)
+        now = common.stored(now.join(tried, ["a", "b"], "left_anti"))
+        more = common.stored(verified(now, sets, p))
+        tried = tried.unionByName(now)
+        if not more.isEmpty():
+            links, roots = links.unionByName(more), _merged(roots, more)
+        if most is None or largest <= most:
+            break
     members = rows.where(F.col("kind") == MEMBER).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid")
     out = members.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "n_shingles", "cid", F.coalesce("root", "cid").alias("component_id"))
     return out, links
