@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from . import oracles
 from .decontaminate import op7_benchmark_decontamination
 from .decontaminate import oracle as decontaminate_sql
 from .langid import op3_language_id
@@ -32,6 +33,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.JACCARD,
+    "op4_substring_dedup": oracles.WORD_WINDOWS,
+    "op10_quality_rules": oracles.quality_rules(),
     "op2_license_scans": licenses_sql(),
     "op5_secret_scans": secrets_sql(),
     "op7_benchmark_decontamination": decontaminate_sql(),
