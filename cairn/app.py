@@ -120,9 +120,11 @@ def approved(candidates: DataFrame, answer: str) -> DataFrame:
 
 
 def draft(replies: DataFrame) -> DataFrame:
-    """subject and body of a model's JSON replies; a reply that is none is the body, without a subject."""
-    j = F.from_json("raw", "struct<subject:string,body:string>")
-    return replies.select("id", F.coalesce(F.nullif(F.trim(j["subject"]), F.lit("")), F.lit("(no subject)")).alias("subject"), F.coalesce(j["body"], F.col("raw")).alias("body"))
+    """subject and body of a model's JSON replies; a reply that is no object is the body, without a subject."""
+    j, e = F.from_json("raw", "struct<subject:string,body:string>"), F.lit("")
+    good = F.trim("raw").startswith("{") & F.get_json_object("raw", "$").isNotNull()
+    subject = F.when(good, F.nullif(F.trim(F.coalesce(j["subject"], e)), e))
+    return replies.select("id", F.coalesce(subject, F.lit("(no subject)")).alias("subject"), F.when(good, F.trim(F.coalesce(j["body"], e))).otherwise(F.trim("raw")).alias("body"))
 
 
 def main(argv: list[str] | None = None) -> int:

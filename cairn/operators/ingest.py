@@ -45,8 +45,15 @@ def audit_rows(decided: DataFrame) -> DataFrame:
     return decided.where("event <> 'ignored'").select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "event", "path", F.when(F.col("event") == "skipped_secret", F.concat(F.lit("possible secret: "), F.array_join(privacy.secret_names(F.col("content")), ", "))).alias("reason"))
 
 
+def cloud_send(sent: DataFrame, provider: str) -> DataFrame:
+    """The audit row of chunks (path, text, ...) that leave the machine: where to, which files, how many."""
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return sent.agg(F.sort_array(F.collect_set("path")).alias("file_paths"), F.count("*").cast("int").alias("chunk_count")).select(stamp.alias("ts"), F.lit("cloud_send").alias("event"), F.lit(provider).alias("provider"), "file_paths", "chunk_count")
+
+
 def append_audit(rows: DataFrame, path: str) -> None:
-    rows.select("ts", "event", "path", "reason").write.mode("append").json(path)
+    """Appends JSON lines; fields that are null are left out, and there is none for content."""
+    rows.select(*[c for c in ("ts", "event", "path", "reason", "mode", "top_sources", "provider", "file_paths", "chunk_count") if c in rows.columns]).write.mode("append").json(path)
 
 
 def replace_changed(chunks: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

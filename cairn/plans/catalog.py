@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import answers, assistant, embed, privacy, text, vectors
 from cairn.operators import chunks, events, ingest, search, signals, store
-from cairn.sources import extract
+from cairn.sources import extract, mail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -427,6 +427,29 @@ def event_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(spark, sf).select("event_id", assistant.overlap(F.col("start_time"), F.col("end_time"), start, end).alias("overlaps"))
 
 
+@query("mail_source", "SELECT conv_id, turn, role AS sender, left(text, 3000) AS body FROM conversations")
+def mail_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as raw messages, and back."""
+    c = table(spark, sf, "conversations")
+    data = F.translate(F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")), "+/", "-_")
+    raw = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.struct(F.array(F.struct(F.lit("From").alias("name"), F.col("role").alias("value"))).alias("headers"), F.struct(data.alias("data")).alias("body")).alias("payload")))
+    ids = F.split("id", "-")
+    return mail.messages(c.select(raw.alias("value"))).select(F.get(ids, F.lit(0)).cast("long").alias("conv_id"), F.get(ids, F.lit(1)).cast("long").alias("turn"), F.col("from").alias("sender"), "body")
+
+
+@query("spoken_candidate", f"WITH {_CAND} SELECT event_id, title || CASE WHEN date IS NULL THEN '' ELSE ' on ' || date || CASE WHEN start_time IS NULL THEN '' ELSE ' at ' || start_time END END AS label FROM c")
+def spoken_candidate(spark: SparkSession, sf: str) -> DataFrame:
+    c = candidates(spark, sf)
+    return c.select("event_id", mail.spoken(F.col("title"), F.col("date"), F.col("start_time")).alias("label"))
+
+
+@query("truncate", "SELECT doc_id, sha256(CASE WHEN strlen(text) <= 200 THEN text ELSE left(text, 200) END) AS head FROM documents WHERE regexp_full_match(left(text, 200), '[\\x00-\\x7F]*')")
+def truncate(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 200 bytes, of texts that begin with so many ASCII characters (so that SQL can say it)."""
+    docs = table(spark, sf, "documents").where(F.left("text", F.lit(200)).rlike("^[\\x00-\\x7F]*$"))
+    return docs.select("doc_id", F.sha2(text.truncated(F.col("text"), 200), 256).alias("head"))
+
+
 @query("event_dedupe")
 def event_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of every tenth user against the events of the others."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import answers, assistant, embed, privacy, text, vectors
 from cairn.operators import chunks, events, ingest, search, signals, store
-from cairn.sources import extract, files
+from cairn.sources import extract, files, mail
 from cairn.streaming import streams
 
 
@@ -340,3 +340,48 @@ def test_calendar_and_agenda(spark):
     assert [(r.section, r.summary) for r in events.agenda(e, "2024-01-05T00:00:00").collect()] == [("calendar", "a"), ("deadline", "b")]
     m = spark.createDataFrame([(1, "hi", "", ""), (2, "yo", "", "")], "id int, subject string, snippet string, body string")
     assert [r.id for r in events.important(m).collect()] == [1, 2]
+
+
+def b64(t):
+    import base64
+
+    return base64.urlsafe_b64encode(t).decode()
+
+
+def test_mail_source(spark):
+    import json
+
+    part = lambda kind, t: {"mimeType": kind, "body": {"data": b64(t)}}
+    head = [{"name": "From", "value": "a@b"}, {"name": "SUBJECT", "value": "hi"}]
+    raw = [
+        {"id": "1", "snippet": "s", "payload": {"headers": head, "body": {"data": b64(b"own")}, "parts": [part("text/html", b"<p>"), part("text/plain", "pl\u00e4in?>".encode() + b"\xff"), part("text/plain", b"second")]}},
+        {"id": "2", "payload": {"headers": [], "body": {"data": b64(b"x" * 4000)}}},
+        {"id": "3"},
+    ]
+    df = spark.createDataFrame([(json.dumps(r),) for r in raw] + [("junk",), (None,)], "value string")
+    got = {r.id: r for r in mail.messages(df).collect()}
+    assert set(got) == {"1", "2", "3"} and (got["1"]["from"], got["1"].subject, got["1"].date, got["1"].body) == ("a@b", "hi", "", "pläin?>")
+    assert len(got["2"].body) == 3000 and got["3"].body == "" and got["3"].snippet == ""
+
+
+def test_calendar_source(spark):
+    raw = ['{"id": "1", "start": {"dateTime": "2024-01-01T10:00:00Z"}, "end": {"dateTime": "2024-01-01T11:00:00Z"}, "location": "x"}', '{"id": "2", "summary": "s", "start": {"date": "2024-01-02"}, "end": {"date": "2024-01-03"}}']
+    e = mail.calendar(spark.createDataFrame([(r,) for r in raw], "value string"))
+    assert [tuple(r) for r in e.orderBy("id").collect()] == [("1", "Untitled", "2024-01-01T10:00:00Z", "2024-01-01T11:00:00Z", "x"), ("2", "s", "2024-01-02", "2024-01-03", "")]
+    assert [r.id for r in mail.upcoming(e, "2024-01-01", "2024-01-09", 1).collect()] == ["1"]
+
+
+def test_contacts_and_labels(spark):
+    c = spark.createDataFrame([("alex", "a@x", 1)], "name string, email string, saved_at int")
+    now = mail.saved(c, spark.createDataFrame([(" Alex ", " b@x ", 2), ("kim", "k@x", 2)], "name string, email string, saved_at int"))
+    who = spark.createDataFrame([("ALEX",), ("Nobody",), (None,)], "recipient string")
+    assert {(r.recipient, r.email) for r in mail.resolved(who, now).collect()} == {("ALEX", "b@x"), ("Nobody", None), (None, None)}
+    assert one(spark, mail.spoken(F.lit("Interview"), F.lit("2026-06-21"), F.lit("15:00"))) == "Interview on 2026-06-21 at 15:00" and one(spark, mail.spoken(F.lit("x"), F.lit(None), F.lit("15:00"))) == "x"
+    assert [one(spark, mail.listed(F.array(*map(F.lit, p)))) for p in (["a b"], ["a", "b"], ["a", "b", "c"])] == ["A b", "A and b", "A, b, and c"]
+    assert one(spark, mail.needs_confirmation(F.lit("send_email"))) and not one(spark, mail.needs_confirmation(F.lit("brief")))
+
+
+@pytest.mark.parametrize("t", ["abc", "é" * 10, "短短短短", "a短", "𝄞𝄞𝄞", "ab𝄞c"])
+def test_truncation(spark, t):
+    for most in range(1, 12):
+        assert one(spark, text.truncated(F.lit(t), most)) == t.encode()[:most].decode(errors="ignore")
