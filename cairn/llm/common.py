@@ -62,7 +62,8 @@ def crc_mod(col: str, m: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(m))
 
 
-_C = zstandard.ZstdCompressor(level=1)
+_LEVELS = {n: zstandard.ZstdCompressor(level=n) for n in (1, 2, 3)}
+_C = _LEVELS[1]
 _D = zstandard.ZstdDecompressor()
 
 
@@ -82,8 +83,8 @@ def unpack(blob: bytes, n: int, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
-def zip_bytes(b: bytes) -> bytes:
-    return _C.compress(b)
+def zip_bytes(b: bytes, level: int = 2) -> bytes:
+    return _LEVELS[level].compress(b)
 
 
 def unzip_bytes(b: bytes) -> bytes:
