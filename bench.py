@@ -18,7 +18,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "vec_topk vec_topk_batch vec_norm vec_partition_merge vec_guard store_get store_recover block_index doc_chunks tf_vocab tf_topk "
-    "file_events file_diff secret_scan redact html_text mail_prefilter candidate_validate event_dedupe cache_upsert burst_detect retrieval_accuracy"
+    "file_events file_diff secret_scan redact html_text mail_prefilter candidate_validate event_overlap cache_upsert burst_detect retrieval_accuracy"
 ).split()
 
 
