@@ -45,7 +45,8 @@ from .common import U64
 @dataclass(frozen=True)
 class Join:
     """width: words of a shingle.  percent: least Jaccard similarity.  frequent: a token of so many classes
-    or more is frequent.  chunk: bytes of text that a task hashes at once.  part: a document of
+    or more is frequent.  chunk: bytes of text that a task hashes at once.  buckets: of tokens and of
+    classes, per shuffle partition.  part: a document of
     2**b to 2**(b+1) tokens splits the frequent class into 2**b / part parts.  members: in the rounds after
     the first, how many of each component that a list holds are compared; a last round compares all
     that is not connected by then, unless no component had more."""
@@ -53,7 +54,8 @@ class Join:
     width: int = 5
     percent: int = 75
     frequent: int = 64
-    chunk: int = 8 << 20
+    chunk: int = 4 << 20
+    buckets: int = 2
     part: int = 16
     members: tuple[int, ...] = (2, 16)
 
@@ -260,7 +262,7 @@ def _classes(t: pa.Table, p: Join) -> pa.Table:
 
 def classes(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """The stored MEMBER, SET and KEY rows of docs."""
-    n = common.shuffle_count(docs.sparkSession)
+    n = p.buckets * common.shuffle_count(docs.sparkSession)
     sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n), ranges.DDL)
     shared = sent.groupBy("bucket").applyInArrow(lambda t: _count(t, p, n), ranges.DDL)
     return common.stored(shared.groupBy("bucket").applyInArrow(lambda t: _classes(t, p), CLASS_DDL))
