@@ -15,10 +15,14 @@ Stages:
    classes' buckets.  A token of one class can't be shared, so what comes back is all that any
    intersection consists of.
 3. Classes select their prefixes; most have enough tokens of their own to have no partner.
-4. Classes of one signature are candidates: first each with the smallest and the next smaller one of its
+4. Classes of one signature are candidates, and links are verified on exact intersections.
+   `join` wants all links: each pair of a list that is in reach is a candidate, and a long list is split
+   into blocks of which every two meet in a task of their own.  A group of n near copies has up to
+   n * (n - 1) / 2 links, and costs as many.
+   `connected` wants components only: first each class with the smallest and the next smaller one of its
    list; once these links are known, a few of each component in a list with those of the others; at last
-   each pair of a list that is not connected yet and still in reach.  Links are verified on exact
-   intersections.  So a group of n near copies costs about n candidates, not n * n.
+   each pair of a list that is not connected yet and still in reach.  So a group of n near copies costs
+   about n candidates.
 5. Components, by small and large stars.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a null doc_id
@@ -49,7 +53,8 @@ class Join:
     classes, per shuffle partition.  part: a document of
     2**b to 2**(b+1) tokens splits the frequent class into 2**b / part parts.  members: in the rounds after
     the first, how many of each component that a list holds are compared; a last round compares all
-    that is not connected by then, unless no component had more."""
+    that is not connected by then, unless no component had more.  block: classes of a list that one task
+    compares with as many others."""
 
     width: int = 5
     percent: int = 75
@@ -58,6 +63,7 @@ class Join:
     buckets: int = 2
     part: int = 16
     members: tuple[int, ...] = (2, 16)
+    block: int = 512
 
     def missing(self, n: int) -> int:
         """How many of n tokens a similar set may lack."""
@@ -373,9 +379,121 @@ def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     return common.stored(moved.unionByName(top.join(of.select("node"), "node", "left_anti").select("node", "root")))
 
 
+def blocks(keys: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
+    """Lists of two classes or more as rows (key, i, j, g, n, r, sig, bits): of a list split into blocks, each
+    pair (i, j) of blocks, with the own one of each class as g."""
+    many = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    parts = F.ceil(F.col("k") / p.block).cast("int")
+    own = keys.select("key", "n", "r", "sig").join(many.select("key", parts.alias("parts")), "key").withColumn("g", F.pmod(F.xxhash64("sig"), "parts").cast("int"))
+    each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "n", "r", "sig").join(sets.select("sig", "bits"), "sig")
+
+
+#: Pairs that are looked at together.
+_PAIRS = 1 << 20
+
+
+def _in_reach(t: pa.Table, p: Join) -> Iterator[pa.RecordBatch]:
+    """Of whole blocks, rows as `blocks` has them and sorted by key, i, j and n, the pairs (a, b) that may be
+    similar enough by size, shared tokens and sketches."""
+    key, i, j, g, n, r, sig = (t.column(c).to_numpy() for c in ("key", "i", "j", "g", "n", "r", "sig"))
+    n, r = n.astype(np.int64), r.astype(np.int64)
+    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(-1, SKETCH // 64)
+    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    size = np.diff(np.append(head, len(key)))
+    after = np.repeat(head + size, size) - np.arange(len(key)) - 1
+    total = np.concatenate([[0], np.cumsum(after)])
+    lo = 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _PAIRS, "right")) - 1)
+        a = np.repeat(np.arange(lo, hi), after[lo:hi])
+        b = a + 1 + np.arange(len(a)) - (total[a] - total[lo])
+        lo = hi
+        ok = ((g[a] != g[b]) | (i[a] == j[a])) & ((100 + p.percent) * np.minimum(r[a], r[b]) >= p.percent * (n[a] + n[b]))
+        a, b = a[ok], b[ok]
+        x, y = bits[a], bits[b]
+        one, two = r[a] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), r[b] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+        ok = (100 + p.percent) * np.minimum(one, two) >= p.percent * (n[a] + n[b])
+        yield pa.record_batch([pa.array(sig[a[ok]]), pa.array(sig[b[ok]])], names=["a", "b"])
+
+
+def _block_pairs(batches: Iterable[pa.RecordBatch], p: Join) -> Iterator[pa.RecordBatch]:
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        last = np.ones(held.num_rows, bool)
+        for c in ("key", "i", "j"):
+            v = held.column(c).to_numpy()
+            last &= v == v[-1]
+        whole = int(np.argmax(last))  # the last block may go on in the next batch
+        if whole:
+            yield from _in_reach(held.slice(0, whole), p)
+            held = held.slice(whole)
+    if held is not None:
+        yield from _in_reach(held, p)
+
+
+def all_candidates(keys: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
+    """Distinct pairs (a, b) of classes that share a signature and may be similar enough."""
+    dealt = blocks(keys, sets, p).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "sig")
+    return dealt.mapInArrow(lambda it: _block_pairs(it, p), PAIR_DDL).distinct()
+
+
+def all_verified(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
+    """Links (a, b, ca, cb, both) among candidate pairs.  Pairs lie in the cells of a grid by the hashes of
+    their classes, and a set goes once to each cell that has pairs of it: a class with many
+    candidates is spread over a row and a column of cells and doesn't travel once per pair."""
+    side = max(1, round((4 * common.shuffle_count(pairs.sparkSession)) ** 0.5))
+    cell = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+    put = pairs.select(cell.alias("cell"), "a", "b")
+    wanted = put.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("sig")).distinct()
+    there = wanted.join(sets.select("sig", "cid", "n", "blob"), "sig").select("at", "sig", "cid", "n", "blob")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sig = right.column("sig").to_numpy()
+        order = np.argsort(sig)
+        sig, cid, n = sig[order], right.column("cid").to_numpy()[order], right.column("n").to_numpy().astype(np.int64)[order]
+        held = right.column("blob").to_pylist()
+        tokens = [np.frombuffer(held[x], U64) for x in order.tolist()]
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        one, two = np.searchsorted(sig, a), np.searchsorted(sig, b)
+        both = np.zeros(len(a), np.int64)
+        for k, (x, y) in enumerate(zip(one.tolist(), two.tolist())):
+            s, t = tokens[x], tokens[y]
+            if len(s) > len(t):
+                s, t = t, s
+            both[k] = np.count_nonzero(t[np.minimum(t.searchsorted(s), len(t) - 1)] == s)
+        ok = 100 * both >= p.percent * (n[one] + n[two] - both) if len(a) else np.zeros(0, bool)
+        return pa.table([pa.array(c) for c in (a[ok], b[ok], cid[one[ok]], cid[two[ok]], both[ok])], names=["a", "b", "ca", "cb", "both"])
+
+    return put.groupBy("cell").cogroup(there.groupBy("at")).applyInArrow(run, "a long, b long, ca long, cb long, both long")
+
+
 def join(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, n_shingles, cid, component_id), one row per row of docs, and the links found
-    between classes (ca, cb, both), which connect each component."""
+    """Membership (doc_id, n_shingles, cid, component_id, n_links), one row per row of docs, and all links
+    between classes (a, b: fingerprints of the sets; ca, cb, both).  n_links is the number of other rows
+    with an id that are similar enough, those of the same class included."""
+    rows = classes(docs, p)
+    sets, keys = rows.where(F.col("kind") == SET), rows.where(F.col("kind") == KEY)
+    links = common.stored(all_verified(common.stored(all_candidates(keys, sets, p)), sets, p))
+    roots = graph.components(links.select("ca", "cb"))
+    members = rows.where(F.col("kind") == MEMBER).select("sig", "doc_id", F.col("n").cast("long").alias("n_shingles"), "cid")
+    able = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    sizes = members.where(able).groupBy("sig").agg(F.count("*").alias("own"))
+    ends = links.select(F.col("a").alias("sig"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("sig"), F.col("a").alias("other")))
+    beside = ends.join(sizes.select(F.col("sig").alias("other"), "own"), "other").groupBy("sig").agg(F.sum("own").alias("beside"))
+    per = sizes.join(beside, "sig", "left").select("sig", (F.col("own") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    out = members.join(roots, F.col("cid") == F.col("node"), "left").join(per, "sig", "left")
+    n_links = F.when(able, F.col("n_links")).otherwise(F.lit(0)).cast("long")
+    return out.select("doc_id", "n_shingles", "cid", F.coalesce("root", "cid").alias("component_id"), n_links.alias("n_links")), links
+
+
+def connected(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
+    """Membership (doc_id, n_shingles, cid, component_id), one row per row of docs, and so many links
+    between classes (ca, cb, both) as connect each component."""
     rows = classes(docs, p)
     sets, keys = rows.where(F.col("kind") == SET), rows.where(F.col("kind") == KEY)
     tried = common.stored(candidates(keys.select("key", "n", "r", "sig"), p, full=False))
@@ -404,9 +522,14 @@ def join(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """docs without the rows that are linked to a document with a smaller id; all columns stay.  Rows with a
     null id stay; of rows that share the id that a component keeps, all stay."""
-    gone = join(docs, p)[0].where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = connected(docs, p)[0].where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+    return connected(common.table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_ngram_jaccard and, of all links, the number of each document."""
+    return join(common.table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id", "n_links")

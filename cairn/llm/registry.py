@@ -10,7 +10,7 @@ from .decontaminate import oracle as decontaminate_sql
 from .langid import op3_language_id
 from .licenses import op2_license_scans
 from .licenses import oracle as licenses_sql
-from .neardup import op1_ngram_jaccard
+from .neardup import op1_ngram_jaccard, op1_ngram_jaccard_links
 from .packing import op8_best_fit_packing
 from .quality import op10_quality_rules
 from .secrets import op5_secret_scans
@@ -21,6 +21,7 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_license_scans": op2_license_scans,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
