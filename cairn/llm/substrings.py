@@ -34,15 +34,14 @@ from .common import U64
 @dataclass(frozen=True)
 class SuperKmers:
     """k: words of a window.  m: words of a minimiser.  chunk: bytes of text that a task settles at
-    once.  buckets: of windows and of documents, per shuffle partition."""
+    once.  buckets: of windows and of documents, per shuffle partition.  bits: of a key that give way to
+    its place; longer texts are taken in blocks."""
 
     k: int = 13
     m: int = 3
     chunk: int = 4 << 20
     buckets: int = 4
-
-
-_BITS = U64(24)
+    bits: int = 24
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -55,6 +54,20 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def sliding_argmin(a: np.ndarray, w: int, bits: int) -> np.ndarray:
+    """Place of the least of each w consecutive entries, by all but the low `bits` bits, the first of equal
+    ones; in blocks of 2**bits entries that overlap by w - 1, so that any number of entries will do."""
+    low, size = (U64(1) << U64(bits)) - U64(1), 1 << bits
+    if size < w:
+        raise ValueError(f"{bits} bits are too few for the places of {w} entries")
+    out = np.empty(max(0, len(a) - w + 1), np.int64)
+    for at in range(0, len(out), size - w + 1):
+        part = a[at : at + size]
+        got = sliding_min(part & ~low | np.arange(len(part), dtype=U64), w) & low
+        out[at : at + len(got)] = got.astype(np.int64) + at
+    return out
+
+
 def super_kmers(words: list[bytes], doc: np.ndarray, p: SuperKmers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window and minimiser of each super-k-mer of the documents whose words stand
     one behind the other; doc has each word's document."""
@@ -64,9 +77,9 @@ def super_kmers(words: list[bytes], doc: np.ndarray, p: SuperKmers) -> tuple[np.
     gram = common.window_hash(common.hash_words(words), p.m)
     size = np.cumsum([0, *map(len, words)])
     frequent = (size[p.m :] - size[: -p.m]) < 4 * p.m
-    key = (gram >> U64(1)) & ~((U64(1) << _BITS) - U64(1)) | np.arange(len(gram), dtype=U64)
+    key = gram >> U64(1)
     key[frequent] |= U64(1) << U64(63)
-    at = (sliding_min(key, p.k - p.m + 1) & ((U64(1) << _BITS) - U64(1))).astype(np.int64)
+    at = sliding_argmin(key, p.k - p.m + 1, p.bits)
     valid = doc[:n] == doc[p.k - 1 :]
     new = np.ones(n, bool)
     mini = gram[at]  # by value: a stretch that repeats itself stays together

@@ -32,18 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common, ranges
 from .common import U64
-from .substrings import sliding_min
+from .substrings import sliding_argmin
 
 
 @dataclass(frozen=True)
 class Suffixes:
     """depth: bytes of a repeated string.  anchor: bytes of an anchor (16).  chunk: bytes of text that a
-    task cuts at once.  buckets: per shuffle partition."""
+    task cuts at once.  buckets: per shuffle partition.  bits: of a hash that give way to its place; more
+    bytes are taken in blocks."""
 
     depth: int = 100
     anchor: int = 16
     chunk: int = 2 << 20
     buckets: int = 4
+    bits: int = 24
 
     @property
     def half(self) -> int:
@@ -79,8 +81,7 @@ def cut(buf: np.ndarray, bounds: np.ndarray, p: Suffixes) -> tuple[np.ndarray, .
     if n <= 0:
         return none
     gram = hashed(loads(np.concatenate([buf, np.zeros(8, np.uint8)])), slice(None), p.anchor)[: int(bounds[-1]) - p.anchor + 1]
-    low = (U64(1) << U64(24)) - U64(1)
-    at = (sliding_min(gram & ~low | np.arange(len(gram), dtype=U64), p.depth - p.anchor + 1) & low).astype(np.int64)
+    at = sliding_argmin(gram, p.depth - p.anchor + 1, p.bits)
     least = gram[at]
     valid = np.ones(n, bool)
     for e in bounds[1:-1].tolist():

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 
-from cairn.llm import neardup
+from cairn.llm import neardup, substrings, suffixes
 
 
 def near_copies():
@@ -35,3 +36,26 @@ def test_join_finds_all_links(spark, p):
     assert sorted(map(tuple, out.select("doc_id", "n_shingles", "n_links").collect()), key=repr) == sorted(plain, key=repr)
     distinct = {sets[i]: i for i in range(len(rows)) if able[i]}
     assert links.count() == sum(similar(i, j) for i in distinct.values() for j in distinct.values()) // 2
+
+
+@pytest.mark.parametrize("op", ["bytes", "words"])
+def test_places_across_blocks(spark, op):
+    """Texts longer than the places that fit beside a hash, with repeats on both sides of the borders."""
+    g = random.Random(5)
+    shared = [" ".join(f"s{g.randrange(10**4)}" for _ in range(60)) for _ in range(4)]
+    rows = [(i, " ".join(t for s in g.sample(shared, 3) for t in (s, " ".join(f"u{g.randrange(10**6)}" for _ in range(g.randrange(5, 90)))))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    if op == "bytes":
+        out, plain = suffixes.deduplicate(docs, suffixes.Suffixes(bits=7)), brute.byte_strings(rows)
+        cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    else:
+        out, plain = substrings.deduplicate(docs, substrings.SuperKmers(bits=4)), brute.word_windows(rows)
+        cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert sorted(map(tuple, out.select(*cols).collect())) == sorted(plain)
+
+
+def test_argmin_has_no_limit_of_places():
+    a = np.random.default_rng(1).integers(0, 1 << 63, 3000, np.int64).astype(np.uint64)
+    for bits in (5, 8, 24):
+        top = (a >> np.uint64(bits)).tolist()
+        assert substrings.sliding_argmin(a, 20, bits).tolist() == [min(range(i, i + 20), key=lambda j: (top[j], j)) for i in range(len(a) - 19)]
