@@ -450,13 +450,19 @@ def truncate(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(text.truncated(F.col("text"), 200), 256).alias("head"))
 
 
+@query("truncate_all")
+def truncate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 200 bytes of every text, cut at whole characters."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.truncated(F.col("text"), 200), 256).alias("head"))
+
+
 @query("event_dedupe")
 def event_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates of every tenth user against the events of the others."""
-    c = candidates(spark, sf).join(table(spark, sf, "events").select("event_id", "user_id"), "event_id")
-    mine = c.where("user_id % 10 = 0").withColumn("candidate_id", F.col("event_id"))
-    theirs = c.where("user_id % 10 <> 0 and date is not null").select(F.col("event_id").alias("id"), F.col("title").alias("summary"), F.concat("date", F.lit("T"), F.coalesce("start_time", F.lit("09:00")), F.lit(":00Z")).alias("start"), F.lit("").alias("end"))
-    return events.duplicates(mine, theirs)
+    """All candidates against all dated events but the one that a candidate is made of."""
+    c = candidates(spark, sf)
+    mine = c.withColumn("candidate_id", F.col("event_id"))
+    theirs = c.where("date is not null").select(F.col("event_id").alias("id"), F.col("title").alias("summary"), F.concat("date", F.lit("T"), F.coalesce("start_time", F.lit("09:00")), F.lit(":00Z")).alias("start"), F.lit("").alias("end"))
+    return events.duplicates(mine, theirs).where("candidate_id <> event_id")
 
 
 @query("json_candidates", "SELECT conv_id, turn, count(*) AS n FROM (SELECT conv_id, turn, unnest(range(CASE (conv_id + turn) % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)) AS k FROM conversations) GROUP BY ALL")
