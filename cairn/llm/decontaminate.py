@@ -122,19 +122,23 @@ def _inner(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def proximity(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     """Documents with all terms inside a stretch of `within` words: doc_id, h, start, end (exclusive),
-    one row for each place of the rarest term, with the nearest place of every other term."""
+    one row for each place of the rarest term, with the shortest stretch around it, the first of equal
+    ones.  Every begin that lies less than `within` words before the place is tried, with the next
+    place of every other term."""
     freq = {r["term"]: r["n"] for r in index.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("n")).collect()}
     if len(freq) < len(set(terms)):
         return index.select("doc_id", "h", F.col("pos").alias("start"), F.col("pos").alias("end")).limit(0)
     first, *rest = sorted(freq, key=lambda t: (freq[t], t))
-    out = index.where(F.col("term") == first).distinct().select("doc_id", "h", F.col("pos").alias("at"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    at = index.where(F.col("term") == first).distinct().select("doc_id", "h", F.col("pos").alias("at"))
+    out = at.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - (within - 1)), F.col("at"))).alias("s"), F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
     for t in rest:
-        # places within reach share a block of `within` words or lie in neighbouring ones
-        near = index.where(F.col("term") == t).distinct().select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("pos").alias("p"), F.explode(F.array(*[(F.floor(F.col("pos") / within) + i).alias("b") for i in (-1, 0, 1)])).alias("b"))
-        met = out.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.floor(F.col("at") / within) == F.col("b")) & (F.abs(F.col("p") - F.col("at")) < within))
-        best = F.min_by(F.struct(F.least("start", "p").alias("start"), F.greatest("end", F.col("p") + 1).alias("end")), F.struct(F.abs(F.col("p") - F.col("at")), "p"))
-        out = met.groupBy("doc_id", "h", "at").agg(best.alias("x")).select("doc_id", "h", "at", "x.start", "x.end")
-    return out.where(F.col("end") - F.col("start") <= within).drop("at")
+        # places within reach share a block of `within` words with the begin or lie in the next one
+        near = index.where(F.col("term") == t).distinct().select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("pos").alias("p"), F.explode(F.array(*[(F.floor(F.col("pos") / within) + i).alias("b") for i in (-1, 0)])).alias("b"))
+        met = out.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.floor(F.col("s") / within) == F.col("b")) & (F.col("p") >= F.col("s")) & (F.col("p") < F.col("s") + within))
+        next_ = met.groupBy("doc_id", "h", "at", "s", "start", "end").agg(F.min("p").alias("p"))
+        out = next_.select("doc_id", "h", "at", "s", F.least("start", "p").alias("start"), F.greatest("end", F.col("p") + 1).alias("end"))
+    best = F.min_by(F.struct("start", "end"), F.struct(F.col("end") - F.col("start"), "start")).alias("x")
+    return out.where(F.col("end") - F.col("start") <= within).groupBy("doc_id", "h", "at").agg(best).select("doc_id", "h", "x.start", "x.end")
 
 
 def report(docs: DataFrame, items: DataFrame, least_items: int = 2) -> DataFrame:

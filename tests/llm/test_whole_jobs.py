@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 
-from cairn.llm import neardup, substrings, suffixes
+from cairn.llm import decontaminate, neardup, substrings, suffixes
 
 
 def near_copies():
@@ -59,3 +59,24 @@ def test_argmin_has_no_limit_of_places():
     for bits in (5, 8, 24):
         top = (a >> np.uint64(bits)).tolist()
         assert substrings.sliding_argmin(a, 20, bits).tolist() == [min(range(i, i + 20), key=lambda j: (top[j], j)) for i in range(len(a) - 19)]
+
+
+def test_proximity_tries_every_window(spark):
+    g = random.Random(3)
+    filler = lambda n: [g.choice("pqrs") for _ in range(n)]
+    rows = [(1, " ".join([*"xxxxxxxxx", "b", "a", "x", "b", "x", "c"]))]  # b at 9 is the nearest to a at 10, but 12 is the one that fits
+    rows += [(2 + i, " ".join(g.choice(["b", "c", "b", "c", "d", *filler(4)]) if g.random() < 0.9 else "a" for _ in range(40))) for i in range(40)]
+    terms = ["a", "b", "c"]
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), 3)
+    per = {t: sum(x.split().count(t) for _, x in rows) for t in terms}
+    assert min(per, key=per.get) == "a"
+    for within in (3, 5):
+        plain = []
+        for d, text in rows:
+            w = text.split()
+            for at in (i for i, x in enumerate(w) if x == "a"):
+                spans = [(e - s, s, e) for s in range(max(0, at - within + 1), at + 1) for e in range(at + 1, min(len(w), s + within) + 1) if set(terms) <= set(w[s:e])]
+                plain += [(d, *min(spans)[1:])] if spans else []
+        out = decontaminate.proximity(index, terms, within)
+        assert sorted(map(tuple, out.select("doc_id", "start", "end").collect())) == sorted(plain)
+    assert (1, 10, 15) in plain
