@@ -49,13 +49,13 @@ def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]
 
 
 def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """The stored postings: term, doc_id, h (a hash of the text, which tells rows of one id apart) and
+    """The stored postings: term, doc_id, h (64 bits of a hash of the text, which tell rows of one id apart) and
     pos, for the given terms, and for _END with the number of words as pos.
 
     A term is a word, or two words with a blank between them, which stands where the first one does:
     pairs of words are far rarer than words, so phrases are looked up by pairs.  Terms meet by a hash of
     their full lower case, which equal terms share, before A-Z alone is lowered and compared."""
-    parts = docs.select("doc_id", F.hash("text").alias("h"), split_words(F.coalesce("text", F.lit(""))).alias("parts"))
+    parts = docs.select("doc_id", F.xxhash64("text").alias("h"), split_words(F.coalesce("text", F.lit(""))).alias("parts"))
     flat = parts.select("doc_id", "h", leading(F.col("parts")).alias("lead"), count_words(F.col("parts")).cast("int").alias("n"), F.concat("parts", F.array(F.lit(_END))).alias("parts"))
     beside = F.arrays_zip(F.col("parts").alias("a"), F.slice("parts", F.lit(2), F.size("parts")).alias("b"))
     words = flat.select("doc_id", "h", "lead", "n", F.posexplode(beside).alias("pos", "x")).select("doc_id", "h", "lead", "n", "pos", F.col("x.a").alias("a"), F.coalesce("x.b", F.lit("")).alias("b"))
@@ -162,7 +162,7 @@ def report(docs: DataFrame, items: DataFrame, least_items: int = 2) -> DataFrame
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
     bad = report(docs, items).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    keyed = docs.withColumn("__t", F.hash("text"))
+    keyed = docs.withColumn("__t", F.xxhash64("text"))
     return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left_anti").drop("__t")
 
 

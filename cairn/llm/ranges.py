@@ -23,12 +23,13 @@ LAST = np.iinfo(np.int64).max
 
 
 def text_key(raw: bytes) -> int:
-    """Tells the rows of one doc_id apart."""
-    return xxhash.xxh3_64_intdigest(raw) & 0xFFFFFFFF
+    """Tells the rows of one doc_id apart: 64 bits."""
+    return xxhash.xxh3_64_intdigest(raw)
 
 
-def bucket_of(doc_id: np.ndarray, n: int) -> np.ndarray:
-    return (common.mix(doc_id.astype(np.int64).view(np.uint64) + common.U64(0x51ED27)) % common.U64(n)).astype(np.int32)
+def bucket_of(doc_id: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Rows of one doc_id, or without one, are spread by their text."""
+    return (common.mix(common.mix(doc_id.astype(np.int64).view(np.uint64) + common.U64(0x51ED27)) + key) % common.U64(n)).astype(np.int32)
 
 
 def ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -37,17 +38,17 @@ def ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def packed(doc: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
     """Ranges [start, start + count) of documents as rows of DDL, one per document bucket."""
-    b = bucket_of(doc, n_buckets)
+    b = bucket_of(doc, key, n_buckets)
     order = np.lexsort((start, doc, b))
     b, doc, key, start, count = b[order], doc[order], key[order], start[order], count[order]
     cuts = np.flatnonzero(np.diff(b)) + 1
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
         if lo < hi:
-            yield RANGES, int(b[lo]), hi - lo, common.pack(doc[lo:hi], key[lo:hi].astype(np.uint32), start[lo:hi].astype(np.int32), count[lo:hi].astype(np.int32))
+            yield RANGES, int(b[lo]), hi - lo, common.pack(doc[lo:hi], key[lo:hi].astype(np.uint64), start[lo:hi].astype(np.int32), count[lo:hi].astype(np.int32))
 
 
 def unpacked(n: int, blob: bytes) -> list[np.ndarray]:
-    return common.unpack(blob, n, "i8", "u4", "i4", "i4")
+    return common.unpack(blob, n, "i8", "u8", "i4", "i4")
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -77,34 +78,33 @@ def apply(docs: DataFrame, found: DataFrame, n_buckets: int, make: Callable[[byt
         for b in common.chunks(batches, 16 << 20):
             d = ids(b.column("doc_id"))
             raws = [(t.as_py() or "").encode() for t in b.column("text")]
-            size, bucket, rows = np.array([len(r) for r in raws], np.int32), bucket_of(d, n_buckets), []
+            key = np.array([text_key(r) for r in raws], np.uint64)
+            size, bucket, rows = np.array([len(r) for r in raws], np.int32), bucket_of(d, key, n_buckets), []
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
                 own = order[lo:hi]
-                meta = common.pack(d[own], size[own])
+                meta = common.pack(d[own], key[own], size[own])
                 rows.append((TEXTS, int(bucket[own[0]]), hi - lo, len(meta).to_bytes(4, "little") + meta + common.zip_bytes(b"".join([raws[i] for i in own.tolist()]), 3)))
             yield batch(rows)
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [unpacked(n, blob) for n, blob in zip(right.column("n").to_pylist(), right.column("blob").to_pylist())]
-        doc, key, start, count = (np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, np.int64),) * 4
+        none = np.empty(0, np.int64)
+        doc, key, start, count = (np.concatenate(c) for c in zip(*parts)) if parts else (none, none.view(np.uint64), none, none)
         order = np.lexsort((start, key, doc))
         doc, key, start, count = doc[order], key[order], start[order], count[order]
+        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.empty(0, np.int64)
+        own_ranges = dict(zip(zip(doc[head].tolist(), key[head].tolist()), zip(head.tolist(), [*head[1:].tolist(), len(doc)])))
         out_ids, rows = [], []
         for n, blob in zip(left.column("n").to_pylist(), left.column("blob").to_pylist()):
             m = int.from_bytes(blob[:4], "little")
-            d, size = common.unpack(blob[4 : 4 + m], n, "i8", "i4")
+            d, k, size = common.unpack(blob[4 : 4 + m], n, "i8", "u8", "i4")
             texts, end = common.unzip_bytes(blob[4 + m :]), np.cumsum(size, dtype=np.int64)
-            lo, hi = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
             out_ids.append(d)
-            for i in range(n):
-                raw = texts[end[i] - size[i] : end[i]]
-                s, c = start[lo[i] : hi[i]], count[lo[i] : hi[i]]
-                if len(s):
-                    own = key[lo[i] : hi[i]] == text_key(raw)
-                    s, c = s[own], c[own]
-                rows.append(make(raw, s, c))
+            for i, who in enumerate(zip(d.tolist(), k.tolist())):
+                lo, hi = own_ranges.get(who, (0, 0))
+                rows.append(make(texts[end[i] - size[i] : end[i]], start[lo:hi], count[lo:hi]))
         cols = [pa.array([r[j] for r in rows], f.type) for j, f in enumerate(list(schema)[1:])]
         d = np.concatenate(out_ids) if out_ids else np.empty(0, np.int64)
         return pa.table([pa.array(d, mask=d == LAST), *cols], schema=schema)

@@ -107,7 +107,7 @@ def _send(batches: Iterable[pa.RecordBatch], p: SuperKmers, n_buckets: int) -> I
             continue
         text, begin = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
         strings = [text[x:y] for x, y in zip(begin[first].tolist(), (begin[last + p.k] - 1).tolist())]
-        id_, keys = id_[by_id], np.array(keys, np.uint32)
+        id_, keys = id_[by_id], np.array(keys, np.uint64)
         d = doc[first]
         start = first - np.searchsorted(doc, d)
         # of equal strings those in a later document than the first go at once
@@ -136,7 +136,7 @@ def _count(t: pa.Table, p: SuperKmers, n_buckets: int) -> pa.Table:
             out.append((kind, bucket, n, blob))
             continue
         size = int.from_bytes(blob[:4], "little")
-        meta.append(common.unpack(blob[4 : 4 + size], n, "i8", "u4", "i4"))
+        meta.append(common.unpack(blob[4 : 4 + size], n, "i8", "u8", "i4"))
         strings.append(common.unzip_bytes(blob[4 + size :]))
     if meta:
         id_, key, start = (np.concatenate(c) for c in zip(*meta))

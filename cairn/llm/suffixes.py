@@ -99,9 +99,9 @@ def _send(batches: Iterable[pa.RecordBatch], p: Suffixes, n_buckets: int) -> Ite
     for b in common.chunks(batches, p.chunk):
         id_ = ranges.ids(b.column("doc_id"))
         raws = [(t.as_py() or "").encode() for t in b.column("text")]
-        keys = np.array([ranges.text_key(r) for r in raws], np.int64)
+        keys = np.array([ranges.text_key(r) for r in raws], U64)
         order = np.lexsort((keys, id_))
-        _, once = np.unique(np.stack([id_[order], keys[order]]), axis=1, return_index=True)
+        _, once = np.unique(np.stack([id_[order], keys[order].view(np.int64)]), axis=1, return_index=True)
         order = order[np.sort(once)]
         text = b"".join([raws[i] for i in order.tolist()])
         id_, keys = id_[order], keys[order]
@@ -122,7 +122,7 @@ def _send(batches: Iterable[pa.RecordBatch], p: Suffixes, n_buckets: int) -> Ite
         cuts = np.flatnonzero(np.diff(bucket[stay])) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(stay)]):
             own = stay[lo:hi]
-            meta = common.pack(id_[d[own]], keys[d[own]].astype(np.uint32), start[own].astype(np.int32), (last - first + p.depth)[own].astype(np.int32), off[own])
+            meta = common.pack(id_[d[own]], keys[d[own]], start[own].astype(np.int32), (last - first + p.depth)[own].astype(np.int32), off[own])
             rows.append((ranges.STRINGS, int(bucket[own[0]]), len(own), len(meta).to_bytes(4, "little") + meta + common.zip_bytes(b"".join([strings[i] for i in own.tolist()]))))
         yield ranges.batch(rows)
 
@@ -152,7 +152,7 @@ def _sort(t: pa.Table, p: Suffixes, n_buckets: int) -> pa.Table:
             out.append((kind, bucket, n, blob))
             continue
         size = int.from_bytes(blob[:4], "little")
-        meta.append(common.unpack(blob[4 : 4 + size], n, "i8", "u4", "i4", "i4", "u1"))
+        meta.append(common.unpack(blob[4 : 4 + size], n, "i8", "u8", "i4", "i4", "u1"))
         texts.append(common.unzip_bytes(blob[4 + size :]))
     if meta:
         id_, key, start, length, off = (np.concatenate(c) for c in zip(*meta))

@@ -7,8 +7,10 @@ import random
 import brute
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, neardup, substrings, suffixes
+from cairn.llm import decontaminate, neardup, ranges, substrings, suffixes
 
 
 def near_copies():
@@ -80,3 +82,37 @@ def test_proximity_tries_every_window(spark):
         out = decontaminate.proximity(index, terms, within)
         assert sorted(map(tuple, out.select("doc_id", "start", "end").collect())) == sorted(plain)
     assert (1, 10, 15) in plain
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Two different texts that agree on the low 32 bits of their hash, under one id: each keeps its own ranges."""
+    one, two, seen = None, None, {}
+    tail = " ".join(f"t{i}" for i in range(40))
+    for i in range(10**6):
+        text = f"n{i} {tail[: 120 + i % 90]}"
+        if (other := seen.setdefault(xxhash.xxh3_64_intdigest(text.encode()) & 0xFFFFFFFF, text)) != text and len(other) != len(text):
+            one, two = other, text
+            break
+    assert one and two
+    rows = [(1, tail), (None, one), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    plain = brute.word_windows(rows)
+    assert sorted(map(tuple, substrings.deduplicate(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == sorted(plain, key=repr)
+    bytes_ = brute.byte_strings([(d or 2, t) for d, t in rows])
+    # the order of rows of one id is that of their hashes, so only sizes are held against the plain version
+    got = suffixes.deduplicate(docs).select("n_bytes", "n_removed").collect()
+    assert sorted(r.n_bytes for r in got) == sorted(b[1] for b in bytes_) and all(r.n_removed > 0 for r in got if r.n_bytes != len(tail))
+    buckets = ranges.bucket_of(np.full(1000, ranges.LAST), np.arange(1000, dtype=np.uint64), 8)
+    assert len(set(buckets.tolist())) == 8
+
+
+def test_decontamination_tells_rows_of_one_id_apart(spark):
+    """Two texts of one id with one 32-bit hash (F.hash): only the one with the passages goes."""
+    passages = ["alpha beta gamma", "delta epsilon zeta"]
+    dirty = spark.range(300_000).select(F.concat(F.lit(" ".join(passages) + " "), F.col("id").cast("string")).alias("dirty"))
+    clean = spark.range(300_000).select(F.concat(F.lit("nothing of the kind "), F.col("id").cast("string")).alias("clean"))
+    met = dirty.join(clean, F.hash("dirty") == F.hash("clean")).first()
+    docs = spark.createDataFrame([(1, met.dirty), (1, met.clean)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(passages)], "item_id long, text string")
+    assert [r.text for r in decontaminate.clean(docs, items).collect()] == [met.clean]
+    assert sorted(r.n_items for r in decontaminate.report(docs, items).collect()) == [0, 2]
