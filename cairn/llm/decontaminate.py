@@ -22,15 +22,20 @@ from . import common
 from .text_sql import LOWER, UPPER, count_words, leading, split_words
 
 WINDOW = 8
-#: Tables of test terms and windows up to this many rows are broadcast, larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Tables of test terms and windows up to this many bytes are broadcast, larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
 #: Stands behind a text's last word in the index, so that a document's length is a posting too.
 _END = "\n"
 _KEY = ["doc_id", "h"]
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bytes(terms: DataFrame) -> int:
+    """What a table with a column `term` takes: its terms, and 64 bytes a row for the other columns."""
+    return terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+
+
+def _sized(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _lower(c: Column) -> Column:
@@ -48,7 +53,7 @@ def windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]
     return ids, got.join(ids, "words").select("w", "item_id")
 
 
-def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored postings: term, doc_id, h (64 bits of a hash of the text, which tell rows of one id apart) and
     pos, for the given terms, and for _END with the number of words as pos.
 
@@ -60,15 +65,16 @@ def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     beside = F.arrays_zip(F.col("parts").alias("a"), F.slice("parts", F.lit(2), F.size("parts")).alias("b"))
     words = flat.select("doc_id", "h", "lead", "n", F.posexplode(beside).alias("pos", "x")).select("doc_id", "h", "lead", "n", "pos", F.col("x.a").alias("a"), F.coalesce("x.b", F.lit("")).alias("b"))
     known = terms.select("term", F.split("term", " ").alias("t")).select("term", F.get("t", F.lit(0)).alias("t1"), F.get("t", F.lit(1)).alias("t2"))
-    ends = terms.sparkSession.createDataFrame([(_END, _END, "")], "term string, t1 string, t2 string")
+    ends = terms.sparkSession.range(1).select(F.lit(_END).alias("term"), F.lit(_END).alias("t1"), F.lit("").alias("t2"))
+    size = _bytes(terms)
     key = lambda *cols: F.xxhash64(*[F.lower(c) for c in cols])
     pairs = known.where("t2 is not null").unionByName(ends).withColumn("key", key("t1", "t2"))
-    met = words.join(_sized(pairs, n_terms), (key("a", "b") == F.col("key")) & (_lower(F.col("a")) == F.col("t1")) & (_lower(F.col("b")) == F.col("t2")))
+    met = words.join(_sized(pairs, size), (key("a", "b") == F.col("key")) & (_lower(F.col("a")) == F.col("t1")) & (_lower(F.col("b")) == F.col("t2")))
     pos = F.when(F.col("term") == _END, F.col("n")).otherwise(F.col("pos") - F.col("lead")).cast("int").alias("pos")
     out = met.select("term", "doc_id", "h", pos)
     single = known.where("t2 is null").drop("t2").withColumn("key", key("t1"))
     if not single.isEmpty():
-        met = words.join(_sized(single, n_terms), (key("a") == F.col("key")) & (_lower(F.col("a")) == F.col("t1")))
+        met = words.join(_sized(single, size), (key("a") == F.col("key")) & (_lower(F.col("a")) == F.col("t1")))
         out = out.unionByName(met.select("term", "doc_id", "h", pos))
     return common.stored(out)
 
@@ -82,7 +88,7 @@ def terms_of(ids: DataFrame) -> DataFrame:
 def phrases(index: DataFrame, ids: DataFrame) -> DataFrame:
     """Exact matches: doc_id, h, start (in words), w, n (words of the phrase); one row per place."""
     places = terms_of(ids)
-    n_rows = places.count()
+    size = _bytes(places)
     freq = index.where(F.col("term") != _END).groupBy("term").agg(F.count("*").alias("df"))
     order, whole = Window.partitionBy("w").orderBy("df", "off"), Window.partitionBy("w")
     # a phrase with a term that no document holds has no place in it
@@ -90,13 +96,13 @@ def phrases(index: DataFrame, ids: DataFrame) -> DataFrame:
     ranked = common.stored(ranked.select("w", "n", "k", "off", "term", "rank"))
 
     def shifted(rank: int) -> DataFrame:
-        of = _sized(ranked.where(F.col("rank") == rank).select("term", "w", "n", "k", "off"), n_rows)
+        of = _sized(ranked.where(F.col("rank") == rank).select("term", "w", "n", "k", "off"), size)
         return index.join(of, "term").select("doc_id", "h", (F.col("pos") - F.col("off")).alias("start"), "w", "n", "k").where("start >= 0").distinct()
 
     first = shifted(1)
     both = _semi(first.where("k > 1"), shifted(2), ["start", "w"])
     left = common.stored(first.where("k = 1").unionByName(both))
-    need = left.where("k > 2").join(_sized(ranked.where("rank > 2").select("w", "off", "term"), n_rows), "w")
+    need = left.where("k > 2").join(_sized(ranked.where("rank > 2").select("w", "off", "term"), size), "w")
     need = need.select("doc_id", "h", "start", "w", "n", "k", (F.col("start") + F.col("off")).alias("pos"), "term")
     full = _inner(need, index.where(F.col("term") != _END), ["pos", "term"]).distinct().groupBy("doc_id", "h", "start", "w", "n", "k").agg(F.count("*").alias("there")).where("there = k - 2")
     return left.where("k <= 2").drop("k").unionByName(full.drop("k", "there"))
@@ -146,7 +152,7 @@ def report(docs: DataFrame, items: DataFrame, least_items: int = 2) -> DataFrame
     items_sha256 and contaminated (`least_items` items or more)."""
     ids, holds = windows(items)
     terms = common.stored(terms_of(ids).select("term").distinct())
-    index = build_index(docs, terms, terms.count())
+    index = build_index(docs, terms)
     places = common.stored(phrases(index, ids))
     hit = places.select(*_KEY, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy(*_KEY).agg(F.count("*").alias("n_hit"))
     found = places.select(*_KEY, "w").distinct().join(holds, "w").select(*_KEY, "item_id").distinct().groupBy(*_KEY).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
@@ -159,11 +165,13 @@ def report(docs: DataFrame, items: DataFrame, least_items: int = 2) -> DataFrame
     return out.select(*_KEY, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= least_items).alias("contaminated"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    bad = report(docs, items).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    keyed = docs.withColumn("__t", F.xxhash64("text"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left_anti").drop("__t")
+def clean(docs: DataFrame, items: DataFrame, least_items: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, in which fewer than `least_items` items occur: one window of
+    one item is enough for a document to go.  Rows with null or empty texts stay, as does every row
+    where there are no items; of repeated rows all go or all stay."""
+    bad = report(docs, items, least_items).where("contaminated").select("doc_id", "h").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__doc_id"), F.xxhash64("text").alias("__h"))
+    return keyed.join(bad, F.col("__doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("h")), "left_anti").select("row.*")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -522,8 +522,8 @@ def connected(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """docs without the rows that are linked to a document with a smaller id; all columns stay.  Rows with a
     null id stay; of rows that share the id that a component keeps, all stay."""
-    gone = connected(docs, p)[0].where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = connected(docs, p)[0].where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.select(F.struct("*").alias("row"), "doc_id").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,9 @@ doc_id and text are neither read nor returned by the ledger, and `filter_documen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,25 +85,24 @@ def _wordlike(w: bytes) -> bool:
     return not w[:3].isdigit() and (w[:1].isalnum() or w[0] > 127 or w[1:2].isalpha())
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measurements, and `failed`: bit r.bit is set where rule r fails."""
-    fields = [pa.field(m, pa.int64()) for m in MEASURES]
-    measured = _measured(docs.select("doc_id", "text"), pa.schema([pa.field("doc_id", pa.int64()), *fields]))
-    bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return measured.withColumn("failed", failed)
+def _measures(texts):  # noqa: ANN001, ANN202  pandas UDFs take their kind from hints that postponed evaluation hides
+    import pandas as pd
 
+    return pd.DataFrame([measure(t) for t in texts], columns=MEASURES, dtype="int64")
 
-def _measured(docs: DataFrame, schema: pa.Schema) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, 16 << 20):
-            rows = np.array([measure(t.as_py()) for t in b.column("text")], np.int64).reshape(-1, len(MEASURES))
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], schema=schema)
 
-    ddl = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, ddl)
+def _judged(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """docs (columns `row` and `text`) as row, the measurements, and `failed`."""
+    measured = F.pandas_udf(_measures, ", ".join(f"{m} long" for m in MEASURES))(F.col("text"))
+    failed = F.lit(0).cast("long")
+    for r in rules:
+        failed = failed.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return docs.select("row", measured.alias("m")).select("row", "m.*").withColumn("failed", failed)
+
+
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, the measurements, and `failed`: bit r.bit is set where rule r fails."""
+    return _judged(docs.select(F.col("doc_id").cast("long").alias("row"), "text"), rules).withColumnRenamed("row", "doc_id")
 
 
 def apply_policy(led: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -126,21 +123,11 @@ def ablations(led: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -
     return led.agg(*sums).select(rows.alias("x")).select("x.*")
 
 
-def filter_documents(docs: DataFrame, policy: Policy = V1) -> DataFrame:
-    """The rows of docs that the policy keeps, with all their columns.  The verdict is computed beside
-    the row (no join), so repeated or null ids don't matter."""
-    at = F.pandas_udf(_failed, "long")(F.col("text"))
-    return docs.withColumn("__failed", at).where(F.col("__failed").bitwiseAND(F.lit(policy.mask()).cast("long")) == 0).drop("__failed")
-
-
-def _failed(texts):  # noqa: ANN001, ANN202  pandas UDFs take their kind from hints that postponed evaluation hides
-    import pandas as pd
-
-    rows = pd.DataFrame([measure(t) for t in texts], columns=MEASURES, dtype="int64")
-    out = np.zeros(len(rows), np.int64)
-    for r in RULES:
-        out |= np.where(rows.eval(r.fails.replace(" and ", " & ")) if len(rows) else False, 1 << r.bit, 0)
-    return pd.Series(out)
+def filter_documents(docs: DataFrame, policy: Policy = V1, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that the policy keeps by their ledger, with all their columns.  The ledger's entry is
+    made beside the row (no join), so repeated or null ids don't matter."""
+    led = _judged(docs.select(F.struct("*").alias("row"), "text"), rules)
+    return apply_policy(led, policy, rules).where("kept").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,8 +120,9 @@ def test_decontamination(spark, docs, rows, none):
     both = both.unionByName(both.where("doc_id = 900"))
     plain = brute.benchmark([*rows, *extra, extra[0]], ITEMS)
     assert got(decontaminate.report(both, items).drop("h"), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want(plain)
-    clean = decontaminate.clean(both, items)
+    clean = decontaminate.clean(both, items, 2)
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in plain if not r[-1]}
+    assert got(decontaminate.clean(both, items), "doc_id") == want([r[:1] for r in plain if not r[3]])
     assert decontaminate.report(none, items).count() == 0
     assert {r.n_items for r in decontaminate.report(docs, items.where("false")).collect()} == {0}
 
@@ -129,7 +130,7 @@ def test_decontamination(spark, docs, rows, none):
 def test_proximity(spark):
     texts = spark.createDataFrame([(1, "red a b blue c d e f g green"), (2, "green blue red"), (3, "red x x x x x x x x x blue green")], "doc_id long, text string")
     terms = spark.createDataFrame([("red",), ("blue",), ("green",)], "term string")
-    index = decontaminate.build_index(texts, terms, 3)
+    index = decontaminate.build_index(texts, terms)
     near = decontaminate.proximity(index, ["red", "blue", "green"], 5)
     assert got(near, "doc_id", "start", "end") == [(2, 0, 3)]
     assert got(decontaminate.proximity(index, ["red", "blue"], 5), "doc_id", "start", "end") == [(1, 0, 4), (2, 1, 3)]

@@ -69,7 +69,7 @@ def test_proximity_tries_every_window(spark):
     rows = [(1, " ".join([*"xxxxxxxxx", "b", "a", "x", "b", "x", "c"]))]  # b at 9 is the nearest to a at 10, but 12 is the one that fits
     rows += [(2 + i, " ".join(g.choice(["b", "c", "b", "c", "d", *filler(4)]) if g.random() < 0.9 else "a" for _ in range(40))) for i in range(40)]
     terms = ["a", "b", "c"]
-    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), 3)
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
     per = {t: sum(x.split().count(t) for _, x in rows) for t in terms}
     assert min(per, key=per.get) == "a"
     for within in (3, 5):
