@@ -30,11 +30,16 @@ def guarded(rows: DataFrame, vector: str, dims: int) -> DataFrame:
     return rows.where((F.size(vector) == dims) & (n > 0) & ~F.isnan(n))
 
 
+def _size(v: np.ndarray) -> np.ndarray:
+    """Lengths of the rows of v, added up from the first dimension on, as the JVM does."""
+    return np.sqrt(np.cumsum(v * v, axis=1)[:, -1])
+
+
 def scored(rows: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
     """Guarded rows with `score`; empty for a query of length 0; an error for one without dimensions."""
     if not len(query):
         raise ValueError("an empty query vector")
-    size = float(np.linalg.norm(np.asarray(query, float)))
+    size = float(_size(np.asarray(query, float)[None])[0])
     if not size:
         return rows.where("false").withColumn("score", F.lit(0.0))
     q = vectors.literal(query)
@@ -48,45 +53,73 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_: str
 
 
 def _packed(rows: DataFrame, id_: str, vector: str, size: int) -> DataFrame:
-    """Rows as blocks of up to `size`: n, ids and a matrix of unit vectors, by dimension."""
+    """Rows as blocks of up to `size`: d, n, ids and the matrix of their vectors, by dimension."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def out(d: int) -> pa.RecordBatch:
-            ids, v = np.array([i for i, _ in held[d]], np.int64), np.array([v for _, v in held[d]], np.float64)
-            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            held[d] = []
-            return pa.record_batch([pa.array([d], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], names=["d", "n", "ids", "unit"])
+            ids, v = (np.concatenate(c) for c in zip(*held.pop(d)))
+            return pa.record_batch([pa.array([d], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["d", "n", "ids", "v"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) == size:
-                    yield out(len(v))
-        for d in [d for d, h in held.items() if h]:
+            ids, col = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            dims = np.diff(ends, prepend=0)
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                m = flat.reshape(-1, d) if len(at) == len(dims) else flat[(ends[at] - d)[:, None] + np.arange(d)]
+                for lo in range(0, len(at), size):
+                    held.setdefault(d, []).append((ids[at[lo : lo + size]], m[lo : lo + size]))
+                    if sum(len(i) for i, _ in held[d]) >= size:
+                        yield out(d)
+        for d in list(held):
             yield out(d)
 
     n = vectors.norm(F.col(vector))
     ok = rows.where((n > 0) & ~F.isnan(n) & F.col(id_).isNotNull())
-    return ok.select(F.col(id_).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "d int, n int, ids binary, unit binary")
-
-
-def top_k_batch(queries: DataFrame, rows: DataFrame, k: int = DEFAULT_K, id_: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """query_id, id, score and rank of the k rows most similar to every query of its dimension."""
-    q = _packed(queries, id_, vector, block).select("d", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("unit").alias("qunit"))
-    bytes_ = q.agg(F.sum(F.octet_length("qunit") + F.octet_length("qids"))).first()[0] or 0
-    pairs = _packed(rows, id_, vector, block).join(F.broadcast(q) if bytes_ <= BROADCAST_BYTES else q, "d")
+    return ok.select(F.col(id_).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "d int, n int, ids binary, v binary")
+
+
+#: More than a matrix product of unit vectors may be off, in any order of its sums.
+_SLACK = 1e-9
+#: Pairs of vectors that are looked at together when scores are computed anew.
+_PAIRS = 1 << 14
+
+
+def _best(u: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query and row numbers and scores of each query's k best rows, ties by id.  A matrix product finds all
+    rows that may be among them; their scores are then added up from the first dimension on, so that
+    they are the same bits in whatever blocks the rows lie."""
+    nu, nm, k = _size(u), _size(m), max(1, k)
+    s = (u / nu[:, None]) @ (m / nm[:, None]).T
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    q, r = np.nonzero(s >= (least - _SLACK)[:, None])
+    dot = np.concatenate([np.cumsum(u[q[i : i + _PAIRS]] * m[r[i : i + _PAIRS]], axis=1)[:, -1] for i in range(0, len(q), _PAIRS)])
+    score = dot / (nm[r] * nu[q])
+    order = np.lexsort((ids[r], -score, q))
+    q, r, score = q[order], r[order], score[order]
+    first = np.searchsorted(q, q)
+    top = np.arange(len(q)) - first < k
+    return q[top], r[top], score[top]
+
+
+def top_k_batch(queries: DataFrame, rows: DataFrame, k: int = DEFAULT_K, id_: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """query_id, id, score and rank of the k rows most similar to every query of its dimension, ties by id.
+    Scores are those of `top_k`, bit by bit, and don't depend on blocks."""
+    size = queries.agg(F.sum(F.size(vector) * 8 + 8)).first()[0] or 0
+    q = _packed(queries, id_, vector, block).select("d", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("v").alias("qv"))
+    pairs = _packed(rows, id_, vector, block).join(F.broadcast(q) if size <= BROADCAST_BYTES else q, "d")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                m, u = np.frombuffer(r["unit"]).reshape(r["n"], r["d"]), np.frombuffer(r["qunit"]).reshape(r["qn"], r["d"])
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                s = u @ m.T
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                at = np.arange(len(qids))[:, None]
-                yield pa.record_batch([pa.array(np.repeat(qids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(s[at, order].ravel())], names=["query_id", "id", "score"])
+            for i in range(b.num_rows):
+                of = lambda c, t: np.frombuffer(b.column(c)[i].as_buffer(), t)  # noqa: B023, E731
+                d = b.column("d")[i].as_py()
+                ids, qids, m, u = of("ids", np.int64), of("qids", np.int64), of("v", np.float64).reshape(-1, d), of("qv", np.float64).reshape(-1, d)
+                for lo in range(0, len(u), 512):
+                    at, r, score = _best(u[lo : lo + 512], m, ids, k)
+                    yield pa.record_batch([pa.array(qids[lo + at]), pa.array(ids[r]), pa.array(score)], names=["query_id", "id", "score"])
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return pairs.mapInArrow(run, "query_id long, id long, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -61,6 +61,24 @@ def test_batch_search_is_single_search(spark):
         search.BROADCAST_BYTES = was
 
 
+@pytest.mark.parametrize("block", [1, 3, 50, 4096])
+def test_batch_scores_do_not_depend_on_blocks(spark, block):
+    """Equal vectors, scaled ones and random ones: the bits of all scores, and ties by id, are those of a
+    single search, in any blocks and by either join."""
+    r = random.Random(4)
+    base = [[r.gauss(0, 1) for _ in range(24)] for _ in range(12)]
+    rows = vec(spark, *(v for _ in range(6) for v in base), *([2 * x for x in v] for v in base)).repartition(3)
+    asked = rows.where("vec_id in (0, 5, 17)")
+    want = [(q, x.vec_id, x.score, x["rank"]) for q in (0, 5, 17) for x in search.top_k(rows, list(rows.where(f"vec_id = {q}").first().embedding), 9).collect()]
+    assert sorted(map(tuple, search.top_k_batch(asked, rows, 9, block=block).collect())) == sorted(want)
+    search.BROADCAST_BYTES, was = 0, search.BROADCAST_BYTES
+    try:
+        assert sorted(map(tuple, search.top_k_batch(asked, rows, 9, block=block).collect())) == sorted(want)
+    finally:
+        search.BROADCAST_BYTES = was
+    assert search.top_k_batch(asked, rows, 0).count() == 0
+
+
 def test_top_k_plan(spark):
     plan = search.top_k(vec(spark, [1, 0]), [1.0, 0.0])._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
