@@ -1,12 +1,14 @@
 """Best-fit packing of documents into token sequences, by hierarchical residual packing.
 
-Documents are tokenised once (one row per piece).  Groups of pieces are packed best-fit decreasing
-where they lie; full and nearly full bins are emitted; the pieces of underfull bins move up a tree,
-`fan_in` groups to one, and are packed again, until one group is left.  Every round reads a stored
-table, so its outcome doesn't depend on which executor runs it or runs it again.
+Documents are tokenised once (one row per piece).  Groups of pieces are packed best-fit decreasing where
+they lie; full and nearly full bins are emitted.  What lies in underfull bins is merged to new groups of
+bounded size, and packed again, until one group is left or a round saves next to nothing; no underfull
+bin is emitted before.  Every round reads a stored table, so its outcome doesn't depend on
+which executor runs it or runs it again.
 
 Defined cases: null or empty text is a document of the end id alone; null ids and repeated rows are
-packed row by row; an empty table gives an empty result; other columns are ignored.
+packed row by row, and dealt to groups row by row; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,17 +32,16 @@ PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @dataclass(frozen=True)
 class Packing:
-    """capacity: tokens in a sequence.  group: pieces packed together at a leaf.  fan_in: groups that
-    merge in a round.  nearly_full: a bin at least so full is emitted.  carry: underfull bins that one
-    group hands up at most; the fullest beyond that are emitted as they are, so no task outgrows
-    fan_in * carry bins."""
+    """capacity: tokens in a sequence.  group: pieces that a task packs at once in the first round; merged: of
+    underfull bins in the later ones.  nearly_full: a bin at least so full is emitted.  gain: another
+    round follows one that has saved so large a share of its bins."""
 
     capacity: int = 1024
     end_id: int = 2
     group: int = 100_000
-    fan_in: int = 8
+    merged: int = 400_000
     nearly_full: float = 0.995
-    carry: int = 10_000
+    gain: float = 0.001
 
 
 class Encoder:
@@ -49,7 +50,8 @@ class Encoder:
     Where the file's merges are in the order of their ids, the ids are ranks, and a rank-based BPE
     gives the same ids several times faster.  Texts with characters beyond Latin letters, on whose
     classes regex engines may disagree, and those that spell a special token go to the tokenizer
-    that the file describes, as does everything if the file is of another kind.
+    that the file describes, as does everything if the file is of another kind, and a text that the
+    faster one's regex engine gives up on (about a million blanks in a row).
     """
 
     #: The pattern of the byte-level pre-tokenizer (fixed value).
@@ -82,9 +84,12 @@ class Encoder:
         return {bytes(of[c] for c in t): model["vocab"][t] for t in [*of, *merged]}
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or self.ODD.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if self.fast is not None and not self.ODD.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # its regex engine is out of stack
+                pass
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -136,49 +141,51 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(p: Packing, level: int, last: bool, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+def _packed(p: Packing, level: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
     lengths = pdf["length"].to_numpy()
-    bins = best_fit(lengths, p.capacity)
-    fill = np.array([lengths[b].sum() for b in bins])
-    up = np.zeros(len(bins), bool)
-    if not last:
-        up[np.argsort(fill, kind="stable")[: p.carry]] = True
-        up &= fill < p.nearly_full * p.capacity
-    seq, off = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+    seq, off, under = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64), np.empty(len(pdf), bool)
     base = (level << 58) + (int(pdf["g"].iloc[0]) << 24) if len(pdf) else 0
-    for k, b in enumerate(bins):
-        seq[b] = -1 if up[k] else base + k
-        off[b] = np.cumsum(lengths[b]) - lengths[b]
-    return pdf.assign(sequence_id=seq, offset=off)
+    for k, b in enumerate(best_fit(lengths, p.capacity)):
+        ends = np.cumsum(lengths[b])
+        seq[b], off[b], under[b] = base + k, ends - lengths[b], ends[-1] < p.nearly_full * p.capacity
+    return pdf.assign(sequence_id=seq, offset=off, under=under)
 
 
-def _packer(p: Packing, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _packer(p: Packing, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _packed(p, level, last, pdf)
+        return _packed(p, level, pdf)
 
     return run
 
 
 def pack(items: DataFrame, p: Packing = Packing()) -> DataFrame:
     """items (columns of `pieces`) with sequence_id and offset.  A sequence's pieces lie gapless from
-    offset 0.  items should be a stored table: it is counted, then read again."""
-    spark, n = items.sparkSession, items.count()
-    groups = max(1, -(-n // p.group))
-    key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("long")
-    rest, level, done = items.withColumn("g", key), 0, []
-    while True:
-        schema = ", ".join(f"{c} {t}" for c, t in rest.dtypes) + ", sequence_id long, offset long"
-        at = common.stored(rest.groupBy("g").applyInPandas(_packer(p, level, groups == 1), schema))
-        done.append(at.where("sequence_id >= 0").drop("g"))
-        if groups == 1:
+    offset 0.  Rows are numbered when they are stored, and dealt to groups by their number and the round, so
+    equal rows are spread, and groups are even samples of what is left."""
+    rest, level, done = common.stored(items.withColumn("row", F.monotonically_increasing_id())), 0, []
+    n, before, was = rest.count(), None, None
+    while n:
+        groups = -(-n // (p.merged if level else p.group))
+        dealt = rest.withColumn("g", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("long"))
+        schema = ", ".join(f"{c} {t}" for c, t in dealt.dtypes) + ", sequence_id long, offset long, under boolean"
+        at = common.stored(dealt.groupBy("g").applyInPandas(_packer(p, level), schema))
+        bins, open_bins, n = at.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("under")), F.count_if("under")).first()
+        if before is not None and bins > before:
+            done.append(was)  # the bins as they were are fewer
             break
-        groups, level = -(-groups // p.fan_in), level + 1
-        rest = at.where("sequence_id < 0").drop("sequence_id", "offset").withColumn("g", F.floor(F.col("g") / p.fan_in).cast("long"))
+        if groups == 1 or (before is not None and bins > before * (1 - p.gain)):
+            done.append(at)
+            break
+        done.append(at.where("not under"))
+        was, before, level = at.where("under"), open_bins, level + 1
+        rest = was.drop("g", "sequence_id", "offset", "under")
+    if not done:
+        return items.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.drop("g", "row", "under")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -195,5 +202,5 @@ def default_tokenizer() -> str:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = common.stored(pieces(common.table(spark, sf_dir, "documents"), default_tokenizer()))
+    items = pieces(common.table(spark, sf_dir, "documents"), default_tokenizer())
     return pack(items).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

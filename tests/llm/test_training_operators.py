@@ -190,7 +190,7 @@ def test_quality(docs, rows, none):
 
 def test_packing(docs, rows, none):
     path = packing.default_tokenizer()
-    p = packing.Packing(capacity=128, group=20, fan_in=2)
+    p = packing.Packing(capacity=128, group=20)
     packed = packing.pack(common.stored(packing.pieces(docs, path, p, with_ids=True)), p)
     from tokenizers import Tokenizer
 
@@ -216,6 +216,69 @@ def test_packing(docs, rows, none):
     assert packing.pack(common.stored(packing.pieces(none, path))).count() == 0
 
 
+def packed_lengths(spark, lengths, p):
+    rows = [(i, 0, 0, n, n) for i, n in enumerate(lengths)]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECE_DDL).repartition(3), p).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == [(i, n) for i, n in enumerate(lengths)]
+    per = {}
+    for r in out:
+        per.setdefault(r.sequence_id, []).append(r)
+    for s in per.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == list(np.cumsum([0, *(r.length for r in s)])[:-1]) and sum(r.length for r in s) <= p.capacity
+    return len(per)
+
+
+def test_packing_at_production_parameters(spark):
+    """Several groups of 100,000 pieces, with more underfull bins than any of them may hand on: no more sequences
+    than all pieces need in one group, and one in a hundred more than the tokens need at least."""
+    g = random.Random(8)
+    p = packing.Packing()
+    plain = [min(1024, int(g.lognormvariate(5.5, 1.2)) + 1) for _ in range(250_000)]
+    assert packed_lengths(spark, plain, p) <= 1.01 * sum(plain) / 1024
+    # no two of the long ones fit together, and the short ones fill them up
+    halves = [g.randrange(600, 701) for _ in range(120_000)] + [g.randrange(300, 325) for _ in range(120_000)]
+    g.shuffle(halves)
+    assert packed_lengths(spark, halves, p) <= len(packing.best_fit(np.array(halves), 1024)) + 120
+    assert packed_lengths(spark, [640] * 110_000, p) == 110_000
+    several = packing.Packing(group=20_000, merged=30_000)
+    assert packed_lengths(spark, halves, several) <= 1.01 * packed_lengths(spark, halves, p)
+    assert packed_lengths(spark, plain, several) <= 1.01 * sum(plain) / 1024
+
+
+@pytest.mark.parametrize("group", [3, 5, 1000])
+def test_packing_is_near_the_best(spark, group):
+    """Against the least number of bins, which takes all orders of few pieces to find."""
+    g = random.Random(group)
+    lengths = [g.randrange(1, 60) for _ in range(14)]
+
+    def least(rest, bins):
+        if not rest:
+            return len(bins)
+        if len(bins) >= least.best:
+            return least.best
+        for i in {b: i for i, b in enumerate(bins) if b + rest[0] <= 64}.values():
+            least.best = min(least.best, least(rest[1:], [*bins[:i], bins[i] + rest[0], *bins[i + 1 :]]))
+        return min(least.best, least(rest[1:], [*bins, rest[0]]))
+
+    least.best = len(lengths)
+    best = least(sorted(lengths, reverse=True), [])
+    assert best <= packed_lengths(spark, lengths, packing.Packing(capacity=64, group=group)) <= best + 1
+    assert best <= packed_lengths(spark, lengths, packing.Packing(capacity=64, group=group, merged=group + 1)) <= best + 3
+
+
+def test_millions_of_blanks():
+    enc = packing.Encoder(packing.default_tokenizer())
+    for text in (" " * 3_000_000 + "x", "a" + "\n \t" * 700_000 + "b", "=" * 2_000_000):
+        ids = np.frombuffer(enc.encode(text), "<u4")
+        assert enc.tok.decode(ids.tolist()) == text
+
+
+def test_equal_rows_are_spread(spark):
+    rows = spark.createDataFrame([(7, 0, 0, 600, 1)] * 500 + [(i, 0, 0, 424, 2) for i in range(500)], packing.PIECE_DDL)
+    assert packing.pack(rows, packing.Packing(group=100)).select("sequence_id").distinct().count() <= 520
+
+
 def test_best_fit_is_tight():
     assert [sorted(b) for b in packing.best_fit(np.array([6, 5, 5, 4]), 10)] == [[0, 3], [1, 2]]
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
