@@ -1,9 +1,12 @@
 """Secret scans with a trigram inverted index.
 
 Each rule's regex is compiled to a Boolean query over trigrams that any match must contain.  The
-index maps a trigram to the documents that hold it; intersecting and uniting postings gives each
-rule's candidates, and only those are searched by the regex itself.  A rule whose regex has no
-mandatory trigram is searched in every document.
+index has a list of documents for each trigram, in shards of documents, so that no list outgrows a
+shard.  In each shard a rule's query is looked up by its trigrams, and their lists are intersected and
+united to the rule's candidates; only those are searched by the regex itself.  A rule whose regex has
+no mandatory trigram is searched in every document.
+
+Documents go by a 64-bit key; two that share one are candidates together, and the regex decides.
 
 Everything that touches rows is DataFrame and SQL; Python only compiles the rules.
 
@@ -15,13 +18,14 @@ from __future__ import annotations
 
 import re._parser as parser
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .text_sql import match_spans
+from .text_sql import SPANS, between, cut_text, let, match_spans, running
 
 
 @dataclass(frozen=True)
@@ -53,6 +57,10 @@ RULES = (
 #: A literal set larger than this is turned into trigrams and a new one is begun.
 _SET = 16
 ALWAYS = ("and",)
+#: Documents of a shard, on average.
+SHARD = 4096
+#: Candidates are broadcast up to this many bytes; beyond it the texts that may hold a secret go to them.
+BROADCAST_BYTES = 32 << 20
 
 
 def _grams(strings: set[str]) -> tuple:
@@ -146,47 +154,66 @@ def trigrams(q: tuple | str) -> set[str]:
     return {q} if isinstance(q, str) else set().union(*map(trigrams, q[1:]))
 
 
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id, h) of the given trigrams over the lower-cased texts, h being a hash
-    of the text that tells rows of one id apart."""
-    low = docs.select("doc_id", F.xxhash64("text").alias("h"), F.lower("text").alias("low"))
+    """The stored index: shard, trigram and `postings`, the sorted keys of the shard's documents that hold it,
+    for the given trigrams of the lower-cased texts."""
+    shards = max(1, -(-docs.count() // SHARD))
+    low = docs.select(_key().alias("key"), F.lower("text").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in grams]))
-    return low.select(F.explode(held).alias("trigram"), "doc_id", "h")
+    each = low.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.explode(held).alias("trigram"), "key")
+    return common.stored(each.groupBy("shard", "trigram").agg(F.array_sort(F.collect_set("key")).alias("postings")))
 
 
 def candidates(index: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """doc_id, h and `kinds`: the rules whose trigram query the document's postings satisfy.  Postings
-    meet by document; a document has one row for each trigram of the rules at most."""
-    held = index.groupBy("doc_id", "h").agg(F.collect_set("trigram").alias("grams"))
-    kinds = F.array_compact(F.array(*[F.when(_holds(q), F.lit(r.kind)) for r in rules if (q := trigram_query(r.pattern)) != ALWAYS]))
-    return held.select("doc_id", "h", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    """key and `kinds`: the rules whose trigram query the document satisfies."""
+    lists = index.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "postings"))).alias("lists"))
+    named = lambda q, kind: F.transform(_holders(q), lambda x: F.struct(x.alias("key"), F.lit(kind).alias("kind")))
+    found = [named(q, r.kind) for r in rules if (q := trigram_query(r.pattern)) != ALWAYS]
+    return lists.select(F.explode(F.concat(*found)).alias("x")).groupBy("x.key").agg(F.collect_set("x.kind").alias("kinds"))
+
+
+def _holders(q: tuple | str) -> Column:
+    """The documents of a shard that satisfy a query."""
+    if isinstance(q, str):
+        return F.coalesce(F.try_element_at("lists", F.lit(q)), F.array().cast("array<bigint>"))
+    return reduce(F.array_intersect if q[0] == "and" else F.array_union, map(_holders, q[1:]))
 
 
-def _holds(q: tuple | str) -> Column:
+def _may_hold(low: Column, q: tuple | str) -> Column:
+    """Whether one text satisfies a query."""
     if isinstance(q, str):
-        return F.array_contains("grams", q)
-    subs = [_holds(x) for x in q[1:]]
-    out = subs[0]
-    for s in subs[1:]:
-        out = out & s if q[0] == "and" else out | s
-    return out
+        return low.contains(q)
+    return reduce(Column.__and__ if q[0] == "and" else Column.__or__, [_may_hold(low, x) for x in q[1:]])
 
 
 def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """All columns of docs (but one called `found`) and `found`: array<struct<s, k, kind, e>> of every rule's spans, by start and
     then by the order of the rules."""
-    grams = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
-    hits = candidates(build_index(docs, grams), rules) if grams else None
-    keyed = docs.drop("found").withColumn("__h", F.xxhash64("text"))
-    if hits is not None:
-        hits = hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"), F.col("kinds").alias("__kinds"))
-        keyed = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["__d"]) & (keyed["__h"] == hits["__g"]), "left")
-    none = F.array().cast("array<struct<s:int,k:int,kind:string,e:int>>")
-    text, spans = F.coalesce(F.col("text"), F.lit("")), []
+    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    grams = sorted(set().union(*map(trigrams, queries.values())))
+    keyed = docs.select(F.struct(*[c for c in docs.columns if c != "found"]).alias("row"), "text", _key().alias("own"))
+    if not grams:
+        return _searched(keyed.withColumn("kinds", F.array().cast("array<string>")), rules, queries)
+    hits = common.stored(candidates(build_index(docs, grams), rules))
+    size = hits.agg(F.sum(F.octet_length(F.array_join("kinds", ",")) + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return _searched(keyed.join(F.broadcast(hits), F.col("own") == F.col("key"), "left"), rules, queries)
+    # too many candidates to send everywhere: their texts go to them, all others stay where they are
+    may = F.coalesce(reduce(Column.__or__, [_may_hold(F.lower("text"), q) for q in queries.values() if q != ALWAYS]), F.lit(False))
+    joined_ = _searched(keyed.where(may).join(hits, F.col("own") == F.col("key"), "left"), rules, queries)
+    return joined_.unionByName(_searched(keyed.where(~may).withColumn("kinds", F.array().cast("array<string>")), rules, queries))
+
+
+def _searched(keyed: DataFrame, rules: tuple[SecretRule, ...], queries: dict[str, tuple]) -> DataFrame:
+    text, none, spans = F.coalesce(F.col("text"), F.lit("")), F.array().cast(SPANS), []
     for k, r in enumerate(rules):
         at = match_spans(text, r.pattern, r.kind, k, r.group, r.least)
-        spans.append(at if trigram_query(r.pattern) == ALWAYS else F.when(F.array_contains("__kinds", r.kind), at).otherwise(none))
-    return keyed.withColumn("found", F.array_sort(F.concat(*spans))).drop("__h", "__d", "__g", "__kinds")
+        spans.append(at if queries[r.kind] == ALWAYS else F.when(F.array_contains("kinds", r.kind), at).otherwise(none))
+    return keyed.select("row", F.array_sort(F.concat(*spans)).alias("found")).select("row.*", "found")
 
 
 def joined(spans: Column) -> Column:
@@ -197,14 +224,20 @@ def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """docs with each secret replaced by [REDACTED:kind]; where spans overlap, what the first covers
     goes with it.  All columns and rows stay."""
     found = scan(docs.select("doc_id", "text", F.struct("*").alias("__row")), rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit("[REDACTED:"), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    def clean(pieces: Column) -> Column:
+        """The text's parts between spans, each with the label that follows; `ends` tells how far the spans up to
+        each one reach."""
+
+        def parts(ends: Column) -> Column:
+            begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+            label = lambda x: F.concat(F.lit("[REDACTED:"), x["kind"], F.lit("]"))
+            each = F.transform("found", lambda x, i: F.when(x["s"] >= begin(i), F.concat(between(pieces, begin(i), x["s"]), label(x))).otherwise(""))
+            return F.concat(F.array_join(each, ""), between(pieces, F.element_at(ends, -1), F.length("text")))
+
+        return let(running(F.transform("found", lambda x: x["e"]), F.greatest), parts)
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size("found") > 0, clean).otherwise(F.col("text"))
+    text = F.when(F.size("found") > 0, let(cut_text(F.col("text")), clean)).otherwise(F.col("text"))
     return found.select(*[(text if c == "text" else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
