@@ -1,11 +1,11 @@
 """Substring deduplication over bytes, by longest previous factors in partitioned suffix arrays.
 
 A byte is removed if a string of `depth` bytes that covers it also starts earlier in the corpus, by
-document and place.  In terms of a suffix array: a suffix goes if its longest previous factor (the
-longest common prefix with an earlier suffix) has `depth` bytes or more.  The previous factor of a
-suffix is found at the nearest entries with a smaller text position before and after it in suffix
-order; suffixes are sorted to `depth` bytes, and those that agree so far lie by position, so the
-nearest smaller position is the entry before, if it agrees.
+document and place: if the longest previous factor of a suffix there (the longest prefix that it shares
+with an earlier suffix) has `depth` bytes or more.  Longest previous factors come from the suffix array:
+of the entries with a smaller text position, the nearest before and the nearest after a suffix in suffix
+order share most with it, and the least of the common prefixes between them tells how much.  Suffixes are
+sorted, and lengths counted, to `depth` bytes, which is all that is asked.
 
 One suffix array of the corpus would not be distributed.  Suffixes that agree on `depth` bytes also
 agree on the least hash among the `anchor`-byte strings in them; so each task cuts its texts into
@@ -127,9 +127,9 @@ def _send(batches: Iterable[pa.RecordBatch], p: Suffixes, n_buckets: int) -> Ite
         yield ranges.batch(rows)
 
 
-def previous_factors(buf: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the suffix at each start (ascending; each has `depth` bytes) has a previous factor of
-    `depth` bytes among the starts: suffix order by prefix doubling, ties by position."""
+def suffix_array(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in `starts` (ascending; each start has `depth` bytes) in suffix order, to depth bytes and then
+    by position; and the number of bytes, depth at most, that each suffix shares with the one before."""
     n = len(buf)
     word = loads(np.concatenate([buf, np.zeros(8, np.uint8)])).byteswap()[:n]
     rank, have = np.unique(word, return_inverse=True)[1], 8
@@ -138,10 +138,51 @@ def previous_factors(buf: np.ndarray, starts: np.ndarray, depth: int) -> np.ndar
         rank = np.unique(rank[: n - step] * np.int64(n + 1) + rank[step:], return_inverse=True)[1]
         n, have = n - step, have + step
     r = rank[starts]
-    order = np.argsort(r, kind="stable")  # the suffix array of the starts
-    out = np.zeros(len(starts), bool)
-    out[order[1:]] = r[order[1:]] == r[order[:-1]]
-    return out
+    order = np.argsort(r, kind="stable")
+    at, shared = starts[order], np.full(len(order), depth, np.int32)
+    if len(order):
+        shared[0] = 0
+    open_ = 1 + np.flatnonzero(r[order[1:]] != r[order[:-1]])  # pairs that differ somewhere: eight bytes at a time
+    for o in range(0, depth, 8):
+        x = word[np.minimum(at[open_] + o, len(buf) - 1)] ^ word[np.minimum(at[open_ - 1] + o, len(buf) - 1)]
+        apart = x != 0
+        lead = (x[apart].byteswap().view(np.uint8).reshape(-1, 8) != 0).argmax(1)  # words hold the first byte highest
+        shared[open_[apart]] = np.minimum(depth, o + lead)
+        open_ = open_[~apart]
+    return order, shared
+
+
+def nearest_smaller(a: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of a the place of the nearest smaller one before it, -1 if there is none, and the least
+    of `shared` on the way there (shared[i] lies between i - 1 and i).
+
+    All entries look at once: one whose candidate isn't smaller goes on to that one's candidate, which
+    skips only larger entries."""
+    to, least = np.arange(-1, len(a) - 1), shared.copy()
+    go = np.flatnonzero((to >= 0) & (a[to] > a))
+    while len(go):
+        via = to[go]
+        least[go] = np.minimum(least[go], least[via])
+        to[go] = to[via]
+        go = go[(to[go] >= 0) & (a[to[go]] > a[go])]
+    least[to < 0] = 0
+    return to, least
+
+
+def longest_previous_factors(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the suffix at each start (ascending; each has `depth` bytes) how many bytes, depth at most, it shares
+    with one that starts earlier, and the place in `starts` of such a one (-1 if it shares none).  The longest
+    is shared with the nearest suffix of a smaller position before or after it in suffix order."""
+    order, shared = suffix_array(buf, starts, depth)
+    length, source = np.zeros(len(starts), np.int32), np.full(len(starts), -1, np.int64)
+    before, common_before = nearest_smaller(order, shared)
+    back = np.concatenate([[0], shared[:0:-1]]).astype(np.int32) if len(shared) else shared
+    after, common_after = (x[::-1] for x in nearest_smaller(order[::-1], back))
+    after = np.where(after >= 0, len(order) - 1 - after, -1)
+    best = np.where(common_before >= common_after, before, after)
+    length[order] = np.maximum(common_before, common_after)
+    source[order] = np.where(length[order] > 0, order[best], -1)
+    return length, source
 
 
 def _sort(t: pa.Table, p: Suffixes, n_buckets: int) -> pa.Table:
@@ -177,8 +218,8 @@ def _sort(t: pa.Table, p: Suffixes, n_buckets: int) -> pa.Table:
             begin = np.cumsum(size) - size
             owner = np.repeat(np.arange(len(left)), size - p.depth + 1)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(size - p.depth + 1) - (size - p.depth + 1), size - p.depth + 1)
-            flag = previous_factors(buf, begin[owner] + place, p.depth)
-            at, count = ranges.runs(flag, owner)
+            longest, _ = longest_previous_factors(buf, begin[owner] + place, p.depth)
+            at, count = ranges.runs(longest >= p.depth, owner)
             s = left[owner[at]]
             out += ranges.packed(id_[s], key[s], start[s] + place[at], count, n_buckets)
     return pa.Table.from_batches([ranges.batch(out)])

@@ -105,10 +105,33 @@ def test_suffixes(docs, rows, none):
     assert twice == {0}  # a repeated row is the same document
 
 
-def test_previous_factors():
-    text = b"abcabcabcdabcabcabcd"
-    flag = suffixes.previous_factors(np.frombuffer(text, np.uint8), np.arange(len(text) - 9), 10)
-    assert [i for i in range(len(flag)) if flag[i]] == [i for i in range(len(flag)) if text[i : i + 10] in {text[j : j + 10] for j in range(i)}]
+@pytest.mark.parametrize("depth", [9, 10, 16, 37, 100])
+def test_longest_previous_factors(depth):
+    """Lengths and places of earlier matches against all pairs of suffixes."""
+    g = random.Random(depth)
+    shared = bytes(g.randrange(256) for _ in range(150))
+    texts = [b"abcabcabcdabcabcabcd" * 9, bytes(g.choice(b"ab") for _ in range(300)), b"\0" * 250, shared + b"x" + shared[20:] + shared[:90], bytes(g.randrange(256) for _ in range(120)) + shared[:40]]
+    for text in [*texts, b"".join(texts)]:
+        starts = [i for i in range(len(text) - depth + 1) if g.random() < 0.9]
+        length, source = suffixes.longest_previous_factors(np.frombuffer(text, np.uint8), np.array(starts, np.int64), depth)
+
+        def both(x, y):
+            return next((k for k in range(depth) if text[x + k] != text[y + k]), depth)
+
+        for k, x in enumerate(starts):
+            most = max((both(x, y) for y in starts[:k]), default=0)
+            assert length[k] == most
+            assert (source[k] == -1) == (most == 0) and (most == 0 or (source[k] < k and both(x, starts[source[k]]) == most))
+
+
+def test_nearest_smaller():
+    g = random.Random(2)
+    for a in ([], [3], [1, 2, 3], [3, 2, 1], *(g.sample(range(500), 400) for _ in range(5))):
+        shared = np.array([g.randrange(1, 50) for _ in a], np.int32)
+        to, least = suffixes.nearest_smaller(np.array(a, np.int64), shared)
+        for i in range(len(a)):
+            j = next((j for j in range(i - 1, -1, -1) if a[j] < a[i]), -1)
+            assert to[i] == j and least[i] == (min(shared[j + 1 : i + 1]) if j >= 0 else 0)
 
 
 ITEMS = [(1, None), (2, "one Two three four five six seven eight nine ten"), (3, "short item"), (4, "ÉLAN vital"), (5, ""), (None, "the of"), (6, "two THREE four five six seven eight nine"), (2, "short item"), (7, "to to to to to to to to to")]
