@@ -1,9 +1,9 @@
 """License scans by ordered signature rules.
 
-Texts are normalised to words; a signature is a sequence of words, some optional.  A cheap gate on the
-raw text and a keyword per rule decide which of the hundreds of signatures are tried.  Detections
-that overlap are resolved by containment and priority: one that lies within another of the same or a
-stronger class goes.  All of it happens in the document's own row: no shuffle, no Python.
+Texts are normalised to words; a signature is a regex over words, written by hand in `license_rules`.  A rule
+is tried only where its keyword stands, and texts without any keyword are not normalised at all.
+Detections that overlap are resolved by containment and priority: one that lies within another of the
+same or a stronger class goes.  All of it happens in the document's own row: no shuffle, no Python.
 
 Defined cases: null text counts as empty; null doc_id passes through; repeated rows are scanned one by
 one; columns beside doc_id and text are ignored; an empty table gives an empty result.
@@ -13,89 +13,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .text_sql import count_words, split_words
-
-#: License families by label, each with names as words and its SPDX words.
-FAMILIES = """
-mit: mit|expat: mit
-apache: apache|apache software: apache 2 0
-gpl: gnu general public|general public|gpl|gnu gpl: gpl 3 0
-lgpl: gnu lesser general public|lesser general public|lgpl: lgpl 2 1
-agpl: gnu affero general public|affero general public|agpl: agpl 3 0
-gfdl: gnu free documentation|free documentation|gfdl: gfdl 1 3
-bsd: bsd|new bsd|simplified bsd|berkeley software distribution: bsd 3 clause
-isc: isc|internet systems consortium: isc
-mpl: mozilla public|mpl: mpl 2 0
-epl: eclipse public|epl: epl 2 0
-cddl: common development and distribution|cddl: cddl 1 0
-cpl: common public|cpl: cpl 1 0
-unlicense: unlicense: unlicense
-wtfpl: do what the fuck you want to public|wtfpl: wtfpl
-zlib: zlib|zlib libpng: zlib
-boost: boost software|boost: bsl 1 0
-artistic: artistic|perl artistic: artistic 2 0
-python: python software foundation|psf: psf 2 0
-php: php: php 3 01
-ruby: ruby: ruby
-openssl: openssl: openssl
-postgresql: postgresql: postgresql
-x11: x11: x11
-eupl: european union public|eupl: eupl 1 2
-cc0: creative commons zero|cc0: cc0 1 0
-cc_by: creative commons attribution|cc by: cc by 4 0
-cc_by_sa: creative commons attribution sharealike|cc by sa: cc by sa 4 0
-cc_by_nc: creative commons attribution noncommercial|cc by nc: cc by nc 4 0
-cc_by_nd: creative commons attribution noderivatives|cc by nd: cc by nd 4 0
-ofl: sil open font|ofl: ofl 1 1
-ms_pl: microsoft public|ms pl: ms pl
-ms_rl: microsoft reciprocal|ms rl: ms rl
-osl: open software|osl: osl 3 0
-afl: academic free|afl: afl 3 0
-ncsa: university of illinois ncsa|ncsa: ncsa
-libpng: libpng: libpng 2 0
-json: json: json
-vim: vim: vim
-lppl: latex project public|lppl: lppl 1 3c
-qpl: q public|qpl: qpl 1 0
-sleepycat: sleepycat: sleepycat
-w3c: w3c software: w3c
-nasa: nasa open source: nasa 1 3
-upl: universal permissive|upl: upl 1 0
-blueoak: blue oak model: blueoak 1 0 0
-mulan: mulan permissive|mulan: mulanpsl 2 0
-odbl: open database|odbl: odbl 1 0
-odc_by: open data commons attribution|odc by: odc by 1 0
-pddl: public domain dedication and|pddl: pddl 1 0
-sspl: server side public|sspl: sspl 1 0
-busl: business source|busl: busl 1 1
-elastic: elastic: elastic 2 0
-"""
-#: How a license is stated, by strength; N is its name, S its SPDX words, ? marks optional words.
-TEMPLATES = (
-    (0, "spdx license identifier S"),
-    (0, "licensed under the? terms? of? the? N license?"),
-    (0, "released under the? terms? of? the? N license?"),
-    (0, "distributed under the? terms? of? the? N license?"),
-    (1, "under the? terms? of? the? N license"),
-    (1, "N license version"),
-    (1, "N license v"),
-    (2, "N license"),
-)
+from .license_rules import RULES
+from .text_sql import LOWER, UPPER, ascii_lower, count_words, let, plus, running, split_words
+
 #: The phrases that every scan must find, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Confidence of a detection by class.
 CONFIDENCE = (1.0, 0.8, 0.6)
-#: Every signature holds a word with this in it.
-GATE = "licen"
 
 
 @dataclass(frozen=True)
 class Signature:
-    """pattern is over texts of the form ' w1  w2  w3 ': each word with a blank on either side."""
+    """pattern is over texts of the form ' w1  w2  w3 ': each word with a blank on either side; every match holds
+    `keyword` as a word."""
 
     order: int
     priority: int
@@ -106,58 +40,82 @@ class Signature:
 
 
 def _pattern(words: str) -> str:
-    return "".join(f"(?: {w[:-1]} )?" if w.endswith("?") else f" {w} " for w in words.split())
+    """The regex of words: x? may be missing, x/y is either, x* begins with x."""
+    out = []
+    for w in words.split():
+        one = w.removesuffix("?")
+        ways = "|".join(x.replace("*", "[^ ]*") for x in one.split("/"))
+        out.append(f"(?: (?:{ways}) )" + "?" * w.endswith("?") if "/" in one or w.endswith("?") else f" {ways} ")
+    return "".join(out)
 
 
 def signatures() -> tuple[Signature, ...]:
-    rows = [(2, label, phrase, True) for phrase, label in BASE]
-    for line in FAMILIES.strip().splitlines():
-        label, names, spdx = (x.strip() for x in line.split(":"))
-        for priority, t in TEMPLATES:
-            for k, name in enumerate(names.split("|")):
-                if "S" not in t.split() or k == 0:
-                    rows.append((priority, label, " ".join({"N": name, "S": spdx}.get(w, w) for w in t.split()), False))
+    """The base phrases and the rules, in order of class; of rules with one pattern the first counts."""
+    rows, priority = [(2, label, max(phrase.split(), key=len) if label == "gpl" else phrase.split()[0], phrase, True) for phrase, label in BASE], 0
+    for line in RULES.strip().splitlines():
+        if line.startswith("["):
+            priority = int(line.strip("[]"))
+        else:
+            rows.append((priority, *(x.strip() for x in line.split("|")), False))
     out: dict[str, Signature] = {}
-    for priority, label, words, base in rows:
-        known = [w for w in words.split() if not w.endswith("?") and w not in ("license", "licensed", "under", "of", "the", "released", "distributed", "spdx", "identifier")]
+    for priority, label, keyword, words, base in rows:
         p = _pattern(words)
-        out.setdefault(p, Signature(len(out), priority, label, f" {max(known, key=len)} ", p, base))
+        out.setdefault(p, Signature(len(out), priority, label, keyword, p, base))
     return tuple(out.values())
 
 
+HIT = "struct<s:int,e:int,priority:int,ord:int,label:string,base:boolean>"
+
+
+_BLANKS = "x -> length(x) - length(replace(x, ' ', ''))"
+
+
+def _matches(s: Signature) -> str:
+    """SQL: of a rule that matches, itself and how many blanks are in each stretch between matches and in each match;
+    else null.  A word has two blanks, so these count words."""
+    return f"""if(norm rlike '{s.pattern}', named_struct('ord', {s.order}, 'priority', {s.priority}, 'label', '{s.label}', 'base', {str(s.base).lower()},
+        'gaps', transform(split(norm, '{s.pattern}', -1), {_BLANKS}), 'hits', transform(regexp_extract_all(norm, '{s.pattern}', 0), {_BLANKS})), null)"""
+
+
+def _places(r: Column) -> Column:
+    ends = running(F.zip_with(F.slice(r["gaps"], F.lit(1), F.size(r["hits"])), r["hits"], plus), plus)
+    place = lambda e, h: F.struct(((e - h) / 2).cast("int").alias("s"), (e / 2).cast("int").alias("e"), r["priority"].alias("priority"), r["ord"].alias("ord"), r["label"].alias("label"), r["base"].alias("base"))
+    return F.zip_with(ends, r["hits"], place)
+
+
+def _kept(hits: Column) -> Column:
+    """By place, longer first, stronger first, what contains a detection comes before it, so the farthest end of each
+    class so far tells whether one of the same or a stronger class does."""
+    far = F.struct(*[_far(hits, c).alias(f"c{c}") for c in range(3)])
+    return let(far, lambda m: F.filter(hits, lambda x, i: (i == 0) | (x["e"] > F.when(x["priority"] == 0, F.get(m["c0"], i - 1)).when(x["priority"] == 1, F.get(m["c1"], i - 1)).otherwise(F.get(m["c2"], i - 1)))))
+
+
+def _far(hits: Column, least: int) -> Column:
+    return running(F.transform(hits, lambda x: F.when(x["priority"] <= least, x["e"]).otherwise(-1)), F.greatest)
+
+
+def _by_place(x: Column, y: Column) -> Column:
+    return F.when(x["s"] != y["s"], x["s"] - y["s"]).when(x["e"] != y["e"], y["e"] - x["e"]).when(x["priority"] != y["priority"], x["priority"] - y["priority"]).otherwise(x["ord"] - y["ord"])
+
+
 def detect(docs: DataFrame, sigs: tuple[Signature, ...] | None = None) -> DataFrame:
     """doc_id, n_words and two arrays of struct<s, e, priority, ord, label, base> with places in words
     (e exclusive), by place: `all_hits`, every detection, and `hits`, those that no other suppresses."""
     sigs = signatures() if sigs is None else sigs
-    rules = F.array(*[F.struct(F.lit(s.order).alias("ord"), F.lit(s.priority).alias("priority"), F.lit(s.label).alias("label"), F.lit(s.keyword).alias("keyword"), F.lit(s.pattern).alias("pattern"), F.lit(s.base).alias("base")) for s in sigs])
-    parts = docs.select("doc_id", split_words(F.coalesce("text", F.lit(""))).alias("parts"), F.lower(F.coalesce("text", F.lit(""))).contains(GATE).alias("gate"))
-    # of all characters only the Kelvin sign lower-cases to ASCII, and no signature has a k that it could fake alone
-    norm = parts.select("doc_id", count_words(F.col("parts")).alias("n_words"), F.when(F.col("gate"), F.expr("concat(' ', array_join(filter(transform(parts, w -> lower(w)), w -> w <> ''), '  '), ' ')")).alias("norm"))
-    kind = "array<struct<s:int,e:int,priority:int,ord:int,label:string,base:boolean>>"
-    blanks = "length({0}) - length(replace({0}, ' ', ''))"
-    one = f"""aggregate(
-        zip_with(split(norm, r.pattern, -1), regexp_extract_all(norm, r.pattern, 0), (g, h) -> named_struct('gap', g, 'hit', h)),
-        struct(0 as w, cast(array() as {kind}) as out),
-        (a, x) -> named_struct(
-            'w', a.w + {blanks.format("x.gap")} + coalesce({blanks.format("x.hit")}, 0),
-            'out', if(x.hit is null, a.out, concat(a.out, array(struct(
-                int((a.w + {blanks.format("x.gap")}) / 2) as s, int((a.w + {blanks.format("x.gap")} + {blanks.format("x.hit")}) / 2) as e,
-                r.priority as priority, r.ord as ord, r.label as label, r.base as base))))),
-        a -> a.out)"""
-    hits = norm.withColumn("rules", F.when(F.col("norm").isNotNull(), rules)).withColumn(
-        "all_hits",
-        F.expr(f"""coalesce(array_sort(flatten(transform(filter(rules, r -> contains(norm, r.keyword) and norm rlike r.pattern), r -> {one})),
-            (x, y) -> case when x.s <> y.s then x.s - y.s when x.e <> y.e then y.e - x.e when x.priority <> y.priority then x.priority - y.priority else x.ord - y.ord end),
-            cast(array() as {kind}))"""),
-    )
-    # by place, longer first, stronger first: what contains a detection comes before it, so the farthest end
-    # of each class so far tells whether one of the same or a stronger class does
-    kept = F.expr(f"""aggregate(all_hits, named_struct('m0', -1, 'm1', -1, 'm2', -1, 'out', cast(array() as {kind})),
-        (a, x) -> named_struct(
-            'm0', if(x.priority = 0, greatest(a.m0, x.e), a.m0), 'm1', if(x.priority <= 1, greatest(a.m1, x.e), a.m1), 'm2', greatest(a.m2, x.e),
-            'out', if(x.e <= case x.priority when 0 then a.m0 when 1 then a.m1 else a.m2 end, a.out, concat(a.out, array(x)))),
-        a -> a.out)""")
-    return hits.select("doc_id", "n_words", "all_hits", F.when(F.size("all_hits") > 0, kept).otherwise(F.col("all_hits")).alias("hits"))
+    by_keyword: dict[str, list[str]] = {}
+    for x in sigs:
+        by_keyword.setdefault(x.keyword, []).append(_matches(x))
+    words = docs.select("doc_id", split_words(ascii_lower(F.coalesce("text", F.lit("")))).alias("parts"))
+    # keywords of a text by one pass over its words
+    gated = words.select("doc_id", "parts", F.array_intersect(F.lit(list(by_keyword)), "parts").alias("present"))
+    norm = F.concat(F.lit(" "), F.array_join(F.filter("parts", lambda w: w != ""), "  "), F.lit(" "))
+    ready = gated.select("doc_id", count_words(F.col("parts")).alias("n_words"), "present", F.when(F.size("present") > 0, norm).alias("norm"))
+    tried = ", ".join(f"if(array_contains(present, '{k}'), array({', '.join(rules)}), null)" for k, rules in by_keyword.items())
+    rules = F.expr(f"if(size(present) > 0, array_compact(flatten(array_compact(array({tried})))), null)")
+    matched = ready.select("doc_id", "n_words", rules.alias("rules"))
+    none = F.array().cast(f"array<{HIT}>")
+    hits = matched.select("doc_id", "n_words", F.when(F.size("rules") > 0, F.array_sort(F.flatten(F.transform("rules", _places)), _by_place)).otherwise(none).alias("all_hits"))
+    return hits.select("doc_id", "n_words", "all_hits", F.when(F.size("all_hits") > 0, _kept(F.col("all_hits"))).otherwise(none).alias("hits"))
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,13 +131,13 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    rules = ", ".join(f"({s.order}, {s.priority}, '{s.label}', '{s.keyword}', '{s.pattern}', {str(s.base).lower()})" for s in signatures())
+    rules = ", ".join(f"({s.order}, {s.priority}, '{s.label}', ' {s.keyword} ', '{s.pattern}', {str(s.base).lower()})" for s in signatures())
     blanks = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
     return f"""
 WITH r(ord, priority, label, keyword, pattern, base) AS (VALUES {rules}),
-d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents),
-n AS (SELECT k, ' ' || array_to_string(ws, '  ') || ' ' AS norm FROM d WHERE len(list_filter(ws, lambda w: contains(w, '{GATE}'))) > 0),
+n AS (SELECT k, ' ' || array_to_string(ws, '  ') || ' ' AS norm FROM d),
 m AS (SELECT k, r.*, string_split_regex(norm, pattern) AS gaps, regexp_extract_all(norm, pattern) AS hits FROM n, r WHERE contains(norm, keyword) AND regexp_matches(norm, pattern)),
 i AS (SELECT *, unnest(range(1, len(hits) + 1)) AS j FROM m),
 h AS (SELECT k, priority, ord, label, base, {blanks("array_to_string(gaps[:j], '') || array_to_string(hits[:j - 1], '')")} // 2 AS s,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -240,6 +241,54 @@ def test_licenses(docs, rows, none):
     assert len(licenses.signatures()) > 300
 
 
+def test_every_signature_holds_its_keyword():
+    sigs = licenses.signatures()
+    assert len({s.pattern for s in sigs}) == len(sigs) and [s.label for s in sigs if s.base] == ["mit", "apache", "gpl"]
+    lines = [[x.strip() for x in r.split("|")] for r in licenses.RULES.splitlines() if "|" in r]
+    assert len(lines) > 300
+    for _, keyword, words in lines:
+        assert keyword in [w for w in words.split() if "/" not in w and not w.endswith("?")], words
+
+
+def plain_detections(text):
+    """All detections, and those that none of the same or a stronger class contains, of equal places the first."""
+    w = brute.letters(text)
+    norm = "".join(f" {x} " for x in w)
+    hits = []
+    for s in licenses.signatures():
+        for m in re.finditer(s.pattern, norm):
+            hits.append((norm[: m.start()].count(" ") // 2, norm[: m.end()].count(" ") // 2, s.priority, s.order, s.label, s.base))
+    hits.sort(key=lambda x: (x[0], -x[1], x[2], x[3]))
+    kept = [x for i, x in enumerate(hits) if not any(y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] for y in hits[:i])]
+    return hits, kept
+
+
+def test_license_labels_and_score(spark, docs, rows):
+    """Texts made of the rules' own words, with case, punctuation and gaps, against plain Python."""
+    g = random.Random(9)
+    lines = [x.split("|")[2].split() for x in licenses.RULES.splitlines() if "|" in x]
+
+    def said():
+        return " ".join(g.choice(w.removesuffix("?").split("/")) for w in g.choice(lines) if not (w.endswith("?") and g.random() < 0.5))
+
+    texts = [g.choice([" ", ". ", "\n * "]).join(g.choice([said(), said().upper(), said().title(), prose(g.randrange(1, 9))]) for _ in range(g.randrange(1, 8))) for _ in range(300)]
+    texts += ["blue oa\u212a model license", "MIT\u0130 license", "Blue Oak Model License"]
+    more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = licenses.detect(docs.select("doc_id", "text").unionByName(more)).collect()
+    plain = {d: plain_detections(t) for d, t in [*rows, *((10_000 + i, t) for i, t in enumerate(texts))] if d is not None}
+    assert sum(len(h) > 0 for h, _ in plain.values()) > 200
+    for r in out:
+        if r.doc_id is not None:
+            assert ([tuple(x) for x in r.all_hits], [tuple(x) for x in r.hits]) == plain[r.doc_id]
+
+
+def test_many_licenses_in_one_text(spark):
+    text = "MIT License, apache license 2.0; GNU General Public License v2 and so on " * 12_000
+    began = time.monotonic()
+    r = licenses.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.monotonic() - began < 60 and sum(x.base for x in r.all_hits) == 36_000 and r.n_words == 12_000 * 14
+
+
 def test_license_containment(spark):
     text = "Licensed under the Apache License, and the MIT License. GNU Lesser General Public License"
     r = licenses.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
