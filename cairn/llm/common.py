@@ -112,3 +112,16 @@ def chunks(batches: Iterable[pa.RecordBatch], size: int, col: str = "text") -> I
 
 def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucket_count(docs: DataFrame, per_partition: int, size: int) -> int:
+    """How many buckets the texts of docs are dealt to: so many per shuffle partition, and more where a bucket
+    would hold over `size` bytes of text.  Sums lengths over all rows."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(per_partition * shuffle_count(docs.sparkSession), -(-total // size))
+
+
+def by_bucket(rows: DataFrame, n: int) -> DataFrame:
+    """rows with a column `bucket`, in as many partitions as there are buckets: what a task reads doesn't grow
+    with the input."""
+    return rows.repartition(n, "bucket")

@@ -20,26 +20,27 @@ Stages:
    into blocks of which every two meet in a task of their own.  A group of n near copies has up to
    n * (n - 1) / 2 links, and costs as many.
    `connected` wants components only: first each class with the smallest and the next smaller one of its
-   list; once these links are known, a few of each component in a list with those of the others; at last
-   each pair of a list that is not connected yet and still in reach.  So a group of n near copies costs
-   about n candidates.
+   list, or of its part of a long list; once these links are known, a few of each component in a list with
+   those of the others; at last each pair of a list that is not connected yet and still in reach, long
+   lists in blocks again.  So a group of n near copies costs about n candidates.
 5. Components, by small and large stars.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a null doc_id
 takes no part in links and has a null component; rows that share an id are documents of their own; extra
 columns are ignored by the join and kept by `keep_one`; an empty table gives an empty result.
-Sets are told apart by 64-bit fingerprints, tokens by 64-bit hashes.
+Sets are told apart by 128 bits: classes go by 64 of them, and where two sets agree on these, a check by the
+others finds it and all is done again with other bits for them.  Tokens are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, graph, ranges
@@ -50,20 +51,24 @@ from .common import U64
 class Join:
     """width: words of a shingle.  percent: least Jaccard similarity.  frequent: a token of so many classes
     or more is frequent.  chunk: bytes of text that a task hashes at once.  buckets: of tokens and of
-    classes, per shuffle partition.  part: a document of
+    classes, per shuffle partition at least; bucket: bytes of text for each at most, on average.  part: a document of
     2**b to 2**(b+1) tokens splits the frequent class into 2**b / part parts.  members: in the rounds after
     the first, how many of each component that a list holds are compared; a last round compares all
-    that is not connected by then, unless no component had more.  block: classes of a list that one task
-    compares with as many others."""
+    that is not connected by then, unless no component had more.  walk: classes of a list that one task
+    walks in the first round.  block: classes of a list that one task compares with as many others.  bits: of
+    a fingerprint by which classes go."""
 
     width: int = 5
     percent: int = 75
     frequent: int = 64
     chunk: int = 4 << 20
     buckets: int = 2
+    bucket: int = 16 << 20
     part: int = 16
     members: tuple[int, ...] = (2, 16)
+    walk: int = 1024
     block: int = 512
+    bits: int = 64
 
     def missing(self, n: int) -> int:
         """How many of n tokens a similar set may lack."""
@@ -85,8 +90,9 @@ def shingles(raw: bytes, width: int) -> np.ndarray:
     return np.unique(common.window_hash(h, width))
 
 
-def fingerprint(tokens: np.ndarray) -> int:
-    return common.word_hash(tokens.tobytes())
+def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, in two halves."""
+    return divmod(xxhash.xxh3_128_intdigest(tokens.tobytes()), 1 << 64)
 
 
 def _by_bucket(bucket: np.ndarray, kind: int, *cols: np.ndarray) -> Iterator[tuple]:
@@ -107,15 +113,18 @@ def _shared(sig: np.ndarray, token: np.ndarray, df: np.ndarray, n_buckets: int)
     yield from _by_bucket(b[order], SHARED, sig[order], token[order], df[order])
 
 
-def _send(batches: Iterable[pa.RecordBatch], p: Join, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterable[pa.RecordBatch], p: Join, n_buckets: int, collided: list[int]) -> Iterator[pa.RecordBatch]:
     for b in common.chunks(batches, p.chunk):
         doc = ranges.ids(b.column("doc_id"))
         sets = [shingles((t.as_py() or "").encode(), p.width) for t in b.column("text")]
-        sig = np.array([fingerprint(s) for s in sets], U64)
+        check, sig = (np.array(x, U64) for x in zip(*map(fingerprint, sets)))
+        sig &= U64((1 << p.bits) - 1)
+        if collided:
+            sig = np.where(np.isin(sig, np.array(collided, U64)), common.mix(check), sig)
         size = np.array([len(s) for s in sets], np.int32)
         cb = _class_bucket(sig, n_buckets)
         order = np.lexsort((doc, sig, cb))
-        rows = list(_by_bucket(cb[order], MEMBERS, doc[order], sig[order], size[order]))
+        rows = list(_by_bucket(cb[order], MEMBERS, doc[order], sig[order], size[order], check[order]))
         able = np.flatnonzero((size > 0) & (doc != ranges.LAST))
         once = able[np.unique(sig[able], return_index=True)[1]]
         if len(once):
@@ -219,7 +228,7 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-MEMBER, SET, KEY = 0, 1, 2
+MEMBER, SET, KEY, COLLIDED = 0, 1, 2, 3
 
 
 def _classes(t: pa.Table, p: Join) -> pa.Table:
@@ -227,9 +236,15 @@ def _classes(t: pa.Table, p: Join) -> pa.Table:
     have partners a SET row with their shared tokens and KEY rows."""
     members, shared = [], []
     for kind, n, blob in zip(*(t.column(c).to_pylist() for c in ("kind", "n", "blob"))):
-        (members if kind == MEMBERS else shared).append(common.unpack(blob, n, *(("i8", "u8", "i4") if kind == MEMBERS else ("u8", "u8", "u2"))))
+        (members if kind == MEMBERS else shared).append(common.unpack(blob, n, *(("i8", "u8", "i4", "u8") if kind == MEMBERS else ("u8", "u8", "u2"))))
     out = []
-    doc, sig, n = (np.concatenate(c) for c in zip(*members)) if members else (np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int32))
+    doc, sig, n, check = (np.concatenate(c) for c in zip(*members)) if members else (np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int32), np.empty(0, U64))
+    order = np.lexsort((check, sig))
+    one, two = sig[order], check[order]
+    collided = np.unique(one[1:][(one[1:] == one[:-1]) & (two[1:] != two[:-1])])
+    if k := len(collided):
+        void = pa.nulls
+        out.append(pa.record_batch([pa.array(np.full(k, COLLIDED, np.int32)), pa.array(collided.view(np.int64)), *(void(k, f.type) for f in list(_CLASS)[2:])], schema=_CLASS))
     order = np.lexsort((doc, sig))
     doc, sig, n = doc[order], sig[order], n[order]
     usig, head = np.unique(sig, return_index=True)
@@ -266,12 +281,15 @@ def _classes(t: pa.Table, p: Join) -> pa.Table:
     return pa.Table.from_batches(out, schema=_CLASS)
 
 
-def classes(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """The stored MEMBER, SET and KEY rows of docs."""
-    n = p.buckets * common.shuffle_count(docs.sparkSession)
-    sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n), ranges.DDL)
-    shared = sent.groupBy("bucket").applyInArrow(lambda t: _count(t, p, n), ranges.DDL)
-    return common.stored(shared.groupBy("bucket").applyInArrow(lambda t: _classes(t, p), CLASS_DDL))
+def classes(docs: DataFrame, p: Join = Join(), collided: tuple[int, ...] = ()) -> DataFrame:
+    """The stored MEMBER, SET and KEY rows of docs.  What collided is expected to be nothing up to 10**9 sets, and
+    some pairs beyond."""
+    n, known = common.bucket_count(docs, p.buckets, p.bucket), [c % 2**64 for c in collided]
+    sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n, known), ranges.DDL)
+    shared = common.by_bucket(sent, n).groupBy("bucket").applyInArrow(lambda t: _count(t, p, n), ranges.DDL)
+    rows = common.stored(common.by_bucket(shared, n).groupBy("bucket").applyInArrow(lambda t: _classes(t, p), CLASS_DDL))
+    more = [r["sig"] for r in rows.where(F.col("kind") == COLLIDED).select("sig").collect()]
+    return classes(docs, p, (*collided, *more)) if more else rows
 
 
 PAIR_DDL = "a long, b long"
@@ -283,14 +301,14 @@ def _reach(p: Join, n: int, r: int, m: int, q: int) -> bool:
 
 
 def _first_pairs(batches: Iterable[pa.RecordBatch], p: Join) -> Iterator[pa.RecordBatch]:
-    """Lists, as rows (key, n, r, sig) sorted by key and n, give pairs (a, b) with the first of the list (the
+    """Lists, as rows (key, g, n, r, sig) sorted by key, g and n, give pairs (a, b) with the first of the part (the
     first in reach by size) and with the one before.  Lists are walked, not gathered."""
     key, lead, prev = None, None, None
     for b in batches:
         out = []
-        for k, *me in zip(*(b.column(c).to_pylist() for c in ("key", "n", "r", "sig"))):
-            if k != key:
-                key, lead, prev = k, me, me
+        for k, g, *me in zip(*(b.column(c).to_pylist() for c in ("key", "g", "n", "r", "sig"))):
+            if (k, g) != key:
+                key, lead, prev = (k, g), me, me
                 continue
             if 100 * lead[0] < p.percent * me[0]:
                 lead = prev if 100 * prev[0] >= p.percent * me[0] else me
@@ -299,50 +317,26 @@ def _first_pairs(batches: Iterable[pa.RecordBatch], p: Join) -> Iterator[pa.Reco
         yield _unique(out)
 
 
-def _all_pairs(batches: Iterable[pa.RecordBatch], p: Join, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Lists, as rows (key, n, r, sig, root, bits) sorted by key and n, give the pairs (a, b) of different
-    roots that may be similar enough; with `most`, only among so many members of each root, which
-    the hash of key and set picks, so that lists of the same sets try different ones.  A bit that
-    one sketch has and the other lacks is a token that the other set lacks, so sketches bound the
-    intersection from above."""
-    key, members = None, []
-    for b in batches:
-        out = []
-        for k, *me in zip(*(b.column(c).to_pylist() for c in ("key", "n", "r", "sig", "root", "bits"))):
-            if k != key:
-                out += _across(key, members, p, most)
-                key, members = k, []
-            members.append(me)
-        yield _unique(out)
-    yield _unique(list(_across(key, members, p, most)))
-
-
-def _across(key: int | None, members: list[list], p: Join, most: int | None) -> Iterator[tuple[int, int]]:
-    if most is not None:
-        by_root: dict[int, list] = {}
-        for m in members:
-            by_root.setdefault(m[3], []).append(m)
-        members = sorted((m for ms in by_root.values() for m in heapq.nsmallest(most, ms, lambda m: hash((key, m[2])))), key=lambda m: (m[0], m[2]))
-    held: list[tuple] = []
-    for n, r, s, root, bits in members:
-        x = int.from_bytes(bits)
-        if held and 100 * held[0][0] < p.percent * n:
-            held = [o for o in held if 100 * o[0] >= p.percent * n]
-        for m, q, t, other, y in held:
-            if other != root and _reach(p, n, r, m, q) and _reach(p, n, r - (x & ~y).bit_count(), m, q - (y & ~x).bit_count()):
-                yield t, s
-        held.append((n, r, s, root, x))
-
-
 def _unique(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*set(pairs)) if pairs else ((), ())
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidates(lists: DataFrame, p: Join, full: bool, most: int | None = None) -> DataFrame:
-    """Distinct pairs of lists (columns as the walkers read them)."""
-    walk = (lambda it: _all_pairs(it, p, most)) if full else (lambda it: _first_pairs(it, p))
-    return lists.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(walk, PAIR_DDL).distinct()
+#: Long lists are made known to all tasks up to so many of them; more are joined by shuffle.
+BROADCAST_LISTS = 1 << 20
+
+
+def first_candidates(keys: DataFrame, p: Join) -> DataFrame:
+    """Distinct pairs of classes that stand beside each other in a list, or at its head.  A list of more than
+    `walk` classes is walked in parts."""
+    long = common.stored(keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > p.walk))
+    n = long.count()
+    dealt = keys.select("key", "n", "r", "sig").withColumn("g", F.lit(0))
+    if n:
+        known = dealt.join(F.broadcast(long) if n <= BROADCAST_LISTS else long, "key", "left")
+        parts = F.ceil(F.coalesce("k", F.lit(1)) / p.walk)
+        dealt = known.withColumn("g", F.pmod(F.xxhash64("sig"), parts).cast("int"))
+    return dealt.repartition("key", "g").sortWithinPartitions("key", "g", "n", "sig").mapInArrow(lambda it: _first_pairs(it, p), PAIR_DDL).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
@@ -380,13 +374,13 @@ def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def blocks(keys: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
-    """Lists of two classes or more as rows (key, i, j, g, n, r, sig, bits): of a list split into blocks, each
+    """Lists of two classes or more as rows (key, i, j, g, n, r, sig, root, bits): of a list split into blocks, each
     pair (i, j) of blocks, with the own one of each class as g."""
     many = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     parts = F.ceil(F.col("k") / p.block).cast("int")
-    own = keys.select("key", "n", "r", "sig").join(many.select("key", parts.alias("parts")), "key").withColumn("g", F.pmod(F.xxhash64("sig"), "parts").cast("int"))
+    own = keys.select("key", "n", "r", "sig", "root").join(many.select("key", parts.alias("parts")), "key").withColumn("g", F.pmod(F.xxhash64("sig"), "parts").cast("int"))
     each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return each.select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "n", "r", "sig").join(sets.select("sig", "bits"), "sig")
+    return each.select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "n", "r", "sig", "root").join(sets.select("sig", "bits"), "sig")
 
 
 #: Pairs that are looked at together.
@@ -394,9 +388,10 @@ _PAIRS = 1 << 20
 
 
 def _in_reach(t: pa.Table, p: Join) -> Iterator[pa.RecordBatch]:
-    """Of whole blocks, rows as `blocks` has them and sorted by key, i, j and n, the pairs (a, b) that may be
-    similar enough by size, shared tokens and sketches."""
-    key, i, j, g, n, r, sig = (t.column(c).to_numpy() for c in ("key", "i", "j", "g", "n", "r", "sig"))
+    """Of whole blocks, rows as `blocks` has them and sorted by key, i, j and n, the pairs (a, b) of different
+    roots that may be similar enough by size, shared tokens and sketches.  A bit that one sketch has and
+    the other lacks is a token that the other set lacks, so sketches bound the intersection from above."""
+    key, i, j, g, n, r, sig, root = (t.column(c).to_numpy() for c in ("key", "i", "j", "g", "n", "r", "sig", "root"))
     n, r = n.astype(np.int64), r.astype(np.int64)
     bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(-1, SKETCH // 64)
     head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
@@ -409,7 +404,7 @@ def _in_reach(t: pa.Table, p: Join) -> Iterator[pa.RecordBatch]:
         a = np.repeat(np.arange(lo, hi), after[lo:hi])
         b = a + 1 + np.arange(len(a)) - (total[a] - total[lo])
         lo = hi
-        ok = ((g[a] != g[b]) | (i[a] == j[a])) & ((100 + p.percent) * np.minimum(r[a], r[b]) >= p.percent * (n[a] + n[b]))
+        ok = (root[a] != root[b]) & ((g[a] != g[b]) | (i[a] == j[a])) & ((100 + p.percent) * np.minimum(r[a], r[b]) >= p.percent * (n[a] + n[b]))
         a, b = a[ok], b[ok]
         x, y = bits[a], bits[b]
         one, two = r[a] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), r[b] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
@@ -437,7 +432,7 @@ def _block_pairs(batches: Iterable[pa.RecordBatch], p: Join) -> Iterator[pa.Reco
 
 
 def all_candidates(keys: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
-    """Distinct pairs (a, b) of classes that share a signature and may be similar enough."""
+    """Distinct pairs (a, b) of classes of different roots that share a signature and may be similar enough."""
     dealt = blocks(keys, sets, p).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "sig")
     return dealt.mapInArrow(lambda it: _block_pairs(it, p), PAIR_DDL).distinct()
 
@@ -478,7 +473,7 @@ def join(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
     with an id that are similar enough, those of the same class included."""
     rows = classes(docs, p)
     sets, keys = rows.where(F.col("kind") == SET), rows.where(F.col("kind") == KEY)
-    links = common.stored(all_verified(common.stored(all_candidates(keys, sets, p)), sets, p))
+    links = common.stored(all_verified(common.stored(all_candidates(keys.withColumn("root", F.col("sig")), sets, p)), sets, p))
     roots = graph.components(links.select("ca", "cb"))
     members = rows.where(F.col("kind") == MEMBER).select("sig", "doc_id", F.col("n").cast("long").alias("n_shingles"), "cid")
     able = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
@@ -496,7 +491,7 @@ def connected(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
     between classes (ca, cb, both) as connect each component."""
     rows = classes(docs, p)
     sets, keys = rows.where(F.col("kind") == SET), rows.where(F.col("kind") == KEY)
-    tried = common.stored(candidates(keys.select("key", "n", "r", "sig"), p, full=False))
+    tried = common.stored(first_candidates(keys, p))
     links = common.stored(verified(tried, sets, p))
     roots = graph.components(links)
     for most in (*p.members, None):
@@ -506,8 +501,10 @@ def connected(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
         largest = open_.agg(F.max("largest")).first()[0]
         if largest is None:
             break
-        now = candidates(labelled.join(open_.select("key"), "key").join(sets.select("sig", "bits"), "sig"), p, full=True, most=most)
-        now = common.stored(now.join(tried, ["a", "b"], "left_anti"))
+        some = labelled.join(open_.select("key"), "key")
+        if most is not None:  # which ones, the hash of key and set says, so that lists of the same sets try different ones
+            some = some.withColumn("i", F.row_number().over(Window.partitionBy("key", "root").orderBy(F.xxhash64("key", "sig"), "sig"))).where(F.col("i") <= most).drop("i")
+        now = common.stored(all_candidates(some, sets, p).join(tried, ["a", "b"], "left_anti"))
         more = common.stored(verified(now, sets, p))
         tried = tried.unionByName(now)
         if not more.isEmpty():

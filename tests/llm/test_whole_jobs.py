@@ -40,6 +40,15 @@ def test_join_finds_all_links(spark, p):
     assert links.count() == sum(similar(i, j) for i in distinct.values() for j in distinct.values()) // 2
 
 
+@pytest.mark.parametrize("p", [neardup.Join(), neardup.Join(walk=5, block=7), neardup.Join(walk=2, block=3, members=(1,), frequent=3, part=4, chunk=3000), neardup.Join(bits=4), neardup.Join(bits=3, chunk=2000, bucket=500)])
+def test_components_of_long_lists_and_equal_fingerprints(spark, p):
+    """Lists in parts and blocks, many small buckets, and fingerprints of so few bits that most sets share one."""
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = neardup.connected(docs, p)[0].select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(brute.jaccard(rows), key=repr)
+
+
 @pytest.mark.parametrize("op", ["bytes", "words"])
 def test_places_across_blocks(spark, op):
     """Texts longer than the places that fit beside a hash, with repeats on both sides of the borders."""
