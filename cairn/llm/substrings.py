@@ -34,13 +34,15 @@ from .common import U64
 @dataclass(frozen=True)
 class SuperKmers:
     """k: words of a window.  m: words of a minimiser.  chunk: bytes of text that a task settles at
-    once.  buckets: of windows and of documents, per shuffle partition.  bits: of a key that give way to
+    once.  buckets: of windows and of documents, per shuffle partition at least; bucket: bytes of
+    text for each at most, on average.  bits: of a key that give way to
     its place; longer texts are taken in blocks."""
 
     k: int = 13
     m: int = 3
     chunk: int = 4 << 20
     buckets: int = 4
+    bucket: int = 16 << 20
     bits: int = 24
 
 
@@ -168,9 +170,9 @@ def _count(t: pa.Table, p: SuperKmers, n_buckets: int) -> pa.Table:
 
 def removals(docs: DataFrame, p: SuperKmers = SuperKmers()) -> tuple[DataFrame, int]:
     """Packed ranges of windows to remove, by document bucket; and the number of buckets."""
-    n = p.buckets * common.shuffle_count(docs.sparkSession)
+    n = common.bucket_count(docs, p.buckets, p.bucket)
     sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n), ranges.DDL)
-    return sent.groupBy("bucket").applyInArrow(lambda t: _count(t, p, n), ranges.DDL), n
+    return common.by_bucket(sent, n).groupBy("bucket").applyInArrow(lambda t: _count(t, p, n), ranges.DDL), n
 
 
 def deduplicate(docs: DataFrame, p: SuperKmers = SuperKmers(), text: bool = True) -> DataFrame:

@@ -38,13 +38,15 @@ from .substrings import sliding_argmin
 @dataclass(frozen=True)
 class Suffixes:
     """depth: bytes of a repeated string.  anchor: bytes of an anchor (16).  chunk: bytes of text that a
-    task cuts at once.  buckets: per shuffle partition.  bits: of a hash that give way to its place; more
+    task cuts at once.  buckets: per shuffle partition at least; bucket: bytes of
+    text for each at most, on average.  bits: of a hash that give way to its place; more
     bytes are taken in blocks."""
 
     depth: int = 100
     anchor: int = 16
     chunk: int = 2 << 20
     buckets: int = 4
+    bucket: int = 16 << 20
     bits: int = 24
 
     @property
@@ -245,9 +247,9 @@ def _shared(text: bytes, begin: np.ndarray, length: np.ndarray, off: np.ndarray,
 
 def removals(docs: DataFrame, p: Suffixes = Suffixes()) -> tuple[DataFrame, int]:
     """Packed ranges of starts to remove, by document bucket; and the number of buckets."""
-    n = p.buckets * common.shuffle_count(docs.sparkSession)
+    n = common.bucket_count(docs, p.buckets, p.bucket)
     sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n), ranges.DDL)
-    return sent.groupBy("bucket").applyInArrow(lambda t: _sort(t, p, n), ranges.DDL), n
+    return common.by_bucket(sent, n).groupBy("bucket").applyInArrow(lambda t: _sort(t, p, n), ranges.DDL), n
 
 
 def deduplicate(docs: DataFrame, p: Suffixes = Suffixes(), kept: bool = True) -> DataFrame:
