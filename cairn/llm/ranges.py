@@ -16,8 +16,8 @@ from . import common
 #: Rows of packed ranges, of either kind of shuffle: what bucket they go to, how many entries, the blob.
 DDL = "kind int, bucket int, n int, blob binary"
 SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
-#: Rows that carry strings, ranges, and whole texts.
-STRINGS, RANGES, TEXTS = 0, 1, 2
+#: Rows that carry strings, ranges, whole texts, and hashes of windows.
+STRINGS, RANGES, TEXTS, WINDOWS = 0, 1, 2, 3
 #: Stands for a null doc_id: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -55,6 +55,66 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
 
 
+def windows(one: np.ndarray, two: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Windows that go by 128 bits of their own as rows of DDL, one per bucket of these."""
+    b = (common.mix(one ^ two) % common.U64(n_buckets)).astype(np.int32)
+    order = np.lexsort((one, b))
+    b, cols = b[order], [c[order] for c in (one, two, doc, key.astype(np.uint64), start.astype(np.int32))]
+    cuts = np.flatnonzero(np.diff(b)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+        if lo < hi:
+            yield WINDOWS, int(b[lo]), hi - lo, common.pack(*(c[lo:hi] for c in cols))
+
+
+def unpacked_windows(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """Of rows (n, blob): one, two, doc, key, start, sorted in this order, each window of a document once."""
+    cols = [np.concatenate(c) for c in zip(*(common.unpack(blob, n, "u8", "u8", "i8", "u8", "i4") for n, blob in blobs))]
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return [c[new] for c in cols]
+
+
+def groups(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of sorted windows the place of the first equal one of each."""
+    new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.empty(0, bool)
+    return np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))
+
+
+def heavy(docs: DataFrame, sizes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], chunk: int, hot: int) -> np.ndarray:
+    """Sorted 64-bit keys for which `sizes` (keys and bytes of a chunk's strings) sums up to `hot` bytes or more
+    over all documents.  Tasks add up their own and tell the sums of `hot` / 4096 or more, so what a key has
+    beyond its sum is less than that for each task.  At most MOST keys come back; were there more, the bound
+    would be raised."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for b in common.chunks(batches, chunk):
+            k, s = sizes(b)
+            held, at = np.unique(np.concatenate([held, k]), return_inverse=True)
+            size = np.bincount(at, np.concatenate([size, s]), len(held)).astype(np.int64)
+            if len(held) > 1 << 20:
+                yield out(held, size)
+                held, size = held[:0], size[:0]
+        yield out(held, size)
+
+    def out(held: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        ok = size >= max(1, hot // 4096)
+        return pa.record_batch([pa.array(held[ok].view(np.int64)), pa.array(size[ok])], names=["key", "size"])
+
+    told = docs.select("doc_id", "text").mapInArrow(run, "key long, size long").groupBy("key").agg(F.sum("size").alias("size"))
+    sums = common.stored(told.where(F.col("size") >= hot))
+    while sums.count() > MOST:
+        hot *= 2
+        sums = sums.where(F.col("size") >= hot)
+    return np.sort(np.array([r["key"] for r in sums.select("key").collect()], np.int64).view(np.uint64))
+
+
+#: Keys of 8 bytes that the driver holds and sends to all tasks.
+MOST = 1 << 20
+
+
 def runs(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and lengths of the runs of true flags that lie in one group."""
     at = np.flatnonzero(flags)

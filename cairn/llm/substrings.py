@@ -10,7 +10,9 @@ Before the shuffle each task settles what it can: of equal super-k-mers in one c
 only those of the smallest id travel, the others are removed for certain.  So a passage that a third
 of the documents share costs one string per chunk.
 
-Minimisers made of short words come last in the order, since such words are frequent.
+Minimisers made of short words come last in the order, since such words are frequent.  Where the super-k-mers
+of one minimiser would still outgrow a bucket (what surrounds a passage that many documents share), its
+windows go one by one, by 128 bits of their own, to as many buckets as there are.
 
 Defined cases: null and empty texts have no words (sha256 of the empty string); a null doc_id comes
 after all ids; rows that share an id don't remove each other's words; extra columns are ignored; an
@@ -35,14 +37,15 @@ from .common import U64
 class SuperKmers:
     """k: words of a window.  m: words of a minimiser.  chunk: bytes of text that a task settles at
     once.  buckets: of windows and of documents, per shuffle partition at least; bucket: bytes of
-    text for each at most, on average.  bits: of a key that give way to
-    its place; longer texts are taken in blocks."""
+    text for each at most, on average.  hot: bytes of super-k-mers from which a minimiser's windows
+    are dealt one by one.  bits: of a key that give way to its place; longer texts are taken in blocks."""
 
     k: int = 13
     m: int = 3
     chunk: int = 4 << 20
-    buckets: int = 4
+    buckets: int = 2
     bucket: int = 16 << 20
+    hot: int = 4 << 20
     bits: int = 24
 
 
@@ -70,13 +73,13 @@ def sliding_argmin(a: np.ndarray, w: int, bits: int) -> np.ndarray:
     return out
 
 
-def super_kmers(words: list[bytes], doc: np.ndarray, p: SuperKmers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(words: list[bytes], h: np.ndarray, doc: np.ndarray, p: SuperKmers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window and minimiser of each super-k-mer of the documents whose words stand
-    one behind the other; doc has each word's document."""
+    one behind the other; h has their hashes and doc each word's document."""
     n = len(words) - p.k + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, U64),)
-    gram = common.window_hash(common.hash_words(words), p.m)
+    gram = common.window_hash(h, p.m)
     size = np.cumsum([0, *map(len, words)])
     frequent = (size[p.m :] - size[: -p.m]) < 4 * p.m
     key = gram >> U64(1)
@@ -91,7 +94,29 @@ def super_kmers(words: list[bytes], doc: np.ndarray, p: SuperKmers) -> tuple[np.
     return first, last, mini[first]
 
 
-def _send(batches: Iterable[pa.RecordBatch], p: SuperKmers, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def two_hashes(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each k consecutive words."""
+    return common.window_hash(h, k), common.window_hash(h ^ U64(0x5851F42D4C957F2D), k)
+
+
+def _sizes(b: pa.RecordBatch, p: SuperKmers) -> tuple[np.ndarray, np.ndarray]:
+    """Minimisers of a chunk's super-k-mers, and their bytes."""
+    texts = [(t.as_py() or "").encode().split() for t in b.column("text")]
+    words = [w for t in texts for w in t]
+    first, last, mini = super_kmers(words, common.hash_words(words), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), p)
+    begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+    return mini, begin[last + p.k] - begin[first] if len(first) else np.empty(0, np.int64)
+
+
+def _apart(one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Of windows the ones that also stand in a document with a smaller id."""
+    order = np.lexsort((owner, two, one))
+    flag = np.empty(len(order), bool)
+    flag[order] = owner[order] > owner[order][ranges.groups(one[order], two[order])]
+    return flag
+
+
+def _send(batches: Iterable[pa.RecordBatch], p: SuperKmers, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in common.chunks(batches, p.chunk):
         id_ = ranges.ids(b.column("doc_id"))
         raws = [(t.as_py() or "").encode() for t in b.column("text")]
@@ -104,24 +129,39 @@ def _send(batches: Iterable[pa.RecordBatch], p: SuperKmers, n_buckets: int) -> I
             keys.append(ranges.text_key(raws[i]))
         del raws
         doc = np.repeat(np.arange(len(counts)), counts)
-        first, last, mini = super_kmers(words, doc, p)
+        h = common.hash_words(words)
+        first, last, mini = super_kmers(words, h, doc, p)
         if not len(first):
             continue
         text, begin = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
         strings = [text[x:y] for x, y in zip(begin[first].tolist(), (begin[last + p.k] - 1).tolist())]
         id_, keys = id_[by_id], np.array(keys, np.uint64)
+        rows = []
+        if (burning := np.isin(mini, hot)).any():
+            many = (last - first + 1)[burning]
+            at = np.arange(many.sum()) + np.repeat(first[burning] - (np.cumsum(many) - many), many)
+            one, two = (x[at] for x in two_hashes(h, p.k))
+            own = doc[at]
+            place = at - np.searchsorted(doc, own)
+            gone = _apart(one, two, id_[own])
+            rows += ranges.packed(id_[own][gone], keys[own][gone], place[gone], np.ones(int(gone.sum()), np.int64), n_buckets)
+            rows += ranges.windows(one[~gone], two[~gone], id_[own][~gone], keys[own][~gone], place[~gone], n_buckets)
+            first, last, mini = first[~burning], last[~burning], mini[~burning]
+            strings = [s for s, x in zip(strings, burning.tolist()) if not x]
         d = doc[first]
         start = first - np.searchsorted(doc, d)
         # of equal strings those in a later document than the first go at once
         seen: dict[bytes, int] = {}
         owner = np.fromiter(map(seen.setdefault, strings, id_[d].tolist()), np.int64, len(strings))
         gone = owner < id_[d]
-        rows = list(ranges.packed(id_[d][gone], keys[d][gone], start[gone], (last - first + 1)[gone], n_buckets))
+        rows += ranges.packed(id_[d][gone], keys[d][gone], start[gone], (last - first + 1)[gone], n_buckets)
         bucket = (common.mix(mini) % U64(n_buckets)).astype(np.int32)
         stay = np.flatnonzero(~gone)
         stay = stay[np.argsort(bucket[stay], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[stay])) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(stay)]):
+            if lo == hi:
+                continue
             own = stay[lo:hi]
             meta = common.pack(id_[d[own]], keys[d[own]], start[own].astype(np.int32))
             body = common.zip_bytes(b"\n".join([strings[i] for i in own.tolist()]))
@@ -132,14 +172,21 @@ def _send(batches: Iterable[pa.RecordBatch], p: SuperKmers, n_buckets: int) -> I
 def _count(t: pa.Table, p: SuperKmers, n_buckets: int) -> pa.Table:
     """One bucket: ranges pass; the windows of all strings are sorted, and those that also start in a
     smaller document become ranges."""
-    meta, strings, out = [], [], []
+    meta, strings, out, single = [], [], [], []
     for kind, bucket, n, blob in zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", "n", "blob"))):
         if kind == ranges.RANGES:
             out.append((kind, bucket, n, blob))
             continue
+        if kind == ranges.WINDOWS:
+            single.append((n, blob))
+            continue
         size = int.from_bytes(blob[:4], "little")
         meta.append(common.unpack(blob[4 : 4 + size], n, "i8", "u8", "i4"))
         strings.append(common.unzip_bytes(blob[4 + size :]))
+    if single:
+        one, two, id_, key, start = ranges.unpacked_windows(single)
+        gone = id_ > id_[ranges.groups(one, two)]
+        out += ranges.packed(id_[gone], key[gone], start[gone], np.ones(int(gone.sum()), np.int64), n_buckets)
     if meta:
         id_, key, start = (np.concatenate(c) for c in zip(*meta))
         text = b"\n".join(strings)
@@ -149,7 +196,7 @@ def _count(t: pa.Table, p: SuperKmers, n_buckets: int) -> pa.Table:
         string = np.repeat(np.arange(len(counts)), counts)
         n = len(h) - p.k + 1
         real = np.flatnonzero(string[:n] == string[p.k - 1 :])
-        one, two = common.window_hash(h, p.k)[real], common.window_hash(h ^ U64(0x5851F42D4C957F2D), p.k)[real]
+        one, two = (x[real] for x in two_hashes(h, p.k))
         owner = id_[string[real]]
         order = np.argsort(one, kind="stable")
         same = (one[order][1:] == one[order][:-1])
@@ -171,7 +218,8 @@ def _count(t: pa.Table, p: SuperKmers, n_buckets: int) -> pa.Table:
 def removals(docs: DataFrame, p: SuperKmers = SuperKmers()) -> tuple[DataFrame, int]:
     """Packed ranges of windows to remove, by document bucket; and the number of buckets."""
     n = common.bucket_count(docs, p.buckets, p.bucket)
-    sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n), ranges.DDL)
+    hot = ranges.heavy(docs, lambda b: _sizes(b, p), p.chunk, p.hot)
+    sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n, hot), ranges.DDL)
     return common.by_bucket(sent, n).groupBy("bucket").applyInArrow(lambda t: _count(t, p, n), ranges.DDL), n
 
 

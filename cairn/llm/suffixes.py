@@ -12,6 +12,10 @@ agree on the least hash among the `anchor`-byte strings in them; so each task cu
 runs of starts that share that anchor, and sends a run as one string to the anchor's bucket.  Each
 bucket has a suffix array of its own, and no previous factor of `depth` bytes is missed.
 
+Where the runs of one anchor would outgrow a bucket (what surrounds a string that many documents share), their
+strings of `depth` bytes go one by one, by 128 bits of their own, to as many buckets as there are; equal
+ones meet there in order of position.
+
 What needs no sorting is settled before: of equal runs only the first travels and is sorted, and a run
 joins the array only if it shares, beside the anchor, the half of a string that lies on one side.
 
@@ -39,14 +43,15 @@ from .substrings import sliding_argmin
 class Suffixes:
     """depth: bytes of a repeated string.  anchor: bytes of an anchor (16).  chunk: bytes of text that a
     task cuts at once.  buckets: per shuffle partition at least; bucket: bytes of
-    text for each at most, on average.  bits: of a hash that give way to its place; more
-    bytes are taken in blocks."""
+    text for each at most, on average.  hot: bytes of runs from which an anchor's strings are
+    dealt one by one.  bits: of a hash that give way to its place; more bytes are taken in blocks."""
 
     depth: int = 100
     anchor: int = 16
     chunk: int = 2 << 20
-    buckets: int = 4
+    buckets: int = 2
     bucket: int = 16 << 20
+    hot: int = 4 << 20
     bits: int = 24
 
     @property
@@ -97,7 +102,14 @@ def cut(buf: np.ndarray, bounds: np.ndarray, p: Suffixes) -> tuple[np.ndarray, .
     return first, last, least[first], ((at[first] - first) + 128 * several).astype(np.uint8)
 
 
-def _send(batches: Iterable[pa.RecordBatch], p: Suffixes, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _sizes(b: pa.RecordBatch, p: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of a chunk's runs, and their bytes."""
+    raws = [(t.as_py() or "").encode() for t in b.column("text")]
+    first, last, anchor, _ = cut(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]), p)
+    return anchor, last - first + p.depth
+
+
+def _send(batches: Iterable[pa.RecordBatch], p: Suffixes, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in common.chunks(batches, p.chunk):
         id_ = ranges.ids(b.column("doc_id"))
         raws = [(t.as_py() or "").encode() for t in b.column("text")]
@@ -112,17 +124,32 @@ def _send(batches: Iterable[pa.RecordBatch], p: Suffixes, n_buckets: int) -> Ite
         first, last, anchor, off = cut(np.frombuffer(text, np.uint8), bounds, p)
         if not len(first):
             continue
+        rows = []
+        if (burning := np.isin(anchor, hot)).any():
+            many = (last - first + 1)[burning]
+            at = np.arange(many.sum()) + np.repeat(first[burning] - (np.cumsum(many) - many), many)
+            x = loads(np.frombuffer(text + bytes(8), np.uint8))
+            one, two, own = hashed(x, at, p.depth), hashed(x ^ U64(0x5851F42D4C957F2D), at, p.depth), np.searchsorted(bounds, at, "right") - 1
+            order = np.lexsort((at, two, one))  # texts lie in order of position
+            gone = np.empty(len(at), bool)
+            gone[order] = ranges.groups(one[order], two[order]) != np.arange(len(at))
+            place = at - bounds[own]
+            rows += ranges.packed(id_[own][gone], keys[own][gone], place[gone], np.ones(int(gone.sum()), np.int64), n_buckets)
+            rows += ranges.windows(one[~gone], two[~gone], id_[own][~gone], keys[own][~gone], place[~gone], n_buckets)
+            first, last, anchor, off = (c[~burning] for c in (first, last, anchor, off))
         d = np.searchsorted(bounds, first, "right") - 1
         strings = [text[x:y] for x, y in zip(first.tolist(), (last + p.depth).tolist())]
         seen: dict[bytes, int] = {}
         gone = np.fromiter(map(seen.setdefault, strings, range(len(strings))), np.int64, len(strings)) != np.arange(len(strings))
         start = first - bounds[d]
-        rows = list(ranges.packed(id_[d][gone], keys[d][gone], start[gone], (last - first + 1)[gone], n_buckets))
+        rows += ranges.packed(id_[d][gone], keys[d][gone], start[gone], (last - first + 1)[gone], n_buckets)
         bucket = (common.mix(anchor) % U64(n_buckets)).astype(np.int32)
         stay = np.flatnonzero(~gone)
         stay = stay[np.argsort(bucket[stay], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[stay])) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(stay)]):
+            if lo == hi:
+                continue
             own = stay[lo:hi]
             meta = common.pack(id_[d[own]], keys[d[own]], start[own].astype(np.int32), (last - first + p.depth)[own].astype(np.int32), off[own])
             rows.append((ranges.STRINGS, int(bucket[own[0]]), len(own), len(meta).to_bytes(4, "little") + meta + common.zip_bytes(b"".join([strings[i] for i in own.tolist()]))))
@@ -189,14 +216,21 @@ def longest_previous_factors(buf: np.ndarray, starts: np.ndarray, depth: int) ->
 
 def _sort(t: pa.Table, p: Suffixes, n_buckets: int) -> pa.Table:
     """One bucket: ranges pass; what its strings repeat of earlier ones becomes ranges."""
-    meta, texts, out = [], [], []
+    meta, texts, out, single = [], [], [], []
     for kind, bucket, n, blob in zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", "n", "blob"))):
         if kind == ranges.RANGES:
             out.append((kind, bucket, n, blob))
             continue
+        if kind == ranges.WINDOWS:
+            single.append((n, blob))
+            continue
         size = int.from_bytes(blob[:4], "little")
         meta.append(common.unpack(blob[4 : 4 + size], n, "i8", "u8", "i4", "i4", "u1"))
         texts.append(common.unzip_bytes(blob[4 + size :]))
+    if single:
+        one, two, id_, key, start = ranges.unpacked_windows(single)
+        gone = ranges.groups(one, two) != np.arange(len(one))
+        out += ranges.packed(id_[gone], key[gone], start[gone], np.ones(int(gone.sum()), np.int64), n_buckets)
     if meta:
         id_, key, start, length, off = (np.concatenate(c) for c in zip(*meta))
         text = b"".join(texts)
@@ -248,7 +282,8 @@ def _shared(text: bytes, begin: np.ndarray, length: np.ndarray, off: np.ndarray,
 def removals(docs: DataFrame, p: Suffixes = Suffixes()) -> tuple[DataFrame, int]:
     """Packed ranges of starts to remove, by document bucket; and the number of buckets."""
     n = common.bucket_count(docs, p.buckets, p.bucket)
-    sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n), ranges.DDL)
+    hot = ranges.heavy(docs, lambda b: _sizes(b, p), p.chunk, p.hot)
+    sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n, hot), ranges.DDL)
     return common.by_bucket(sent, n).groupBy("bucket").applyInArrow(lambda t: _sort(t, p, n), ranges.DDL), n
 
 

@@ -65,6 +65,32 @@ def test_places_across_blocks(spark, op):
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(plain)
 
 
+@pytest.mark.parametrize("hot", [1, 1000, 3000])
+@pytest.mark.parametrize("op", ["bytes", "words"])
+def test_hot_passages_are_dealt_by_windows(spark, op, hot):
+    """A passage in every document, with other words on both sides, repeated rows, a null id, and strings that repeat
+    inside a document; all, some or a few of the keys are dealt one by one."""
+    g = random.Random(12)
+    w = lambda n: " ".join(f"u{g.randrange(10**5)}" for _ in range(n))
+    shared, other = w(40), w(25)
+    rows = [(i, f"{w(g.randrange(30))} {shared} {w(g.randrange(30))} {other if i % 3 == 0 else ''} {shared[:150] if i % 5 == 0 else ''}") for i in range(60)]
+    rows += [(None, rows[4][1] + " x"), (70, "= " * 200), (71, "= " * 90), (72, None), (73, "")]
+    docs = spark.createDataFrame([*rows, rows[7]], "doc_id long, text string").repartition(3)
+    if op == "bytes":
+        p = suffixes.Suffixes(hot=hot, chunk=3000, bucket=4000)
+        out, plain = suffixes.deduplicate(docs, p), brute.byte_strings([(10**9 if d is None else d, t) for d, t in rows])
+        cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        found = ranges.heavy(docs, lambda b: suffixes._sizes(b, p), p.chunk, p.hot)
+    else:
+        p = substrings.SuperKmers(hot=hot, chunk=3000, bucket=4000)
+        out, plain = substrings.deduplicate(docs, p), brute.word_windows(rows)
+        cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+        found = ranges.heavy(docs, lambda b: substrings._sizes(b, p), p.chunk, p.hot)
+    assert len(found) == len(set(found.tolist())) > 0 and (hot == 1) == (len(found) > 200)
+    plain = [(None if r[0] == 10**9 else r[0], *r[1:]) for r in plain]
+    assert sorted(map(tuple, out.select(*cols).collect()), key=repr) == sorted([*plain, plain[7]], key=repr)
+
+
 def test_argmin_has_no_limit_of_places():
     a = np.random.default_rng(1).integers(0, 1 << 63, 3000, np.int64).astype(np.uint64)
     for bits in (5, 8, 24):
