@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.session import scratch, stored
@@ -121,7 +121,27 @@ def bucket_count(docs: DataFrame, per_partition: int, size: int) -> int:
     return max(per_partition * shuffle_count(docs.sparkSession), -(-total // size))
 
 
-def by_bucket(rows: DataFrame, n: int) -> DataFrame:
-    """rows with a column `bucket`, in as many partitions as there are buckets: what a task reads doesn't grow
-    with the input."""
-    return rows.repartition(n, "bucket")
+def by_bucket(rows: DataFrame, n: int) -> GroupedData:
+    """rows grouped by their column `bucket` (0 to n - 1), in as many partitions as there are buckets and, up to
+    16,384 of them, one in each: what a task reads doesn't grow with the input."""
+    at = F.col("bucket")
+    if n <= 1 << 14:
+        at = F.get(F.expr(f"array({', '.join(map(str, spread(n).tolist()))})"), at)
+    return rows.withColumn("at", at).repartition(n, "at").groupBy("at")
+
+
+def spread(n: int) -> np.ndarray:
+    """n ints that hash partitioning puts in n different partitions of n."""
+    found, tried = np.full(n, -1, np.int32), 0
+    while (found < 0).any():
+        v = np.arange(tried, tried + 8 * n, dtype=np.uint32)
+        tried += 8 * n
+        x = v * np.uint32(0xCC9E2D51)
+        x = (x << np.uint32(15) | x >> np.uint32(17)) * np.uint32(0x1B873593) ^ np.uint32(42)
+        x = (x << np.uint32(13) | x >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        x = (x ^ x >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        at, first = np.unique((x ^ x >> np.uint32(16)).view(np.int32).astype(np.int64) % n, return_index=True)
+        new = found[at] < 0
+        found[at[new]] = v[first[new]].astype(np.int32)
+    return found

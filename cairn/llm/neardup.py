@@ -75,7 +75,9 @@ class Join:
         return n - -(-n * self.percent // 100)
 
 
-TOKENS, MEMBERS, SHARED = 0, 1, 2
+#: Rows on their way: tokens to their bucket; to the bucket of a class its smallest document of a chunk, and its shared
+#: tokens; and to any bucket the documents of a chunk, since a class may have a third of all.
+TOKENS, HEADS, SHARED, DOCUMENTS = 0, 1, 2, 3
 ALL = np.uint16(65535)
 
 
@@ -122,10 +124,17 @@ def _send(batches: Iterable[pa.RecordBatch], p: Join, n_buckets: int, collided:
         if collided:
             sig = np.where(np.isin(sig, np.array(collided, U64)), common.mix(check), sig)
         size = np.array([len(s) for s in sets], np.int32)
-        cb = _class_bucket(sig, n_buckets)
-        order = np.lexsort((doc, sig, cb))
-        rows = list(_by_bucket(cb[order], MEMBERS, doc[order], sig[order], size[order], check[order]))
-        able = np.flatnonzero((size > 0) & (doc != ranges.LAST))
+        able = (size > 0) & (doc != ranges.LAST)
+        order = np.lexsort((doc, sig))
+        rows = [(DOCUMENTS, int(common.mix(sig[:1] ^ doc[:1].view(U64))[0] % U64(n_buckets)), len(doc), common.pack(doc[order], sig[order], size[order], able[order].astype(np.uint8)))]
+        able = np.flatnonzero(able)
+        able = able[np.lexsort((doc[able], check[able], sig[able]))]
+        head = np.ones(len(able), bool)
+        head[1:] = (sig[able][1:] != sig[able][:-1]) | (check[able][1:] != check[able][:-1])
+        able = able[head]
+        cb = _class_bucket(sig[able], n_buckets)
+        order = able[np.argsort(cb, kind="stable")]
+        rows += _by_bucket(np.sort(cb), HEADS, doc[order], sig[order], size[order], check[order])
         once = able[np.unique(sig[able], return_index=True)[1]]
         if len(once):
             token = np.concatenate([sets[i] for i in once.tolist()])
@@ -228,33 +237,36 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-MEMBER, SET, KEY, COLLIDED = 0, 1, 2, 3
+MEMBER, SET, KEY, COLLIDED, CLASS = 0, 1, 2, 3, 4
 
 
 def _classes(t: pa.Table, p: Join) -> pa.Table:
-    """One class bucket: a MEMBER row per document (cid is the class's smallest id), and for classes that may
-    have partners a SET row with their shared tokens and KEY rows."""
-    members, shared = [], []
+    """One class bucket: a MEMBER row for each document that came by (without sig if it has no class), a CLASS row for
+    each class (cid is its smallest id), and for classes that may have partners a SET row with their shared
+    tokens and KEY rows; COLLIDED rows tell which fingerprints stand for several sets."""
+    heads, shared, out, void = [], [], [], pa.nulls
+
+    def put(kind: int, **cols: pa.Array) -> None:
+        n = len(next(iter(cols.values())))
+        if n:
+            out.append(pa.record_batch([pa.array(np.full(n, kind, np.int32)), *(cols.get(f.name, void(n, f.type)) for f in list(_CLASS)[1:])], schema=_CLASS))
+
     for kind, n, blob in zip(*(t.column(c).to_pylist() for c in ("kind", "n", "blob"))):
-        (members if kind == MEMBERS else shared).append(common.unpack(blob, n, *(("i8", "u8", "i4", "u8") if kind == MEMBERS else ("u8", "u8", "u2"))))
-    out = []
-    doc, sig, n, check = (np.concatenate(c) for c in zip(*members)) if members else (np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int32), np.empty(0, U64))
+        if kind == HEADS:
+            heads.append(common.unpack(blob, n, "i8", "u8", "i4", "u8"))
+        elif kind == SHARED:
+            shared.append(common.unpack(blob, n, "u8", "u8", "u2"))
+        else:
+            doc, sig, size, able = common.unpack(blob, n, "i8", "u8", "i4", "u1")
+            put(MEMBER, sig=pa.array(sig.view(np.int64), mask=able == 0), n=pa.array(size), doc_id=pa.array(doc, mask=doc == ranges.LAST))
+    doc, sig, n, check = (np.concatenate(c) for c in zip(*heads)) if heads else (np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int32), np.empty(0, U64))
     order = np.lexsort((check, sig))
     one, two = sig[order], check[order]
-    collided = np.unique(one[1:][(one[1:] == one[:-1]) & (two[1:] != two[:-1])])
-    if k := len(collided):
-        void = pa.nulls
-        out.append(pa.record_batch([pa.array(np.full(k, COLLIDED, np.int32)), pa.array(collided.view(np.int64)), *(void(k, f.type) for f in list(_CLASS)[2:])], schema=_CLASS))
+    put(COLLIDED, sig=pa.array(np.unique(one[1:][(one[1:] == one[:-1]) & (two[1:] != two[:-1])]).view(np.int64)))
     order = np.lexsort((doc, sig))
     doc, sig, n = doc[order], sig[order], n[order]
     usig, head = np.unique(sig, return_index=True)
-    cid = np.repeat(doc[head], np.diff(np.append(head, len(sig))))
-    alone = (n == 0) | (doc == ranges.LAST)
-    cid = np.where(alone, doc, cid)
-    void = pa.nulls
-    null_id = doc == ranges.LAST
-    k = len(doc)
-    out.append(pa.record_batch([pa.array(np.zeros(k, np.int32)), pa.array(sig.view(np.int64)), pa.array(cid, mask=null_id), pa.array(n), void(k, pa.int32()), pa.array(doc, mask=null_id), void(k, pa.int64()), void(k, pa.binary()), void(k, pa.binary())], schema=_CLASS))
+    put(CLASS, sig=pa.array(usig.view(np.int64)), cid=pa.array(doc[head]), n=pa.array(n[head]))
     if shared:
         s, token, df = (np.concatenate(c) for c in zip(*shared))
         order = np.lexsort((token, s))
@@ -273,21 +285,20 @@ def _classes(t: pa.Table, p: Join) -> pa.Table:
                 keys.append(got)
         if sets:
             sg, c, size, r, blob, bits = zip(*sets)
-            m, per = len(sets), [len(x) for x in keys]
+            per = [len(x) for x in keys]
             sg, c, size, r = np.array(sg, U64).view(np.int64), np.array(c, np.int64), np.array(size, np.int32), np.array(r, np.int32)
-            out.append(pa.record_batch([pa.array(np.full(m, SET, np.int32)), pa.array(sg), pa.array(c), pa.array(size), pa.array(r), void(m, pa.int64()), void(m, pa.int64()), pa.array(blob, pa.binary()), pa.array(bits, pa.binary())], schema=_CLASS))
-            k = sum(per)
-            out.append(pa.record_batch([pa.array(np.full(k, KEY, np.int32)), pa.array(np.repeat(sg, per)), pa.array(np.repeat(c, per)), pa.array(np.repeat(size, per)), pa.array(np.repeat(r, per)), void(k, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), void(k, pa.binary()), void(k, pa.binary())], schema=_CLASS))
+            put(SET, sig=pa.array(sg), cid=pa.array(c), n=pa.array(size), r=pa.array(r), blob=pa.array(blob, pa.binary()), bits=pa.array(bits, pa.binary()))
+            put(KEY, sig=pa.array(np.repeat(sg, per)), cid=pa.array(np.repeat(c, per)), n=pa.array(np.repeat(size, per)), r=pa.array(np.repeat(r, per)), key=pa.array(np.concatenate(keys).view(np.int64)))
     return pa.Table.from_batches(out, schema=_CLASS)
 
 
 def classes(docs: DataFrame, p: Join = Join(), collided: tuple[int, ...] = ()) -> DataFrame:
-    """The stored MEMBER, SET and KEY rows of docs.  What collided is expected to be nothing up to 10**9 sets, and
+    """The stored MEMBER, CLASS, SET and KEY rows of docs.  What collided is expected to be nothing up to 10**9 sets, and
     some pairs beyond."""
     n, known = common.bucket_count(docs, p.buckets, p.bucket), [c % 2**64 for c in collided]
     sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n, known), ranges.DDL)
-    shared = common.by_bucket(sent, n).groupBy("bucket").applyInArrow(lambda t: _count(t, p, n), ranges.DDL)
-    rows = common.stored(common.by_bucket(shared, n).groupBy("bucket").applyInArrow(lambda t: _classes(t, p), CLASS_DDL))
+    shared = common.by_bucket(sent, n).applyInArrow(lambda t: _count(t, p, n), ranges.DDL)
+    rows = common.stored(common.by_bucket(shared, n).applyInArrow(lambda t: _classes(t, p), CLASS_DDL))
     more = [r["sig"] for r in rows.where(F.col("kind") == COLLIDED).select("sig").collect()]
     return classes(docs, p, (*collided, *more)) if more else rows
 
@@ -474,16 +485,25 @@ def join(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
     rows = classes(docs, p)
     sets, keys = rows.where(F.col("kind") == SET), rows.where(F.col("kind") == KEY)
     links = common.stored(all_verified(common.stored(all_candidates(keys.withColumn("root", F.col("sig")), sets, p)), sets, p))
-    roots = graph.components(links.select("ca", "cb"))
-    members = rows.where(F.col("kind") == MEMBER).select("sig", "doc_id", F.col("n").cast("long").alias("n_shingles"), "cid")
-    able = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    sizes = members.where(able).groupBy("sig").agg(F.count("*").alias("own"))
+    sizes = rows.where((F.col("kind") == MEMBER) & F.col("sig").isNotNull()).groupBy("sig").agg(F.count("*").alias("own"))
     ends = links.select(F.col("a").alias("sig"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("sig"), F.col("a").alias("other")))
     beside = ends.join(sizes.select(F.col("sig").alias("other"), "own"), "other").groupBy("sig").agg(F.sum("own").alias("beside"))
-    per = sizes.join(beside, "sig", "left").select("sig", (F.col("own") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
-    out = members.join(roots, F.col("cid") == F.col("node"), "left").join(per, "sig", "left")
-    n_links = F.when(able, F.col("n_links")).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "n_shingles", "cid", F.coalesce("root", "cid").alias("component_id"), n_links.alias("n_links")), links
+    per = sizes.join(beside, "sig", "left").select("sig", (F.col("own") - 1 + F.coalesce("beside", F.lit(0))).cast("long").alias("n_links"))
+    return membership(rows, graph.components(links.select("ca", "cb")), per), links
+
+
+def membership(rows: DataFrame, roots: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, cid, component_id, one row per document, and a column of `more` by sig (0 where there is no
+    class).  Classes meet their roots first, one row each, so only one join sees all documents; those without a
+    class stay out of it."""
+    known = rows.where(F.col("kind") == CLASS).select("sig", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("root", "cid").alias("component_id"))
+    own = [] if more is None else [c for c in more.columns if c != "sig"]
+    if more is not None:
+        known = known.join(more, "sig", "left")
+    docs = rows.where(F.col("kind") == MEMBER).select("sig", "doc_id", F.col("n").cast("long").alias("n_shingles"))
+    there = docs.where("sig is not null").join(known, "sig").select("doc_id", "n_shingles", "cid", "component_id", *own)
+    alone = docs.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("cid"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in own])
+    return there.unionByName(alone)
 
 
 def connected(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
@@ -511,9 +531,7 @@ def connected(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
             links, roots = links.unionByName(more), _merged(roots, more)
         if most is None or largest <= most:
             break
-    members = rows.where(F.col("kind") == MEMBER).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid")
-    out = members.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "n_shingles", "cid", F.coalesce("root", "cid").alias("component_id"))
-    return out, links
+    return membership(rows, roots), links
 
 
 def keep_one(docs: DataFrame, p: Join = Join()) -> DataFrame:

@@ -170,4 +170,4 @@ def apply(docs: DataFrame, found: DataFrame, n_buckets: int, make: Callable[[byt
         return pa.table([pa.array(d, mask=d == LAST), *cols], schema=schema)
 
     a = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keyed, DDL)
-    return common.by_bucket(a, n_buckets).groupBy("bucket").cogroup(common.by_bucket(found, n_buckets).groupBy("bucket")).applyInArrow(merge, ddl)
+    return common.by_bucket(a, n_buckets).cogroup(common.by_bucket(found, n_buckets)).applyInArrow(merge, ddl)

@@ -220,7 +220,7 @@ def removals(docs: DataFrame, p: SuperKmers = SuperKmers()) -> tuple[DataFrame,
     n = common.bucket_count(docs, p.buckets, p.bucket)
     hot = ranges.heavy(docs, lambda b: _sizes(b, p), p.chunk, p.hot)
     sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _send(it, p, n, hot), ranges.DDL)
-    return common.by_bucket(sent, n).groupBy("bucket").applyInArrow(lambda t: _count(t, p, n), ranges.DDL), n
+    return common.by_bucket(sent, n).applyInArrow(lambda t: _count(t, p, n), ranges.DDL), n
 
 
 def deduplicate(docs: DataFrame, p: SuperKmers = SuperKmers(), text: bool = True) -> DataFrame:

@@ -453,6 +453,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert out.where("p and toxic = 0").count() <= 0.03 * out.where("toxic = 0").count()
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 48, 211, 3000])
+def test_a_bucket_has_a_partition_of_its_own(spark, n):
+    rows = spark.range(n).select(F.col("id").cast("int").alias("bucket"))
+    assert sorted(common.spread(n).tolist()) == sorted(set(common.spread(n).tolist()))
+    if n < 300:
+        at = F.get(F.expr(f"array({', '.join(map(str, common.spread(n).tolist()))})"), F.col("bucket"))
+        assert rows.withColumn("at", at).repartition(n, "at").select(F.spark_partition_id().alias("p")).distinct().count() == n
+        assert common.by_bucket(rows, n).applyInArrow(lambda t: t.select(["bucket"]), "bucket int").count() == n
+
+
 def test_pack_and_unpack():
     a, b = np.arange(1000, dtype=np.uint64) * common.U64(7919), np.arange(1000, dtype=np.int32)
     x, y = common.unpack(common.pack(a, b), 1000, "u8", "i4")
