@@ -43,12 +43,6 @@ def glob_regex(glob: str) -> str:
     return "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in glob)
 
 
-def deny_regex(patterns: list[str] | tuple[str, ...] = DENY_FILES) -> str:
-    """One anchored regex for all file patterns on a full path."""
-    one = "|".join(glob_regex(p) for p in patterns)
-    return f"^([^/]*/)?({one})$"
-
-
 def denied(path: Column, files: tuple[str, ...] | list[str] = DENY_FILES, folders: tuple[str, ...] | list[str] = DENY_FOLDERS) -> Column:
     """Whether a file's path is denied: by its base name, by the whole path behind one folder, or by a
     component.  Case matters."""
@@ -91,7 +85,8 @@ def derive_key(password: str, salt: bytes) -> bytes:
 
 
 def encrypt(value: Column, key: Column) -> Column:
-    """AES-256-GCM: nonce, ciphertext and tag in one binary."""
+    """AES-256-GCM: nonce, ciphertext and tag in one binary.  A key that is a literal shows in plans and event
+    logs; where these leave the machine, keep it in a table that only the job reads and join that."""
     return F.aes_encrypt(value, key, F.lit("GCM"))
 
 

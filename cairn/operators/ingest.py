@@ -21,11 +21,13 @@ def diff(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def decide(files: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """files (path, size, depth, is_symlink, inside, hash, content) with `event`: guards first, then
-    the comparison with the snapshot, then the secret scan; secrets are looked for every time."""
+    """files (path, size, depth, is_symlink, inside, hash, and content or the `secrets` in it) with `event`: guards
+    first, then the comparison with the snapshot, then the secret scan; `secrets` are the names found."""
     known = snapshot.select("path", "hash").distinct().withColumn("__known", F.lit(True))
     at = files.withColumn("__guard", privacy.file_event(F.col("path"), F.col("size"), F.col("depth"), F.col("is_symlink"), F.col("inside"))).join(known, ["path", "hash"], "left")
-    event = F.when(F.col("__guard").isNotNull(), F.col("__guard")).when(F.col("__known"), "skipped_unchanged").when(F.size(privacy.secret_names(F.col("content"))) > 0, "skipped_secret").otherwise("indexed")
+    if "secrets" not in files.columns:
+        at = at.withColumn("secrets", F.when(F.col("__guard").isNull() & F.col("__known").isNull(), privacy.secret_names(F.col("content"))))
+    event = F.when(F.col("__guard").isNotNull(), F.col("__guard")).when(F.col("__known"), "skipped_unchanged").when(F.size("secrets") > 0, "skipped_secret").otherwise("indexed")
     return at.withColumn("event", event).drop("__guard", "__known")
 
 
@@ -42,7 +44,7 @@ def counters(decided: DataFrame) -> DataFrame:
 
 def audit_rows(decided: DataFrame) -> DataFrame:
     """Metadata alone: ts, event, path, reason.  No content has a column here."""
-    return decided.where("event <> 'ignored'").select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "event", "path", F.when(F.col("event") == "skipped_secret", F.concat(F.lit("possible secret: "), F.array_join(privacy.secret_names(F.col("content")), ", "))).alias("reason"))
+    return decided.where("event <> 'ignored'").select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "event", "path", F.when(F.col("event") == "skipped_secret", F.concat(F.lit("possible secret: "), F.array_join("secrets", ", "))).alias("reason"))
 
 
 def cloud_send(sent: DataFrame, provider: str) -> DataFrame:
@@ -54,8 +56,3 @@ def cloud_send(sent: DataFrame, provider: str) -> DataFrame:
 def append_audit(rows: DataFrame, path: str) -> None:
     """Appends JSON lines; fields that are null are left out, and there is none for content."""
     rows.select(*[c for c in ("ts", "event", "path", "reason", "mode", "top_sources", "provider", "file_paths", "chunk_count") if c in rows.columns]).write.mode("append").json(path)
-
-
-def replace_changed(chunks: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Stored chunks with those of re-read files replaced, so no stale chunk stays."""
-    return chunks.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)

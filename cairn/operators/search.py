@@ -156,27 +156,40 @@ def _term_counts(text: str | None, stop: Sequence[str]) -> Counter:
 
 
 def _term_scorer(block: list[tuple[int, Counter]], k: int, stop: Sequence[str], digits: int):  # noqa: ANN202
+    """Entries of all queries lie by token, one token's behind the other's; a batch of texts gives (text, token,
+    weight) triples, which are repeated for the queries of their tokens and added up by text and query."""
     entries: dict[str, list[tuple[int, float]]] = {}
     for j, (_, n) in enumerate(block):
         size = math.sqrt(sum(x * x for x in n.values()))
         for w, x in n.items():
             entries.setdefault(w, []).append((j, x / size))
-    known = {w: (np.array([j for j, _ in e]), np.array([x for _, x in e])) for w, e in entries.items()}
+    number = {w: i for i, w in enumerate(entries)}
+    end = np.cumsum([len(e) for e in entries.values()], dtype=np.int64)
+    of, weight = (np.array([x[c] for e in entries.values() for x in e], t) for c, t in ((0, np.int64), (1, float)))
     ids = [q for q, _ in block]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, scores = b.column("id").to_pylist(), np.zeros((b.num_rows, len(ids)))
-            for i, t in enumerate(b.column("text").to_pylist()):
-                n = _term_counts(t, stop)
-                size = math.sqrt(sum(x * x for x in n.values()))
-                for w in n.keys() & known.keys():
-                    j, x = known[w]
-                    scores[i, j] += n[w] / size * x
-            rows = []
-            for j, q in enumerate(ids):
-                some = [(-round(float(scores[i, j]), digits), docs[i]) for i in np.flatnonzero(scores[:, j] > 0).tolist()]
-                rows += [(q, d, -s) for s, d in heapq.nsmallest(k, some)]
-            yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                docs, at, term, x = part.column("id").to_pylist(), [], [], []
+                for i, t in enumerate(part.column("text").to_pylist()):
+                    n = _term_counts(t, stop)
+                    if known := n.keys() & number.keys():
+                        size = math.sqrt(sum(v * v for v in n.values()))
+                        at += [i] * len(known)
+                        term += [number[w] for w in known]
+                        x += [n[w] / size for w in known]
+                if not term or not ids:
+                    continue
+                last = end[term]
+                many = last - np.where(np.array(term) > 0, end[np.array(term) - 1], 0)
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - last, many)
+                scores = np.bincount(np.repeat(at, many) * len(ids) + of[place], np.repeat(x, many) * weight[place], len(docs) * len(ids)).reshape(len(docs), len(ids))
+                rows = []
+                for j, q in enumerate(ids):
+                    some = [(-round(float(scores[i, j]), digits), docs[i]) for i in np.flatnonzero(scores[:, j] > 0).tolist()]
+                    rows += [(q, d, -s) for s, d in heapq.nsmallest(k, some)]
+                yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
 
     return run

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +46,44 @@ def numbered(rows: DataFrame, first: int, id_: str = "id") -> DataFrame:
     return placed.join(F.broadcast(offsets), "__p").withColumn(id_, F.col("__base") + F.col("__i")).drop("__p", "__base", "__i")
 
 
-def append(spark: SparkSession, path: str, rows: DataFrame, id_: str = "id") -> None:
-    """Adds rows (without ids) as sorted segment files of bounded length; a failed write leaves nothing."""
+@contextmanager
+def writer_lock(spark: SparkSession, path: str) -> Iterator[None]:
+    """Holds the store at path for one writer: a file beside it, which the file system lets only one create.  A
+    writer that died leaves it there, to be removed by hand."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.lock")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        first = next_id(spark.read.parquet(path), id_)
-    except Exception as e:  # an empty store has no files yet
-        if "PATH_NOT_FOUND" not in str(e):
+        fs.create(at, False).close()
+    except Py4JJavaError as e:
+        if not fs.exists(at):
             raise
-        first = 0
-    numbered(rows, first, id_).sortWithinPartitions(id_).write.option("maxRecordsPerFile", SEGMENT_ROWS).mode("append").parquet(path)
+        raise RuntimeError(f"{path} has another writer") from e
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
+def segment_rows(rows: DataFrame, vector: str = "vector", text: str = "text") -> int:
+    """Rows of a segment: up to SEGMENT_ROWS, and no more than SEGMENT_BYTES hold by the mean size of a record."""
+    if not {vector, text} <= set(rows.columns):
+        return SEGMENT_ROWS
+    mean = rows.agg(F.avg(record_size(F.col(vector), F.coalesce(text, F.lit(""))))).first()[0]
+    return max(1, min(SEGMENT_ROWS, int(SEGMENT_BYTES / mean))) if mean else SEGMENT_ROWS
+
+
+def append(spark: SparkSession, path: str, rows: DataFrame, id_: str = "id") -> None:
+    """Adds rows (without ids) as sorted segment files of bounded length; a failed write leaves nothing, and a
+    second writer fails before it reads."""
+    with writer_lock(spark, path):
+        try:
+            first = next_id(spark.read.parquet(path), id_)
+        except AnalysisException as e:  # an empty store has no files yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            first = 0
+        placed = numbered(rows, first, id_)
+        placed.sortWithinPartitions(id_).write.option("maxRecordsPerFile", segment_rows(placed)).mode("append").parquet(path)
 
 
 def get(rows: DataFrame, ids: list[int], id_: str = "id") -> DataFrame:

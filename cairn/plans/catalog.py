@@ -150,8 +150,7 @@ _TOK = f"list_filter(regexp_split_to_array(lower({{}}), '[^a-z]+'), lambda x: le
 
 @query("tf_vocab", f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY token")
 def tf_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    per = embed.term_counts(table(spark, sf, "documents"), "doc_id")
-    return per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return embed.vocabulary(table(spark, sf, "documents"))
 
 
 @query("tf_topk", f"""WITH a AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY ALL),

@@ -8,14 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one is
-    set only where the session names none, as in local tests."""
+def shared(spark: SparkSession) -> str:
+    """This application's part of the folder that the cluster shares (spark.checkpoint.dir).  A local session that
+    names none gets a temporary one; on a cluster that would lose data, so it is an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/cairn-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path there."""
+    return f"{shared(spark)}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all intermediates of this application, once what was made of them is written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

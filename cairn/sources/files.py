@@ -34,7 +34,8 @@ def checked_folder(folder: str) -> str:
 
 def listing(spark: SparkSession, folder: str, folders_allowed: list[str] | None = None, deny: list[str] | tuple[str, ...] = DENY_FOLDERS) -> DataFrame:
     """The files below a local folder.  Denied and too deep folders are not entered; links are listed as
-    such and not followed.  A walk is the driver's work; for object stores read `binaryFile` directly."""
+    such and not followed.  A walk is the driver's work; `stored_listing` is for stores with more files than a
+    driver should list."""
     root = checked_folder(folder)
     allowed = [os.path.realpath(os.path.expanduser(a)) for a in (folders_allowed or [folder])]
     rows = []
@@ -49,7 +50,21 @@ def listing(spark: SparkSession, folder: str, folders_allowed: list[str] | None
     return spark.createDataFrame(rows, LISTING)
 
 
-def contents(spark: SparkSession, folder: str) -> DataFrame:
-    """path, size, hash, content of the files below a folder; the size limit reaches the scan."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= MAX_FILE)
+def stored_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The files below a folder of any file system, as `listing` has them: Spark lists it in parallel tasks and reads no
+    content.  Stores have no links, and what lies below the folder is inside."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+    path = F.regexp_replace("path", "^file:/*", "/")
+    below = F.substr(path, F.instr(path, F.lit(folder.rstrip("/").removeprefix("file://"))) + F.lit(len(folder.rstrip("/").removeprefix("file://")) + 1))
+    level = F.size(F.split(below, "/")) - 1
+    return raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("modified"), level.alias("depth"), F.lit(False).alias("is_symlink"), F.lit(True).alias("inside"))
+
+
+def contents(spark: SparkSession, where: str | list[str]) -> DataFrame:
+    """path, size, hash, content of the files below a folder, or of listed files and no others; the size limit
+    reaches the scan, and content is read twice only if both it and its hash are asked for apart."""
+    if not where:
+        return spark.createDataFrame([], "path string, size long, hash string, content binary")
+    listed = [w.replace("\\", "\\\\").translate({ord(c): f"\\{c}" for c in "*?[]{}"}) for w in where] if isinstance(where, list) else where  # no globs
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", isinstance(where, str)).load(listed).where(F.col("length") <= MAX_FILE)
     return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), "content")

@@ -14,7 +14,7 @@ from cairn.operators import store
 
 BODY_CHARS = 3000
 _PART = "struct<mimeType:string,body:struct<data:string>>"
-_MESSAGE = f"struct<id:string,snippet:string,payload:struct<headers:array<struct<name:string,value:string>>,body:struct<data:string>,parts:array<{_PART}>>>"
+_MESSAGE = f"struct<id:string,snippet:string,internalDate:string,payload:struct<headers:array<struct<name:string,value:string>>,body:struct<data:string>,parts:array<{_PART}>>>"
 _TIME = "struct<dateTime:string,date:string>"
 _EVENT = f"struct<id:string,summary:string,start:{_TIME},end:{_TIME},location:string>"
 #: Actions that need a typed yes.
@@ -41,13 +41,15 @@ def header(name: str) -> Column:
 
 
 def messages(raw: DataFrame, column: str = "value") -> DataFrame:
-    """id, from, subject, date, snippet, body of raw messages; the body is the first plain part that has data,
-    else the message's own, cut at 3000 characters.  What is no message gives no row."""
+    """id, from, subject, date, received, snippet, body of raw messages; the body is the first plain part that has
+    data, else the message's own, cut at 3000 characters; received comes from the service's milliseconds.
+    What is no message gives no row."""
     m = raw.select(F.from_json(column, _MESSAGE).alias("m")).where("m.id is not null")
     plain = F.filter(F.col("m.payload.parts"), lambda p: (p["mimeType"] == "text/plain") & (F.coalesce(p["body"]["data"], F.lit("")) != ""))
     data = F.coalesce(F.try_element_at(F.transform(plain, lambda p: p["body"]["data"]), F.lit(1)), F.col("m.payload.body.data"))
     return m.select(
         F.col("m.id").alias("id"), header("from").alias("from"), header("subject").alias("subject"), header("date").alias("date"),
+        F.timestamp_millis(F.col("m.internalDate").try_cast("long")).alias("received"),
         F.coalesce("m.snippet", F.lit("")).alias("snippet"), F.left(decoded(data), F.lit(BODY_CHARS)).alias("body"),
     )
 
@@ -84,7 +86,7 @@ def needs_confirmation(action: Column) -> Column:
 
 
 def spoken(title: Column, date: Column, start: Column) -> Column:
-    """'Interview on 2026-06-21 at 15:00', as far as date and time are known."""
+    """Title, date and start in a sentence that can be read out, as far as they are known."""
     e = F.lit("")
     at = F.when(F.coalesce(start, e) != "", F.concat(F.lit(" at "), start)).otherwise("")
     return F.concat(title, F.when(F.coalesce(date, e) != "", F.concat(F.lit(" on "), date, at)).otherwise(""))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import random
+import time
 import zipfile
 
 import pandas as pd
@@ -262,6 +264,24 @@ def test_parse_drops_what_is_no_object(spark):
     assert ("2", "b", "other") in got and not {k for k, *_ in got} & {"3", "4", "5"}
 
 
+def test_parse_validates_fields(spark):
+    good = {"title": "t", "date": None, "extra": [1]}
+    cases = [({}, True), (good, True), ({"title": None}, False), ({"title": 5}, False), ({"reason": None}, False), ({"date": 20240101}, False), ({"confidence": "0.9"}, 0.9), ({"confidence": " 1e-1 "}, 0.1), ({"confidence": "high"}, False), ({"confidence": None}, False), ({"confidence": True}, 1.0), ({"confidence": 1}, 1.0), ({"confidence": [1]}, False)]
+    cases += [({"all_day": x}, y) for x, y in ((True, True), ("Yes", True), ("off", True), (1, True), (0.0, True), (2, False), ("maybe", False), (None, False))]
+    cases += [({"missing_fields": x}, y) for x, y in ((["a"], True), ([], True), (None, False), ("a", False), ([1], False), (["a", None], False), ([["a"]], False))]
+    cases += [({"category": x, "title": "t"}, True) for x in (None, 5, " EXAM ")]
+    for wrapped in (False, True):
+        raw = [json.dumps({"candidates": [c, 7, None, "x", [c]]} if wrapped else [c, 7, None, "x", [c]]) for c, _ in cases]
+        got = {r.source_email_id: r for r in events.parse(spark.createDataFrame([(str(i), "s", x) for i, x in enumerate(raw)], "email_id string, subject string, raw_json string")).collect()}
+        assert set(got) == {str(i) for i, (_, ok) in enumerate(cases) if ok is not False}
+        for i, (c, ok) in enumerate(cases):
+            if isinstance(ok, float):
+                assert got[str(i)].confidence == ok
+            if "all_day" in c and ok:
+                assert got[str(i)].all_day == (c["all_day"] in (True, "Yes", 1))
+        assert [r.category for r in (got[str(i)] for i in range(len(cases) - 3, len(cases)))] == ["other", "other", "exam"] and got["1"].source_subject == "s"
+
+
 INTENT_CASES = [
     ("Open the downloads folder.", "open_folder", "downloads", None, None), ("open code", "open_app", "code", None, None), ("open notes", "open_folder", "notes", None, None),
     ("open work notes folder", "open_folder", "work notes", None, None), ("open nothing", "unknown", None, None, None), ("please send an email to Alex saying I'm late", "send_email", None, "Alex", "I'm late"),
@@ -279,7 +299,6 @@ def test_intents(spark):
 def test_selection(spark):
     s = lambda a, n=4: one(spark, assistant.selected(F.lit(a), F.lit(n)))
     assert s("all") == [1, 2, 3, 4] and s("none") == s("") == s("9") == [] and s("1, 3,x,99999999999") == [1, 3] and s("yes", 0) == []
-    assert one(spark, assistant.mime_body(F.lit("aGk_fn4="))) == "hi?~~"
 
 
 def test_embedders(spark):
@@ -350,14 +369,70 @@ def test_token_stream(spark):
     assert streams.token_stream(df).first().answer == "Hello"
 
 
+def test_endpoint_stream(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "stream_id string, i long, rms double"
+    p = signals.Endpoint(threshold=0.5, trailing=3, start=5, most=12)
+    whole = {"a": [0, 0, 1, 1, 0, 1, 0, 0, 0, 1], "b": [0] * 10, "c": [1, 1], "d": [1] * 20}
+    for lo, hi in ((0, 4), (4, 20)):
+        spark.createDataFrame([(k, i, float(x)) for k, v in whole.items() for i, x in enumerate(v) if lo <= i < hi], schema).coalesce(1).write.mode("append").parquet(str(src))
+        q = streams.endpoints(spark.readStream.schema(schema).parquet(str(src)), p).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    got = {r.stream_id: (r.begin, r.length) for r in spark.read.parquet(out).collect()}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in whole.items() for i, x in enumerate(v)], schema)
+    batch = {r.stream_id: (r.begin, r.length) for r in signals.endpoints(df, "stream_id", "i", "rms", 0.5, 3, 5, 12).collect()}
+    assert got == {k: batch[k] for k in "abd"} and batch["d"] == (0, 12)  # c goes on
+
+
+def test_store_has_one_writer_and_bounded_segments(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(40).select(F.array_repeat(F.lit(0.5).cast("float"), 100).alias("vector"), F.repeat(F.lit("x"), 500).alias("text"))
+    with store.writer_lock(spark, path), pytest.raises(RuntimeError, match="another writer"):
+        store.append(spark, path, rows)
+    assert not os.path.exists(path)
+    assert store.segment_rows(rows) == store.SEGMENT_ROWS
+    store.SEGMENT_BYTES, was = 10_000, store.SEGMENT_BYTES
+    try:
+        assert store.segment_rows(rows) == 10_000 // (84 + 400 + 500)
+        store.append(spark, path, rows.coalesce(1))
+    finally:
+        store.SEGMENT_BYTES = was
+    assert spark.read.parquet(path).count() == 40 and len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 4
+    assert not os.path.exists(path + ".lock")
+
+
+def test_embedder_errors(spark):
+    with pytest.raises(embed.EmbeddingError, match="dimensions"):
+        embed.checked(["a"], lambda t: [[]])
+    with pytest.raises(embed.EmbeddingError, match="instead of 3"):
+        embed.checked(["a"], lambda t: [[1.0]], 3)
+    with pytest.raises(embed.EmbeddingError, match="after 0.05 s"):
+        embed.checked(["a"], lambda t: time.sleep(0.5) or [[1.0]], timeout=0.05)
+    with pytest.raises(embed.EmbeddingError, match="0 vectors for 1"):
+        embed.checked(["a"], lambda t: [])
+    df = spark.createDataFrame([("ab",), (None,)], "t string").select(embed.from_model(lambda t: [[float(len(x))] for x in t])(F.col("t")).alias("v"))
+    assert [r.v for r in df.collect()] == [[2.0], None]
+
+
+def test_listing_of_a_store(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "x.md").write_text("1")
+    (tmp_path / "a" / "b" / "y.md").write_text("22")
+    got = {r.path.removeprefix(str(tmp_path)): (r.size, r.depth) for r in files.stored_listing(spark, str(tmp_path)).collect()}
+    assert got == {"/x.md": (1, 0), "/a/b/y.md": (2, 2)} == {r.path.removeprefix(str(tmp_path)): (r.size, r.depth) for r in files.listing(spark, str(tmp_path)).collect()}
+
+
 def test_calendar_and_agenda(spark):
     c = lambda **k: F.lit(k["v"]).cast("string")
     row = lambda s, e, d: tuple(one(spark, assistant.calendar_row(F.lit("t"), F.lit("2024-02-28"), c(v=s), c(v=e), F.lit(d))))
     assert row("09:00", None, False) == ("t", "2024-02-28T09:00:00", "2024-02-28T09:00:00") and row(None, None, True) == ("t", "2024-02-28", "2024-02-29")
     e = spark.createDataFrame([(1, "2024-01-05T10:00:00", "a"), (2, "2024-01-09", "b"), (3, "2024-01-08T10:00:00", "c"), (4, "2024-01-30", "d")], "id int, start string, summary string")
     assert [(r.section, r.summary) for r in events.agenda(e, "2024-01-05T00:00:00").collect()] == [("calendar", "a"), ("deadline", "b")]
-    m = spark.createDataFrame([(1, "hi", "", ""), (2, "yo", "", "")], "id int, subject string, snippet string, body string")
-    assert [r.id for r in events.important(m).collect()] == [1, 2]
+    m = spark.createDataFrame([(i, "hi", "", "", f"2024-01-0{i} 08:00:00") for i in range(1, 9)], "id int, subject string, snippet string, body string, received string").withColumn("received", F.to_timestamp("received"))
+    now = "2024-01-07T09:00:00"
+    assert [r.id for r in events.important(m, now).orderBy("rank").collect()] == [7, 6, 5]
+    some = m.withColumn("subject", F.when(F.col("id").isin(1, 4), "interview").otherwise(F.col("subject")))
+    assert [r.id for r in events.important(some, now).collect()] == [4] and [r.id for r in events.recent(some, now, 2).collect()] == [7, 6]
 
 
 def b64(t):
@@ -394,7 +469,7 @@ def test_contacts_and_labels(spark):
     now = mail.saved(c, spark.createDataFrame([(" Alex ", " b@x ", 2), ("kim", "k@x", 2)], "name string, email string, saved_at int"))
     who = spark.createDataFrame([("ALEX",), ("Nobody",), (None,)], "recipient string")
     assert {(r.recipient, r.email) for r in mail.resolved(who, now).collect()} == {("ALEX", "b@x"), ("Nobody", None), (None, None)}
-    assert one(spark, mail.spoken(F.lit("Interview"), F.lit("2026-06-21"), F.lit("15:00"))) == "Interview on 2026-06-21 at 15:00" and one(spark, mail.spoken(F.lit("x"), F.lit(None), F.lit("15:00"))) == "x"
+    assert one(spark, mail.spoken(F.lit("Dentist"), F.lit("2031-02-03"), F.lit("08:45"))) == "Dentist on 2031-02-03 at 08:45" and one(spark, mail.spoken(F.lit("x"), F.lit(None), F.lit("15:00"))) == "x"
     assert [one(spark, mail.listed(F.array(*map(F.lit, p)))) for p in (["a b"], ["a", "b"], ["a", "b", "c"])] == ["A b", "A and b", "A, b, and c"]
     assert one(spark, mail.needs_confirmation(F.lit("send_email"))) and not one(spark, mail.needs_confirmation(F.lit("brief")))
 
