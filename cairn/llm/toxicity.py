@@ -5,8 +5,9 @@ over hashed words, and the document's score is their noisy-or: 1 - prod(1 - p).
 fitted to the document labels through that product, so blame falls on the sentences that explain a
 label, and the same scores then locate the offending sentences.
 
-The classifier is fitted on a bounded sample (`Fit.rows` labelled documents, taken by the hash of
-their id); scoring covers every text whole.
+The classifier is fitted in one task on a bounded sample (`Fit.rows` labelled documents and `Fit.bytes` of
+text, taken by the hash of their id); only its weights come to the driver.  Scoring covers every text
+whole.
 
 Defined cases: null and empty texts have no sentence and score 0; null labels and ids that several
 label rows disagree on are left to the largest label; without a label of both kinds every score is
@@ -32,12 +33,15 @@ ENDS = (".", "!", "?", "\n")
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: labelled documents used at most (in expectation).  bits: log2 of the feature table.
+    """rows, bytes: labelled documents and bytes of text used at most (in expectation); longest: longer texts
+    are scored but not learned from.  bits: log2 of the feature table.
     least, chi2: documents that must hold a feature, and how far its share of toxic ones must be from
     the overall share, for it to get a weight; most words of a document say nothing about its label,
     and weights for them would only remember the training rows."""
 
     rows: int = 12_000
+    bytes: int = 64 << 20
+    longest: int = 1 << 20
     bits: int = 20
     least: int = 4
     chi2: float = 20.0
@@ -91,12 +95,18 @@ def noisy_or(p: np.ndarray) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit: Fit) -> DataFrame:
-    """text and toxic of about fit.rows labelled documents, or of all if there are fewer."""
+    """doc_id, text and toxic of labelled documents: all of them, or so large a share that neither rows nor bytes are
+    beyond the bounds of `fit`."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    taken = known if n <= fit.rows else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit.rows / n))
-    # its size is bounded by fit.rows, a few bytes a row
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
+
+    def some(share: float) -> DataFrame:
+        taken = known if share >= 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
+        # at most about fit.rows rows of a few bytes
+        return docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= fit.longest).join(F.broadcast(taken), "doc_id")
+
+    share = min(1.0, fit.rows / max(1, known.count()))
+    n, size = some(share).agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return some(share * min(1.0, fit.rows / max(1, n), fit.bytes / max(1, size or 0)))
 
 
 def train(rows: Iterable[tuple[str | None, int]], fit: Fit = Fit()) -> Model:
@@ -142,8 +152,18 @@ def train(rows: Iterable[tuple[str | None, int]], fit: Fit = Fit()) -> Model:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
-    got = sample(docs, labels, fit).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "toxic", "text"])
-    return train(zip(got["text"], got["toxic"].astype(int)), fit)
+    """The model of a sample, trained in one task on its rows in order of id, label and text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((d, y, t or "") for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")))))
+        m = train(((t, y) for _, y, t in rows), fit)
+        yield pa.record_batch([pa.array([m.index.astype("<i8").tobytes()]), pa.array([m.weight.astype("<f4").tobytes()]), pa.array([m.bias])], names=["index", "weight", "bias"])
+
+    rows = sample(docs, labels, fit).select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).repartition(1)
+    got = rows.mapInArrow(run, "index binary, weight binary, bias double").collect()
+    if not got:  # a partition without rows runs no task
+        return train([], fit)
+    return Model(fit.bits, np.frombuffer(got[0]["index"], "<i8"), np.frombuffer(got[0]["weight"], "<f4"), got[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

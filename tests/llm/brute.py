@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 
@@ -136,3 +138,49 @@ def quality(rows: list[tuple]) -> list[tuple]:
                 hit.update(range(i, i + 5))
         out.append((d, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)))
     return out
+
+
+def grams(text: str) -> Counter:
+    """Letter n-grams of one to three in words padded with a blank: single letters, pairs, and triples around a letter."""
+    out: Counter = Counter()
+    for run in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        w = "\1" + run + "\1"
+        out.update(run)
+        out.update(w[i : i + 2] for i in range(len(w) - 1))
+        out.update(w[i : i + 3] for i in range(len(w) - 2))
+    return out
+
+
+def ranked(n: Counter, size: int) -> list[str]:
+    return sorted(n, key=lambda g: (-n[g], len(g), g))[:size]
+
+
+def languages(rows: list[tuple], size: int = 400) -> list[tuple]:
+    """Of (doc_id, text, lang): doc_id, held_out, the language of the least out-of-place distance, and the score."""
+    held = [zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in rows]
+    total: dict[str, Counter] = defaultdict(Counter)
+    for (_, t, lang), h in zip(rows, held):
+        if lang is not None and t is not None and not h:
+            total[lang] += grams(t)
+    place = {lang: {g: i for i, g in enumerate(ranked(n, size))} for lang, n in sorted(total.items())}
+    out = []
+    for (d, t, _), h in zip(rows, held):
+        own = ranked(grams(t or ""), size)
+        if not own:
+            out.append((d, h, "und", 0.0))
+            continue
+        apart = {lang: sum(abs(i - p[g]) if g in p else size for i, g in enumerate(own)) for lang, p in place.items()}
+        best = min(apart, key=apart.get)
+        out.append((d, h, best, 1 - apart[best] / (size * len(own))))
+    return out
+
+
+def toxic_score(text: str | None, weight: dict[int, float], bias: float, number) -> float:  # noqa: ANN001
+    """One minus the chance that no sentence is toxic."""
+    clean = 1.0
+    for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+        w = re.findall(r"[^\W_]+", sentence)
+        if w:
+            z = max(-60.0, min(60.0, sum(weight.get(number(x), 0.0) for x in w) + bias))
+            clean *= 1 - min(1 - 1e-12, 1 / (1 + math.exp(-z)))
+    return 1 - clean
