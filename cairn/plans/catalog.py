@@ -174,9 +174,17 @@ def keyword_embed(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(embed.keywords(F.col("text"), _KEYS)).alias("i", "x")).select("doc_id", "i", F.round("x", 6).alias("x"))
 
 
-@query("mock_embed")
+_DRAW = f"((s::UHUGEINT * {embed._A} + {embed._C}) % 18446744073709551616)::UHUGEINT"
+
+
+@query("mock_embed", f"""WITH RECURSIVE b AS (SELECT item_id, sha256(text) AS h FROM benchmark WHERE text IS NOT NULL),
+b0 AS (SELECT item_id, list_reduce(list_prepend(0::UHUGEINT, list_transform(range(32), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UHUGEINT)), lambda a, x: (a * 31 + x) % 18446744073709551616) AS s FROM b),
+d(item_id, i, s) AS (SELECT item_id, 0, {_DRAW} FROM b0 UNION ALL SELECT item_id, i + 1, {_DRAW} FROM d WHERE i < 383),
+v AS (SELECT item_id, i, ((s // 8589934592)::DOUBLE / 2147483648)::FLOAT::DOUBLE AS x FROM d)
+SELECT item_id, i::INTEGER AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS x FROM v""")
 def mock_embed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", embed.hashed_udf("text").alias("embedding"))
+    vectors_ = table(spark, sf, "benchmark").select("item_id", F.posexplode(embed.hashed_udf("text")).alias("i", "x"))
+    return vectors_.select("item_id", "i", F.round("x", 6).alias("x"))
 
 
 @query("retrieval_accuracy", f"""WITH s AS (SELECT q.vec_id, q.label = r.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.{_EMB}, r.{_EMB}) DESC, r.vec_id) AS rank
@@ -300,7 +308,12 @@ def redact(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(out, 256).alias("text_hash"), (out != F.col("text")).alias("changed"))
 
 
-@query("preview")
+def _head(n: int) -> str:
+    """SQL: the longest head of text that has n bytes at most."""
+    return f"left(text, list_max(list_filter(range(0, {n + 1}), lambda i: strlen(left(text, i)) <= {n})))"
+
+
+@query("preview", f"SELECT doc_id, CASE WHEN strlen(text) <= 300 THEN text ELSE {_head(300)} || ' …' END AS preview FROM documents")
 def preview(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
@@ -370,9 +383,19 @@ def mail_prefilter(spark: SparkSession, sf: str) -> DataFrame:
 _COMMANDS = ["Open the downloads folder.", "open code", "please send an email to Alex saying I'm late", "Draft a mail to Kim about lunch", "check my inbox", "what is on today?", "good morning!", "turn it up", "quieter", "next track", "go back", "pause", "play a song", "", "open nothing", "reopen editor"]
 
 
-@query("intent_route")
+#: What each command means: name, argument, recipient, message.
+_INTENTS = [
+    ("open_folder", "downloads", None, None), ("open_app", "code", None, None), ("send_email", None, "Alex", "I'm late"), ("draft_email", None, "Kim", "lunch"), ("scan_mail", None, None, None), ("today", None, None, None),
+    ("brief", None, None, None), ("music_volume_up", None, None, None), ("music_volume_down", None, None, None), ("music_next", None, None, None), ("music_previous", None, None, None), ("music_play_pause", None, None, None),
+    ("unknown", None, None, None), ("unknown", None, None, None), ("unknown", None, None, None), ("unknown", None, None, None),
+]
+_SAID = ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in (c, *meant))]) + ")" for i, (c, meant) in enumerate(zip(_COMMANDS, _INTENTS)))
+
+
+@query("intent_route", f"""WITH k(i, command, name, arg, recipient, message) AS (VALUES {_SAID})
+SELECT conv_id, turn, command, name, arg, recipient, message FROM (SELECT conv_id, turn, (conv_id * 3 + turn) % {len(_COMMANDS)} AS i FROM conversations) JOIN k USING (i)""")
 def intent_route(spark: SparkSession, sf: str) -> DataFrame:
-    """Commands by turn; the unit tests hold them against the rules."""
+    """Commands by turn."""
     c = table(spark, sf, "conversations")
     command = F.element_at(F.array(*map(F.lit, _COMMANDS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(_COMMANDS) + 1).cast("int"))
     return c.select("conv_id", "turn", command.alias("command")).select("conv_id", "turn", "command", assistant.intent(F.col("command")).alias("i")).select("conv_id", "turn", "command", "i.name", "i.arg", "i.recipient", "i.message")
@@ -449,7 +472,7 @@ def truncate(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(text.truncated(F.col("text"), 200), 256).alias("head"))
 
 
-@query("truncate_all")
+@query("truncate_all", f"SELECT doc_id, sha256({_head(200)}) AS head FROM documents")
 def truncate_all(spark: SparkSession, sf: str) -> DataFrame:
     """The first 200 bytes of every text, cut at whole characters."""
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.truncated(F.col("text"), 200), 256).alias("head"))
@@ -475,6 +498,64 @@ def json_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy(F.get(ids, F.lit(0)).cast("long").alias("conv_id"), F.get(ids, F.lit(1)).cast("long").alias("turn")).agg(F.count("*").alias("n"))
 
 
+_REPLIES = [
+    '[{"title": "a", "confidence": "0.9", "date": "2024-01-01"}, {"title": null}, 7, {"title": "b", "confidence": "high"}]',
+    '{"candidates": [{"title": "c", "category": " Exam ", "all_day": "yes", "missing_fields": ["end", "place"]}, {"all_day": "perhaps"}]}',
+    '[{"confidence": true, "start_time": "10:00"}, {"date": 20240101}, {"missing_fields": [1]}]', '{"candidates": {"title": "x"}}', '{"title": "x"}', "[]", "no json", '[[{"title": "x"}]]',
+]
+_PARSED = "(0, 'a', 'other', '2024-01-01', NULL, false, 0.9, 0), (1, 'c', 'exam', NULL, NULL, true, 0.0, 2), (2, '', 'other', NULL, '10:00', false, 1.0, 0)"
+
+
+@query("json_fields", f"""WITH k(i, title, category, date, start_time, all_day, confidence, n_missing) AS (VALUES {_PARSED})
+SELECT conv_id, turn, title, category, date, start_time, all_day, confidence::DOUBLE AS confidence, n_missing::INTEGER AS n_missing FROM (SELECT conv_id, turn, (conv_id + turn) % {len(_REPLIES)} AS i FROM conversations) JOIN k USING (i)""")
+def json_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields as numbers, strings and of wrong types; items and replies that are none."""
+    m = mails(spark, sf)
+    raw = F.element_at(F.array(*map(F.lit, _REPLIES)), ((F.col("conv_id") + F.col("turn")) % len(_REPLIES) + 1).cast("int"))
+    got = events.parse(m.select(F.col("id").alias("email_id"), "subject", raw.alias("raw_json")))
+    ids = F.split("source_email_id", "-")
+    return got.select(F.get(ids, F.lit(0)).cast("long").alias("conv_id"), F.get(ids, F.lit(1)).cast("long").alias("turn"), "title", "category", "date", "start_time", "all_day", "confidence", F.size("missing_fields").alias("n_missing"))
+
+
+_RECEIVED = "make_timestamp((1704067200000 + conv_id * 3600000 + turn * 60000) * 1000)"
+_BOX = f"m AS (SELECT conv_id || '-' || turn AS id, list_element([{names(_SUBJECTS)}], ((conv_id + turn) % {len(_SUBJECTS)} + 1)::INTEGER) AS subject, role AS snippet, left(text, 3000) AS body, {_RECEIVED} AS received FROM conversations), n AS (SELECT *, lower(subject || ' ' || snippet || ' ' || left(body, 600)) AS x FROM m)"
+_MAIL_NOW = "2024-01-05T12:00:00"
+
+
+def mailbox(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as raw messages of a mail service, one an hour and their turns a minute apart."""
+    data = F.translate(F.replace(F.base64(F.encode("body", "UTF-8")), F.lit("\r\n"), F.lit("")), "+/", "-_")
+    at = (F.lit(1704067200000) + F.col("conv_id") * 3600000 + F.col("turn") * 60000).cast("string")
+    head = F.struct(F.lit("Subject").alias("name"), F.col("subject").alias("value"))
+    raw = F.to_json(F.struct("id", "snippet", at.alias("internalDate"), F.struct(F.array(head).alias("headers"), F.struct(data.alias("data")).alias("body")).alias("payload")))
+    return mail.messages(mails(spark, sf).select(raw.alias("value")))
+
+
+@query("mail_recent", f"WITH {_BOX} SELECT id, subject, strftime(received, '%Y-%m-%d %H:%M:%S') AS received FROM n WHERE received > TIMESTAMP '{_MAIL_NOW}' - INTERVAL 2 DAY AND received <= TIMESTAMP '{_MAIL_NOW}' ORDER BY received DESC, id LIMIT 40")
+def mail_recent(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest forty mails of two days."""
+    near = events.recent(mailbox(spark, sf), _MAIL_NOW, 2, 40)
+    return near.select("id", "subject", F.date_format("received", "yyyy-MM-dd HH:mm:ss").alias("received"))
+
+
+@query("mail_important", f"""WITH {_BOX}, r AS (SELECT *, {_WORTHY} AS w FROM n WHERE received > TIMESTAMP '{_MAIL_NOW}' - INTERVAL 7 DAY AND received <= TIMESTAMP '{_MAIL_NOW}' ORDER BY received DESC, id LIMIT 5)
+SELECT * FROM (SELECT row_number() OVER (ORDER BY received DESC, id)::INTEGER AS rank, id, subject FROM r WHERE w OR NOT (SELECT bool_or(w) FROM r)) WHERE rank <= 3""")
+def mail_important(spark: SparkSession, sf: str) -> DataFrame:
+    return events.important(mailbox(spark, sf), _MAIL_NOW)
+
+
+@query("candidate_listing", f"""WITH {_CAND} SELECT event_id, event_id || '. ' || title || format('  ({{}}, confidence {{:.2f}})', category, confidence) || chr(10) || '    When: ' || coalesce(date, '?')
+|| CASE WHEN start_time IS NOT NULL THEN ' ' || start_time || CASE WHEN end_time IS NOT NULL THEN '-' || end_time ELSE '' END ELSE '' END
+|| CASE WHEN event_id % 3 = 0 THEN chr(10) || '    Where: room ' || event_id % 7 ELSE '' END || chr(10) || '    Why: ' || chr(10) || '    From: s' || CASE WHEN event_id % 4 = 0 THEN chr(10) || '    Missing: start_time, place' ELSE '' END AS text FROM c""")
+def candidate_listing(spark: SparkSession, sf: str) -> DataFrame:
+    c, i, none = candidates(spark, sf), F.col("event_id"), F.array().cast("array<string>")
+    full = c.withColumns({
+        "no": i, "location": F.when(i % 3 == 0, F.concat(F.lit("room "), (i % 7).cast("string"))), "meeting_link": F.lit(None).cast("string"), "reason": F.lit(None).cast("string"), "source_subject": F.lit("s"),
+        "missing_fields": F.when(i % 4 == 0, F.array(F.lit("start_time"), F.lit("place"))).otherwise(none), "duplicates": none,
+    })
+    return full.select("event_id", events.listing(full).alias("text"))
+
+
 @query("cache_upsert", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return store.latest(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id")
@@ -513,12 +594,24 @@ def peaks(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("user_id", "i", (F.col("i") * 0.02).alias("t"), (F.col("value") % 1).alias("peak"))
 
 
-@query("burst_detect")
+_PEAKS = "p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value % 1 AS peak FROM events)"
+_AT = "(f.i + 1)::DOUBLE * 0.02::DOUBLE"
+_HIT = f"peak >= 0.25::DOUBLE AND armed AND {_AT} - last BETWEEN 0.12::DOUBLE AND 0.8::DOUBLE"
+
+
+@query("burst_detect", f"""WITH RECURSIVE {_PEAKS}, f(user_id, i, armed, last, fired) AS (SELECT DISTINCT user_id, -1::BIGINT, true, NULL::DOUBLE, NULL::DOUBLE FROM p UNION ALL
+SELECT f.user_id, f.i + 1, CASE WHEN peak >= 0.25::DOUBLE AND armed THEN false WHEN peak < 0.125::DOUBLE THEN true ELSE armed END,
+  CASE WHEN {_HIT} THEN NULL WHEN peak >= 0.25::DOUBLE AND armed THEN {_AT} WHEN peak < 0.125::DOUBLE AND {_AT} - last > 0.8::DOUBLE THEN NULL ELSE last END, CASE WHEN {_HIT} THEN {_AT} END
+  FROM f JOIN p ON p.user_id = f.user_id AND p.i = f.i + 1 WHERE fired IS NULL)
+SELECT user_id, max(fired) AS fired_at FROM f GROUP BY user_id""")
 def burst_detect(spark: SparkSession, sf: str) -> DataFrame:
     return signals.double_bursts(peaks(spark, sf), "user_id", "i", "t", "peak")
 
 
-@query("endpointing")
+@query("endpointing", f"""WITH RECURSIVE {_PEAKS}, f(user_id, i, start, n, quiet, over) AS (SELECT DISTINCT user_id, -1::BIGINT, -1::BIGINT, 0, 0, false FROM p UNION ALL
+SELECT f.user_id, f.i + 1, CASE WHEN f.start >= 0 OR peak < 0.5::DOUBLE THEN f.start ELSE f.i + 1 END, n + (peak >= 0.5::DOUBLE OR f.start >= 0)::INTEGER, CASE WHEN peak >= 0.5::DOUBLE THEN 0 ELSE quiet + 1 END,
+  peak < 0.5::DOUBLE AND CASE WHEN f.start >= 0 THEN quiet + 1 >= 3 ELSE f.i + 1 >= 50 END FROM f JOIN p ON p.user_id = f.user_id AND p.i = f.i + 1 WHERE NOT over AND f.i + 1 < 50)
+SELECT user_id, arg_max(start, i)::INTEGER AS begin, max(n)::INTEGER AS length FROM f GROUP BY user_id""")
 def endpointing(spark: SparkSession, sf: str) -> DataFrame:
     return signals.endpoints(peaks(spark, sf), "user_id", "i", "peak", threshold=0.5, trailing=3)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import re
 from collections import defaultdict
 from difflib import SequenceMatcher
 
@@ -35,3 +37,13 @@ def test_event_dedupe_takes_every_candidate(spark):
                         plain.add((i, j))
     got = [(r.candidate_id, r.event_id) for r in QUERIES["event_dedupe"](spark, SF).collect()]
     assert len(got) == len(plain) and set(got) == plain
+
+
+def test_html_text_has_the_words_of_every_page(spark):
+    """Comments, heads, scripts and styles go, tags part words, entities are read: by regex, on all pages."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()
+    got = {r.page_id: r.text for r in QUERIES["html_text"](spark, SF).collect()}
+    for r in pages:
+        raw = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ", r.html or "")
+        raw = re.sub(r"(?is)<head\b.*?(</head>|(?=<body\b))", " ", raw)
+        assert got[r.page_id].split() == html.unescape(re.sub(r"(?s)<[^>]*>", " ", raw)).split(), r.page_id
