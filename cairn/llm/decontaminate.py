@@ -130,7 +130,11 @@ def proximity(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     """Documents with all terms inside a stretch of `within` words: doc_id, h, start, end (exclusive),
     one row for each place of the rarest term, with the shortest stretch around it, the first of equal
     ones.  Every begin that lies less than `within` words before the place is tried, with the next
-    place of every other term."""
+    place of every other term.
+
+    Defined cases: a term that no document holds gives an empty result, as does an empty index; a term that is
+    given twice counts once; repeated rows of one id and text give the same rows once; a null doc_id is an id
+    like any other."""
     freq = {r["term"]: r["n"] for r in index.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("n")).collect()}
     if len(freq) < len(set(terms)):
         return index.select("doc_id", "h", F.col("pos").alias("start"), F.col("pos").alias("end")).limit(0)

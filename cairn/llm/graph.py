@@ -13,9 +13,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each joins neighbours to the smallest one known, so edges
     never multiply, the number of rounds is logarithmic, and no node's neighbours are gathered in one
-    place.  Each round is stored; nothing but two sums comes to the driver."""
+    place.  Each round is stored; nothing but two sums comes to the driver.
+
+    Defined cases: links with a null end are left out; a link to itself, repeated links and links in both
+    directions change nothing; columns after the first two are ignored; no links give no rows."""
     a, b = links.columns[:2]
-    pairs = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct()
+    pairs = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct()
     cur, was = common.stored(pairs), None
     while True:
         both = cur.unionByName(cur.select(F.col("m").alias("v"), F.col("v").alias("m")))

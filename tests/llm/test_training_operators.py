@@ -87,6 +87,12 @@ def test_components_of_a_chain_and_a_star(spark):
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(31)}}
 
 
+def test_components_of_awkward_links(spark):
+    links = spark.createDataFrame([(1, 1, "x"), (2, 3, "x"), (3, 2, None), (None, 4, "x"), (5, None, "x"), (3, 9, "y"), (3, 9, "y")], "a long, b long, node string")
+    assert {(r.node, r.root) for r in graph.components(links).collect()} == {(2, 2), (3, 2), (9, 2)}
+    assert graph.components(links.where("false")).count() == 0
+
+
 def test_substrings(docs, rows, none):
     assert got(substrings.deduplicate(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.word_windows(rows))
     small = substrings.SuperKmers(chunk=3000, buckets=1)
