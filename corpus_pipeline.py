@@ -2,7 +2,13 @@
 before it kept.
 
 Rules reject documents; of each group of near duplicates the one with the smallest id stays; documents that
-hold passages of the benchmark go; secrets are redacted in place; what is left is packed."""
+hold a passage of the benchmark go, be it one window of one item; secrets are redacted in place; what is left
+is packed.
+
+Defined cases: a null text has too few words and is rejected by the rules; a null doc_id is in no group of near
+duplicates, so its row stays there, and all later stages keep it; rows that repeat an id and a text are
+judged alike, and near duplicates keep all rows of the id that stays; columns beside those of documents come
+through up to the last stage, whatever their names; an empty table goes through all stages."""
 
 from __future__ import annotations
 
