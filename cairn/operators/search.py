@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors
@@ -24,31 +24,38 @@ DEFAULT_K = 5
 BROADCAST_BYTES = 64 << 20
 
 
-def guarded(rows: DataFrame, vector: str, dims: int) -> DataFrame:
-    """Rows whose vector has `dims` dimensions, a length above 0 and no NaN."""
-    n = vectors.norm(F.col(vector))
-    return rows.where((F.size(vector) == dims) & (n > 0) & ~F.isnan(n))
-
-
 def _size(v: np.ndarray) -> np.ndarray:
     """Lengths of the rows of v, added up from the first dimension on, as the JVM does."""
     return np.sqrt(np.cumsum(v * v, axis=1)[:, -1])
 
 
-def scored(rows: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
-    """Guarded rows with `score`; empty for a query of length 0; an error for one without dimensions."""
+def _score(query: Sequence[float], vector: str) -> Column | None:
+    """The cosine to a query, null for rows of other dimensions, of length 0 or with NaN; None for a query of
+    length 0, and an error for one without dimensions."""
     if not len(query):
         raise ValueError("an empty query vector")
     size = float(_size(np.asarray(query, float)[None])[0])
     if not size:
+        return None
+    cosine = F.try_divide(vectors.dot(F.col(vector), vectors.literal(query)), vectors.norm(F.col(vector)) * F.lit(size))
+    return F.when(F.size(vector) == len(query), F.nanvl(cosine, F.lit(None).cast("double")))
+
+
+def scored(rows: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
+    """Rows that have one with their `score`."""
+    score = _score(query, vector)
+    if score is None:
         return rows.where("false").withColumn("score", F.lit(0.0))
-    q = vectors.literal(query)
-    return guarded(rows, vector, len(query)).withColumn("score", vectors.dot(F.col(vector), q) / (vectors.norm(F.col(vector)) * F.lit(size)))
+    return rows.withColumn("score", score).where(F.col("score").isNotNull())
 
 
 def top_k(rows: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k most similar rows, ties by id, with score and rank."""
-    best = scored(rows, query, vector).orderBy(F.desc("score"), F.asc(id_)).limit(max(0, k))
+    """The k most similar rows, ties by id, with score and rank.  Rows without a score are ranked last and then
+    left out, so a score is computed once for each row."""
+    score = _score(query, vector)
+    if score is None:
+        return rows.where("false").withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
+    best = rows.withColumn("score", score).orderBy(F.desc_nulls_last("score"), F.asc(id_)).limit(max(0, k)).where(F.col("score").isNotNull())
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(id_))))
 
 
