@@ -15,6 +15,7 @@ frequency go to the smaller code points and ties in distance to the language fir
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -29,6 +30,7 @@ PROFILE, UNKNOWN = 400, "und"
 #: Stands for what isn't a letter; not 0, so that n-grams of different orders differ.
 BLANK = 1
 _LETTER: np.ndarray | None = None
+_BLANKS = re.compile(r"\s")
 
 
 def letters() -> np.ndarray:
@@ -60,6 +62,25 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(paired(c)) if len(c) > 2 else np.empty(0, np.int64)
 
 
+def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """The text in pieces of about `size` characters that end at a blank, so no word is cut."""
+    at = 0
+    while at < len(text):
+        m = _BLANKS.search(text, min(len(text), at + size))
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text in ascending order, and how often each occurs."""
+    u, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for part in slices(text):
+        v, m = counted(grams(part))
+        u, n = counted(np.concatenate([u, v]), np.concatenate([n, m])) if len(u) else (v, m)
+    return u, n
+
+
 def weighted(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of lower-cased words with their numbers: each word's letters are looked at once."""
     c, at = coded(" ".join(words))
@@ -116,10 +137,9 @@ class Ranks:
             self.rank[np.searchsorted(self.grams, g), j] = np.arange(len(g))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        keys = grams(text) if text and self.langs else ()
-        if not len(keys):
+        u, n = counts(text) if text and self.langs else ((), ())
+        if not len(u):
             return UNKNOWN, 0.0
-        u, n = counted(keys)
         u = u[np.argsort(-n, kind="stable")[: self.size]]
         at = np.minimum(np.searchsorted(self.grams, u), len(self.grams) - 1)
         at = np.where(self.grams[at] == u, at, len(self.grams))

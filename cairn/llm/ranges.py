@@ -115,6 +115,29 @@ def heavy(docs: DataFrame, sizes: Callable[[pa.RecordBatch], tuple[np.ndarray, n
 MOST = 1 << 20
 
 
+def parts(lengths: list[int], size: int, overlap: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Groups of about `size` entries of rows, as (row, begin, end): short rows together, long ones in pieces that
+    overlap, so that what is looked at together is bounded whatever the length of a row."""
+    group, held = [], 0
+    for i, n in enumerate(lengths):
+        for at in range(0, max(1, n - overlap), size):
+            end = min(n, at + size + overlap)
+            group.append((i, at, end))
+            held += end - at
+            if held >= size:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def joined_runs(flags: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `runs`, of places `at` (ascending), which need not follow one another."""
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (group[1:] != group[:-1])
+    return runs(flags, np.cumsum(new))
+
+
 def runs(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and lengths of the runs of true flags that lie in one group."""
     at = np.flatnonzero(flags)

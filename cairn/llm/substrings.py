@@ -121,52 +121,57 @@ def _send(batches: Iterable[pa.RecordBatch], p: SuperKmers, n_buckets: int, hot:
         id_ = ranges.ids(b.column("doc_id"))
         raws = [(t.as_py() or "").encode() for t in b.column("text")]
         by_id = np.argsort(id_, kind="stable")
-        words, counts, keys = [], [], []
-        for i in by_id.tolist():
-            w = raws[i].split()
-            words += w
-            counts.append(len(w))
-            keys.append(ranges.text_key(raws[i]))
+        raws = [raws[i] for i in by_id.tolist()]
+        id_, keys = id_[by_id], np.array([ranges.text_key(r) for r in raws], np.uint64)
+        split = [r.split() for r in raws]
         del raws
-        doc = np.repeat(np.arange(len(counts)), counts)
-        h = common.hash_words(words)
-        first, last, mini = super_kmers(words, h, doc, p)
-        if not len(first):
+        for group in ranges.parts([len(w) for w in split], max(1, p.chunk // 4), p.k - 1):
+            own, at, _ = (np.array(c, np.int64) for c in zip(*group))
+            yield from _cut_and_pack([split[i][x:y] for i, x, y in group], id_[own], keys[own], at, p, n_buckets, hot)
+
+
+def _cut_and_pack(texts: list[list[bytes]], id_: np.ndarray, keys: np.ndarray, offset: np.ndarray, p: SuperKmers, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows for the words of texts, or of pieces of them that begin at `offset`, in order of ids."""
+    words = [w for t in texts for w in t]
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    h = common.hash_words(words)
+    first, last, mini = super_kmers(words, h, doc, p)
+    if not len(first):
+        return
+    text, begin = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
+    strings = [text[x:y] for x, y in zip(begin[first].tolist(), (begin[last + p.k] - 1).tolist())]
+    rows = []
+    if (burning := np.isin(mini, hot)).any():
+        many = (last - first + 1)[burning]
+        at = np.arange(many.sum()) + np.repeat(first[burning] - (np.cumsum(many) - many), many)
+        one, two = (x[at] for x in two_hashes(h, p.k))
+        own = doc[at]
+        place = at - np.searchsorted(doc, own) + offset[own]
+        gone = _apart(one, two, id_[own])
+        run, count = ranges.joined_runs(gone, at, own)
+        rows += ranges.packed(id_[own][run], keys[own][run], place[run], count, n_buckets)
+        rows += ranges.windows(one[~gone], two[~gone], id_[own][~gone], keys[own][~gone], place[~gone], n_buckets)
+        first, last, mini = first[~burning], last[~burning], mini[~burning]
+        strings = [s for s, x in zip(strings, burning.tolist()) if not x]
+    d = doc[first]
+    start = first - np.searchsorted(doc, d) + offset[d]
+    # of equal strings those in a later document than the first go at once
+    seen: dict[bytes, int] = {}
+    owner = np.fromiter(map(seen.setdefault, strings, id_[d].tolist()), np.int64, len(strings))
+    gone = owner < id_[d]
+    rows += ranges.packed(id_[d][gone], keys[d][gone], start[gone], (last - first + 1)[gone], n_buckets)
+    bucket = (common.mix(mini) % U64(n_buckets)).astype(np.int32)
+    stay = np.flatnonzero(~gone)
+    stay = stay[np.argsort(bucket[stay], kind="stable")]
+    cuts = np.flatnonzero(np.diff(bucket[stay])) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(stay)]):
+        if lo == hi:
             continue
-        text, begin = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
-        strings = [text[x:y] for x, y in zip(begin[first].tolist(), (begin[last + p.k] - 1).tolist())]
-        id_, keys = id_[by_id], np.array(keys, np.uint64)
-        rows = []
-        if (burning := np.isin(mini, hot)).any():
-            many = (last - first + 1)[burning]
-            at = np.arange(many.sum()) + np.repeat(first[burning] - (np.cumsum(many) - many), many)
-            one, two = (x[at] for x in two_hashes(h, p.k))
-            own = doc[at]
-            place = at - np.searchsorted(doc, own)
-            gone = _apart(one, two, id_[own])
-            rows += ranges.packed(id_[own][gone], keys[own][gone], place[gone], np.ones(int(gone.sum()), np.int64), n_buckets)
-            rows += ranges.windows(one[~gone], two[~gone], id_[own][~gone], keys[own][~gone], place[~gone], n_buckets)
-            first, last, mini = first[~burning], last[~burning], mini[~burning]
-            strings = [s for s, x in zip(strings, burning.tolist()) if not x]
-        d = doc[first]
-        start = first - np.searchsorted(doc, d)
-        # of equal strings those in a later document than the first go at once
-        seen: dict[bytes, int] = {}
-        owner = np.fromiter(map(seen.setdefault, strings, id_[d].tolist()), np.int64, len(strings))
-        gone = owner < id_[d]
-        rows += ranges.packed(id_[d][gone], keys[d][gone], start[gone], (last - first + 1)[gone], n_buckets)
-        bucket = (common.mix(mini) % U64(n_buckets)).astype(np.int32)
-        stay = np.flatnonzero(~gone)
-        stay = stay[np.argsort(bucket[stay], kind="stable")]
-        cuts = np.flatnonzero(np.diff(bucket[stay])) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(stay)]):
-            if lo == hi:
-                continue
-            own = stay[lo:hi]
-            meta = common.pack(id_[d[own]], keys[d[own]], start[own].astype(np.int32))
-            body = common.zip_bytes(b"\n".join([strings[i] for i in own.tolist()]))
-            rows.append((ranges.STRINGS, int(bucket[own[0]]), len(own), len(meta).to_bytes(4, "little") + meta + body))
-        yield ranges.batch(rows)
+        own = stay[lo:hi]
+        meta = common.pack(id_[d[own]], keys[d[own]], start[own].astype(np.int32))
+        body = common.zip_bytes(b"\n".join([strings[i] for i in own.tolist()]))
+        rows.append((ranges.STRINGS, int(bucket[own[0]]), len(own), len(meta).to_bytes(4, "little") + meta + body))
+    yield ranges.batch(rows)
 
 
 def _count(t: pa.Table, p: SuperKmers, n_buckets: int) -> pa.Table:

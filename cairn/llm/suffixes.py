@@ -117,43 +117,49 @@ def _send(batches: Iterable[pa.RecordBatch], p: Suffixes, n_buckets: int, hot: n
         order = np.lexsort((keys, id_))
         _, once = np.unique(np.stack([id_[order], keys[order].view(np.int64)]), axis=1, return_index=True)
         order = order[np.sort(once)]
-        text = b"".join([raws[i] for i in order.tolist()])
-        id_, keys = id_[order], keys[order]
-        bounds = np.cumsum([0, *(len(raws[i]) for i in order.tolist())])
-        del raws
-        first, last, anchor, off = cut(np.frombuffer(text, np.uint8), bounds, p)
-        if not len(first):
+        raws, id_, keys = [raws[i] for i in order.tolist()], id_[order], keys[order]
+        for group in ranges.parts([len(r) for r in raws], p.chunk, p.depth - 1):
+            own, at, _ = (np.array(c, np.int64) for c in zip(*group))
+            yield from _cut_and_pack([raws[i][x:y] for i, x, y in group], id_[own], keys[own], at, p, n_buckets, hot)
+
+
+def _cut_and_pack(texts: list[bytes], id_: np.ndarray, keys: np.ndarray, offset: np.ndarray, p: Suffixes, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows for texts, or pieces of them that begin at `offset`, in order of position."""
+    text, bounds = b"".join(texts), np.cumsum([0, *map(len, texts)])
+    first, last, anchor, off = cut(np.frombuffer(text, np.uint8), bounds, p)
+    if not len(first):
+        return
+    rows = []
+    if (burning := np.isin(anchor, hot)).any():
+        many = (last - first + 1)[burning]
+        at = np.arange(many.sum()) + np.repeat(first[burning] - (np.cumsum(many) - many), many)
+        x = loads(np.frombuffer(text + bytes(8), np.uint8))
+        one, two, own = hashed(x, at, p.depth), hashed(x ^ U64(0x5851F42D4C957F2D), at, p.depth), np.searchsorted(bounds, at, "right") - 1
+        order = np.lexsort((at, two, one))  # texts lie in order of position
+        gone = np.empty(len(at), bool)
+        gone[order] = ranges.groups(one[order], two[order]) != np.arange(len(at))
+        place = at - bounds[own] + offset[own]
+        run, count = ranges.joined_runs(gone, at, own)
+        rows += ranges.packed(id_[own][run], keys[own][run], place[run], count, n_buckets)
+        rows += ranges.windows(one[~gone], two[~gone], id_[own][~gone], keys[own][~gone], place[~gone], n_buckets)
+        first, last, anchor, off = (c[~burning] for c in (first, last, anchor, off))
+    d = np.searchsorted(bounds, first, "right") - 1
+    strings = [text[x:y] for x, y in zip(first.tolist(), (last + p.depth).tolist())]
+    seen: dict[bytes, int] = {}
+    gone = np.fromiter(map(seen.setdefault, strings, range(len(strings))), np.int64, len(strings)) != np.arange(len(strings))
+    start = first - bounds[d] + offset[d]
+    rows += ranges.packed(id_[d][gone], keys[d][gone], start[gone], (last - first + 1)[gone], n_buckets)
+    bucket = (common.mix(anchor) % U64(n_buckets)).astype(np.int32)
+    stay = np.flatnonzero(~gone)
+    stay = stay[np.argsort(bucket[stay], kind="stable")]
+    cuts = np.flatnonzero(np.diff(bucket[stay])) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(stay)]):
+        if lo == hi:
             continue
-        rows = []
-        if (burning := np.isin(anchor, hot)).any():
-            many = (last - first + 1)[burning]
-            at = np.arange(many.sum()) + np.repeat(first[burning] - (np.cumsum(many) - many), many)
-            x = loads(np.frombuffer(text + bytes(8), np.uint8))
-            one, two, own = hashed(x, at, p.depth), hashed(x ^ U64(0x5851F42D4C957F2D), at, p.depth), np.searchsorted(bounds, at, "right") - 1
-            order = np.lexsort((at, two, one))  # texts lie in order of position
-            gone = np.empty(len(at), bool)
-            gone[order] = ranges.groups(one[order], two[order]) != np.arange(len(at))
-            place = at - bounds[own]
-            rows += ranges.packed(id_[own][gone], keys[own][gone], place[gone], np.ones(int(gone.sum()), np.int64), n_buckets)
-            rows += ranges.windows(one[~gone], two[~gone], id_[own][~gone], keys[own][~gone], place[~gone], n_buckets)
-            first, last, anchor, off = (c[~burning] for c in (first, last, anchor, off))
-        d = np.searchsorted(bounds, first, "right") - 1
-        strings = [text[x:y] for x, y in zip(first.tolist(), (last + p.depth).tolist())]
-        seen: dict[bytes, int] = {}
-        gone = np.fromiter(map(seen.setdefault, strings, range(len(strings))), np.int64, len(strings)) != np.arange(len(strings))
-        start = first - bounds[d]
-        rows += ranges.packed(id_[d][gone], keys[d][gone], start[gone], (last - first + 1)[gone], n_buckets)
-        bucket = (common.mix(anchor) % U64(n_buckets)).astype(np.int32)
-        stay = np.flatnonzero(~gone)
-        stay = stay[np.argsort(bucket[stay], kind="stable")]
-        cuts = np.flatnonzero(np.diff(bucket[stay])) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(stay)]):
-            if lo == hi:
-                continue
-            own = stay[lo:hi]
-            meta = common.pack(id_[d[own]], keys[d[own]], start[own].astype(np.int32), (last - first + p.depth)[own].astype(np.int32), off[own])
-            rows.append((ranges.STRINGS, int(bucket[own[0]]), len(own), len(meta).to_bytes(4, "little") + meta + common.zip_bytes(b"".join([strings[i] for i in own.tolist()]))))
-        yield ranges.batch(rows)
+        own = stay[lo:hi]
+        meta = common.pack(id_[d[own]], keys[d[own]], start[own].astype(np.int32), (last - first + p.depth)[own].astype(np.int32), off[own])
+        rows.append((ranges.STRINGS, int(bucket[own[0]]), len(own), len(meta).to_bytes(4, "little") + meta + common.zip_bytes(b"".join([strings[i] for i in own.tolist()]))))
+    yield ranges.batch(rows)
 
 
 def suffix_array(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, neardup, ranges, substrings, suffixes
+from cairn.llm import decontaminate, langid, licenses, neardup, packing, quality, ranges, substrings, suffixes, toxicity
 
 
 def near_copies():
@@ -91,6 +91,61 @@ def test_hot_passages_are_dealt_by_windows(spark, op, hot):
     assert sorted(map(tuple, out.select(*cols).collect()), key=repr) == sorted([*plain, plain[7]], key=repr)
 
 
+def test_parts_overlap():
+    for lengths, size, overlap in (([], 5, 2), ([0, 3, 12, 1], 5, 2), ([30], 7, 4), ([4, 4, 4], 5, 0)):
+        groups = list(ranges.parts(lengths, size, overlap))
+        seen = [(i, s) for g in groups for i, x, y in g for s in range(x, y - overlap)]
+        assert sorted(seen) == [(i, s) for i, n in enumerate(lengths) for s in range(n - overlap)] and {i for g in groups for i, *_ in g} == set(range(len(lengths)))
+        assert all(sum(y - x for _, x, y in g) <= 2 * size + overlap for g in groups)
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """A text of 20 MB with one string three times, the last beyond 2**24, another text of blanks and lines alone, and a
+    short one with the string."""
+    g = np.random.default_rng(3)
+    words = [f"{x:07x}" for x in g.integers(0, 1 << 28, 2_500_000).tolist()]
+    planted = " ".join(f"p{i:06x}" for i in range(40))
+    text = " ".join(words)
+    for at in (8 * 1000, 8 * 25_000, 8 * 2_200_000):
+        text = text[:at] + planted + " " + text[at:]
+    return planted, [(1, text), (2, " " * 3_000_000), (3, f"before {planted} after"), (4, "-" * 2_000_000), (5, None)]
+
+
+def test_long_texts(spark, long_rows):
+    planted, rows = long_rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(rows[0][1]) > 20_000_000 and rows[0][1].rfind(planted) > 1 << 24
+    n = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.deduplicate(docs, kept=False).collect()}
+    size = len(planted) + 1  # and the blank on one side, where the neighbours' characters differ
+    assert n[1][0] == len(rows[0][1]) and n[1][2] == 2 and 2 * len(planted) <= n[1][1] <= 2 * (size + 3)
+    assert n[2] == (3_000_000, 3_000_000 - 1, 1) and n[4] == (2_000_000, 2_000_000 - 1, 1) and n[5] == (0, 0, 0)
+    assert len(planted) <= n[3][1] <= size + 2
+    w = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.deduplicate(docs, text=False).collect()}
+    assert w == {1: (2_500_000 + 120, 0), 2: (0, 0), 3: (42, 40), 4: (1, 0), 5: (0, 0)}
+    links = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.connected(docs)[0].collect()}
+    assert links[1][0] > 2_400_000 and links[3] == (38, 3) and links[5] == (0, 5)
+
+
+def test_long_texts_of_all_other_operators(spark, long_rows):
+    planted, rows = long_rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, planted)], "item_id long, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.report(docs, items).collect()}
+    assert hits == {1: (2_500_120, 120), 2: (0, 0), 3: (42, 40), 4: (0, 0), 5: (0, 0)}
+    led = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.ledger(docs).collect()}
+    assert led[1] == (2_500_120, 120) and led[2] == (0, 0)
+    parts = packing.pieces(docs, packing.default_tokenizer()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("most")).collect()
+    assert len(parts) == 5 and all(r.most <= 1024 for r in parts) and max(r.n for r in parts) > 5_000_000
+    tongues = {"a": langid.counts("the cat sat on the mat")[0], "b": langid.counts("le chat dort")[0]}
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, tongues).collect()}[2] == "und"
+    whole = langid.counted(langid.grams(rows[2][1] * 50))
+    cut = [langid.counted(np.concatenate([langid.grams(x) for x in langid.slices(rows[2][1] * 50, size)])) for size in (1, 7, 100)]
+    assert all((whole[0] == u).all() and (whole[1] == n).all() for u, n in cut)
+    assert {r.n_words for r in licenses.detect(docs).collect()} == {2_500_120, 0, 42}
+    assert toxicity.score(docs, toxicity.train([("bad", 1), ("good", 0)] * 50)).count() == 5
+
+
 def test_argmin_has_no_limit_of_places():
     a = np.random.default_rng(1).integers(0, 1 << 63, 3000, np.int64).astype(np.uint64)
     for bits in (5, 8, 24):
