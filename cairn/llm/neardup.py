@@ -337,16 +337,25 @@ def _unique(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 BROADCAST_LISTS = 1 << 20
 
 
+def _sized(lists: DataFrame) -> DataFrame:
+    """A stored table with a row for some lists, to be joined by key."""
+    return F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists
+
+
+def in_parts(keys: DataFrame, most: int) -> DataFrame:
+    """keys with `parts`, one for each `most` classes of a list, and `g`, the class's own.  Lists of one part are all
+    but a few, so only the few long ones are joined."""
+    long = common.stored(keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > most))
+    if long.isEmpty():
+        return keys.withColumns({"parts": F.lit(1), "g": F.lit(0)})
+    parts = F.ceil(F.coalesce("k", F.lit(1)) / most).cast("int")
+    return keys.join(_sized(long), "key", "left").withColumn("parts", parts).withColumn("g", F.pmod(F.xxhash64("sig"), "parts").cast("int")).drop("k")
+
+
 def first_candidates(keys: DataFrame, p: Join) -> DataFrame:
     """Distinct pairs of classes that stand beside each other in a list, or at its head.  A list of more than
     `walk` classes is walked in parts."""
-    long = common.stored(keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > p.walk))
-    n = long.count()
-    dealt = keys.select("key", "n", "r", "sig").withColumn("g", F.lit(0))
-    if n:
-        known = dealt.join(F.broadcast(long) if n <= BROADCAST_LISTS else long, "key", "left")
-        parts = F.ceil(F.coalesce("k", F.lit(1)) / p.walk)
-        dealt = known.withColumn("g", F.pmod(F.xxhash64("sig"), parts).cast("int"))
+    dealt = in_parts(keys.select("key", "n", "r", "sig"), p.walk)
     return dealt.repartition("key", "g").sortWithinPartitions("key", "g", "n", "sig").mapInArrow(lambda it: _first_pairs(it, p), PAIR_DDL).distinct()
 
 
@@ -385,11 +394,9 @@ def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def blocks(keys: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
-    """Lists of two classes or more as rows (key, i, j, g, n, r, sig, root, bits): of a list split into blocks, each
-    pair (i, j) of blocks, with the own one of each class as g."""
-    many = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    parts = F.ceil(F.col("k") / p.block).cast("int")
-    own = keys.select("key", "n", "r", "sig", "root").join(many.select("key", parts.alias("parts")), "key").withColumn("g", F.pmod(F.xxhash64("sig"), "parts").cast("int"))
+    """Lists as rows (key, i, j, g, n, r, sig, root, bits): of a list split into blocks, each pair (i, j) of blocks, with
+    the own one of each class as g."""
+    own = in_parts(keys.select("key", "n", "r", "sig", "root"), p.block)
     each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return each.select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "n", "r", "sig", "root").join(sets.select("sig", "bits"), "sig")
 
@@ -521,7 +528,7 @@ def connected(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
         largest = open_.agg(F.max("largest")).first()[0]
         if largest is None:
             break
-        some = labelled.join(open_.select("key"), "key")
+        some = labelled.join(_sized(open_.select("key")), "key")
         if most is not None:  # which ones, the hash of key and set says, so that lists of the same sets try different ones
             some = some.withColumn("i", F.row_number().over(Window.partitionBy("key", "root").orderBy(F.xxhash64("key", "sig"), "sig"))).where(F.col("i") <= most).drop("i")
         now = common.stored(all_candidates(some, sets, p).join(tried, ["a", "b"], "left_anti"))
