@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from cairn.session import spread
+
 from . import text as tx
 from .vectors import normalise
 
@@ -53,7 +55,7 @@ def vocabulary(docs: DataFrame, text: str = "text", stop: list[str] | None = tx.
     exchange by token, after partial sums, is enough."""
     tokens = F.array_sort(tx.tokens(F.col(text), stop))
     marked = F.transform("tokens", lambda w, i: F.struct(w.alias("token"), F.when((i == 0) | (w != F.get("tokens", i - 1)), 1).otherwise(0).alias("first")))
-    each = docs.select(tokens.alias("tokens")).select(F.explode(marked).alias("x")).select("x.token", "x.first")
+    each = spread(docs.select(text)).select(tokens.alias("tokens")).select(F.explode(marked).alias("x")).select("x.token", "x.first")
     return each.groupBy("token").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 

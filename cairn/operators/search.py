@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors
+from cairn.session import spread
 
 DEFAULT_K = 5
 #: Blocks of queries are broadcast up to this many bytes; beyond it the blocks are joined by shuffle.
@@ -149,8 +150,9 @@ def top_k_terms(queries: list[tuple[int, str]], docs: DataFrame, k: int, stop: S
             blocks, held = [*blocks, []], 0
         blocks[-1].append((q, n))
         held += len(n)
+    texts = spread(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")))
     for block in [b for b in blocks if b]:
-        out = out.unionByName(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_term_scorer(block, k, stop, digits), schema))
+        out = out.unionByName(texts.mapInArrow(_term_scorer(block, k, stop, digits), schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -31,6 +31,13 @@ def discard(spark: SparkSession) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where it has fewer partitions than there are cores (a small file is often read by one
+    task); larger inputs are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor
     costs a re-read, and several consumers share one computation."""
