@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,15 +86,15 @@ def _wordlike(w: bytes) -> bool:
     return not w[:3].isdigit() and (w[:1].isalnum() or w[0] > 127 or w[1:2].isalpha())
 
 
-def _measures(texts):  # noqa: ANN001, ANN202  pandas UDFs take their kind from hints that postponed evaluation hides
-    import pandas as pd
-
-    return pd.DataFrame([measure(t) for t in texts], columns=MEASURES, dtype="int64")
+def _measures(texts: pa.Array) -> pa.Array:
+    """The measurements of each text; one text at a time is a Python string."""
+    rows = np.array([measure(t.as_py()) for t in texts], np.int64).reshape(-1, len(MEASURES))
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(MEASURES))], list(MEASURES))
 
 
 def _judged(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """docs (columns `row` and `text`) as row, the measurements, and `failed`."""
-    measured = F.pandas_udf(_measures, ", ".join(f"{m} long" for m in MEASURES))(F.col("text"))
+    measured = F.arrow_udf(_measures, ", ".join(f"{m} long" for m in MEASURES))(F.col("text"))
     failed = F.lit(0).cast("long")
     for r in rules:
         failed = failed.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))

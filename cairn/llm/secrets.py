@@ -195,7 +195,7 @@ def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     then by the order of the rules."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     grams = sorted(set().union(*map(trigrams, queries.values())))
-    keyed = docs.select(F.struct(*[c for c in docs.columns if c != "found"]).alias("row"), "text", _key().alias("own"))
+    keyed = docs.drop("found").select(F.struct("*").alias("row"), "text", _key().alias("own"))
     if not grams:
         return _searched(keyed.withColumn("kinds", F.array().cast("array<string>")), rules, queries)
     hits = common.stored(candidates(build_index(docs, grams), rules))

@@ -67,9 +67,9 @@ def test_awkward_tables(spark):
     text = " ".join(f"word{i} of" for i in range(40))
     odd = spark.createDataFrame([(None, text, None, None, None), (None, None, "en", "s", 1), (7, text + " more", "en", "s", 1), (7, text + " more", "en", "s", 1), (8, "", None, None, 0)], docs.schema)
     for given, n in ((docs.where("false"), 0), (odd, 3)):
-        step = given.withColumns({"found": F.lit("x"), "h": F.lit(1), "__t": F.lit(2)})
+        step = given.withColumns({"found": F.lit("x"), "h": F.lit(1), "__t": F.lit(2), "row": F.lit(3), "a.b": F.lit(4), "failed": F.lit(5), "n_words": F.lit("y")})
         for name, stage in corpus_pipeline.STAGES:
             step = common.stored(stage(spark, step, SF))
             if name != "best_fit_packing":
-                assert step.columns == [*docs.columns, "found", "h", "__t"] and step.count() == n, name
+                assert step.columns == [*docs.columns, "found", "h", "__t", "row", "a.b", "failed", "n_words"] and step.count() == n, name
         assert step.select("doc_id").distinct().count() == min(n, 2)
