@@ -13,6 +13,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,7 +194,7 @@ def draft(replies: DataFrame) -> DataFrame:
     return replies.select("id", F.coalesce(subject, F.lit("(no subject)")).alias("subject"), F.when(good, F.trim(F.coalesce(j["body"], e))).otherwise(F.trim("raw")).alias("body"))
 
 
-CONFIG = {"allowed": [], "k": search.DEFAULT_K, "days": 10, "limit": 15}
+CONFIG = {"allowed": [], "k": search.DEFAULT_K, "days": 10, "limit": 15, "folders": list(assistant.FOLDERS), "apps": list(assistant.APPS)}
 
 
 def config(home: str) -> dict:
@@ -212,11 +213,14 @@ def init(home: str) -> dict:
 
 
 def loaded(name: str | None) -> Callable | None:
-    """The callable that `module:function` names."""
+    """The callable that `module:function` names; its module goes to workers by value, so it need not be installed
+    there."""
     if not name:
         return None
     module, _, function = name.partition(":")
-    return getattr(importlib.import_module(module), function)
+    found = importlib.import_module(module)
+    cloudpickle.register_pickle_by_value(found)
+    return getattr(found, function)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -233,14 +237,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     v.add_argument("question", nargs="+")
     v.add_argument("--yes", action="store_true", help="send it, and record that")
     sub.add_parser("stats")
-    for verb in ("scan-mail", "today-fast", "brief"):
+    sub.add_parser("route").add_argument("command", nargs="+")
+    for verb in ("scan-mail", "today-fast", "brief", "full-run"):
         v = sub.add_parser(verb)
         v.add_argument("--mails", required=True, help="raw messages, one JSON document a line")
         v.add_argument("--calendar", required=True, help="raw events, one JSON document a line")
         v.add_argument("--now", required=True, help="such as 2024-01-05T08:00:00")
-        if verb == "scan-mail":
+        if verb in ("scan-mail", "full-run"):
             v.add_argument("--deep", action="store_true", help="without the filter by words")
             v.add_argument("--answer", default="none", help="all, none or numbers such as 1,3")
+        if verb == "full-run":
+            v.add_argument("--speaker", help="module:function, which answers the prompt of the briefing")
     a = p.parse_args(argv)
     if a.verb == "init":
         print(json.dumps(init(a.home)))
@@ -261,6 +268,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.yes:
             ingest.append_audit(ingest.cloud_send(rows, a.model or "none"), f"{a.home}/audit")
             print(model(" ".join(a.question)) if model else "")
+    elif a.verb == "route":
+        said = spark.createDataFrame([(" ".join(a.command),)], "t string")
+        print(json.dumps(said.select(assistant.intent(F.col("t"), tuple(known["folders"]), tuple(known["apps"])).alias("i")).select("i.*").first().asDict()))
     elif a.verb == "stats":
         at = versions(spark, a.home)
         print(json.dumps({"version": at, "files": read_or_empty(spark, f"{a.home}/{at}/files", SNAPSHOT).count(), "chunks": read_or_empty(spark, f"{a.home}/{at}/chunks", CHUNKS).count()}))
@@ -280,6 +290,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(*(r["text"] for r in listing(found).collect()), sep="\n")
             for r in approved(found, a.answer).toLocalIterator():
                 print(json.dumps(r.asDict()))
+            if a.verb == "full-run":
+                print(brief(calendar, mails, a.now, loaded(a.speaker)))
     return 0
 
 

@@ -119,8 +119,11 @@ def test_verbs(spark, tmp_path, capsys):
     assert "1. 10:30 Interview with Ines" in out and "1. 2024-01-09 tax" in out and "mail:\n1. Interview with Ines\n" in out and "holiday" not in out and "Get ready for Interview" in out
     assert run("--model", "test_app:said", "brief", *sources) == "a day with 3 lines\n"
     assert run("scan-mail", *sources) == "\n"  # nothing is cached, and there is no model
-    got = run("--model", "test_app:replies", "scan-mail", *sources, "--answer", "1")
-    assert "1. Interview with Ines  (meeting, confidence 0.90)\n    When: 2024-01-06 11:00-12:00\n    Where: room 4" in got and "May repeat: a" in got
+    got = run("--model", "test_app:replies", "scan-mail", *sources, "--answer", "2")
+    assert "2. Interview with Ines  (meeting, confidence 0.90)\n    When: 2024-01-06 11:00-12:00\n    Where: room 4" in got and "May repeat: a" in got
     assert json.loads(got.strip().splitlines()[-1])["end"] == "2024-01-06T12:00:00" and "old meeting" in got
     assert run("--model", "test_app:replies", "scan-mail", *sources, "--deep").count("When:") == 12
     assert "Interview" in run("scan-mail", *sources)  # from the cache
+    full = run("full-run", *sources, "--speaker", "test_app:said")
+    assert "2. Interview with Ines" in full and full.endswith("a day with 3 lines\n")
+    assert json.loads(run("route", "open", "the", "editor")) == {"name": "open_app", "arg": "editor", "recipient": None, "message": None}
