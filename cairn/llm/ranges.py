@@ -84,24 +84,29 @@ def groups(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 def heavy(docs: DataFrame, sizes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], chunk: int, hot: int) -> np.ndarray:
     """Sorted 64-bit keys for which `sizes` (keys and bytes of a chunk's strings) sums up to `hot` bytes or more
-    over all documents.  Tasks add up their own and tell the sums of `hot` / 4096 or more, so what a key has
-    beyond its sum is less than that for each task.  At most MOST keys come back; were there more, the bound
+    over all documents.  Tasks add up a million strings at a time and tell the sums of `hot` / 4096 or more, so
+    what a key has beyond its sum is less than that for each million.  At most MOST keys come back; were there more, the bound
     would be raised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, n = [], 0
         for b in common.chunks(batches, chunk):
-            k, s = sizes(b)
-            held, at = np.unique(np.concatenate([held, k]), return_inverse=True)
-            size = np.bincount(at, np.concatenate([size, s]), len(held)).astype(np.int64)
-            if len(held) > 1 << 20:
-                yield out(held, size)
-                held, size = held[:0], size[:0]
-        yield out(held, size)
-
-    def out(held: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        ok = size >= max(1, hot // 4096)
-        return pa.record_batch([pa.array(held[ok].view(np.int64)), pa.array(size[ok])], names=["key", "size"])
+            held.append(sizes(b))
+            n += len(held[-1][0])
+            if n > 1 << 20:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, size = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(keys)
+        keys = keys[order]
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        total = np.add.reduceat(size[order], head).astype(np.int64) if len(head) else np.empty(0, np.int64)
+        ok = total >= max(1, hot // 4096)
+        return pa.record_batch([pa.array(keys[head][ok].view(np.int64)), pa.array(total[ok])], names=["key", "size"])
 
     told = docs.select("doc_id", "text").mapInArrow(run, "key long, size long").groupBy("key").agg(F.sum("size").alias("size"))
     sums = common.stored(told.where(F.col("size") >= hot))

@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,15 +74,23 @@ def sliding_argmin(a: np.ndarray, w: int, bits: int) -> np.ndarray:
     return out
 
 
-def super_kmers(words: list[bytes], h: np.ndarray, doc: np.ndarray, p: SuperKmers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flat(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of all texts one behind the other, where each begins if one blank stands between two (and where the
+    next would), and each one's text."""
+    words = list(chain.from_iterable(texts))
+    begin = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=begin[1:])
+    return words, begin, np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+
+
+def super_kmers(begin: np.ndarray, h: np.ndarray, doc: np.ndarray, p: SuperKmers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window and minimiser of each super-k-mer of the documents whose words stand
-    one behind the other; h has their hashes and doc each word's document."""
-    n = len(words) - p.k + 1
+    one behind the other; begin and doc are as `flat` has them, and h has the words' hashes."""
+    n = len(h) - p.k + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, U64),)
     gram = common.window_hash(h, p.m)
-    size = np.cumsum([0, *map(len, words)])
-    frequent = (size[p.m :] - size[: -p.m]) < 4 * p.m
+    frequent = (begin[p.m :] - begin[: -p.m]) < 5 * p.m
     key = gram >> U64(1)
     key[frequent] |= U64(1) << U64(63)
     at = sliding_argmin(key, p.k - p.m + 1, p.bits)
@@ -102,9 +111,8 @@ def two_hashes(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _sizes(b: pa.RecordBatch, p: SuperKmers) -> tuple[np.ndarray, np.ndarray]:
     """Minimisers of a chunk's super-k-mers, and their bytes."""
     texts = [(t.as_py() or "").encode().split() for t in b.column("text")]
-    words = [w for t in texts for w in t]
-    first, last, mini = super_kmers(words, common.hash_words(words), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), p)
-    begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+    words, begin, doc = flat(texts)
+    first, last, mini = super_kmers(begin, common.hash_words(words), doc, p)
     return mini, begin[last + p.k] - begin[first] if len(first) else np.empty(0, np.int64)
 
 
@@ -132,13 +140,12 @@ def _send(batches: Iterable[pa.RecordBatch], p: SuperKmers, n_buckets: int, hot:
 
 def _cut_and_pack(texts: list[list[bytes]], id_: np.ndarray, keys: np.ndarray, offset: np.ndarray, p: SuperKmers, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows for the words of texts, or of pieces of them that begin at `offset`, in order of ids."""
-    words = [w for t in texts for w in t]
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    words, begin, doc = flat(texts)
     h = common.hash_words(words)
-    first, last, mini = super_kmers(words, h, doc, p)
+    first, last, mini = super_kmers(begin, h, doc, p)
     if not len(first):
         return
-    text, begin = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
+    text = b" ".join(words)
     strings = [text[x:y] for x, y in zip(begin[first].tolist(), (begin[last + p.k] - 1).tolist())]
     rows = []
     if (burning := np.isin(mini, hot)).any():
