@@ -23,6 +23,8 @@ Stages:
    list, or of its part of a long list; once these links are known, a few of each component in a list with
    those of the others; at last each pair of a list that is not connected yet and still in reach, long
    lists in blocks again.  So a group of n near copies costs about n candidates.
+   Near copies share most of their lists.  A class carries its least signatures, and a list leaves a pair to
+   the list of a lesser one that both carry; the least that two share has none, so no pair is lost.
 5. Components, by small and large stars.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a null doc_id
@@ -55,8 +57,9 @@ class Join:
     2**b to 2**(b+1) tokens splits the frequent class into 2**b / part parts.  members: in the rounds after
     the first, how many of each component that a list holds are compared; a last round compares all
     that is not connected by then, unless no component had more.  walk: classes of a list that one task
-    walks in the first round.  block: classes of a list that one task compares with as many others.  bits: of
-    a fingerprint by which classes go."""
+    walks in the first round.  block: classes of a list that one task compares with as many others.  least: how
+    many of its least signatures a class carries, so that a pair is not made in each list that has it.  bits: of a
+    fingerprint by which classes go."""
 
     width: int = 5
     percent: int = 75
@@ -68,6 +71,7 @@ class Join:
     members: tuple[int, ...] = (2, 16)
     walk: int = 1024
     block: int = 512
+    least: int = 16
     bits: int = 64
 
     def missing(self, n: int) -> int:
@@ -393,25 +397,47 @@ def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     return common.stored(moved.unionByName(top.join(of.select("node"), "node", "left_anti").select("node", "root")))
 
 
+def _least(keys: DataFrame, p: Join) -> DataFrame:
+    """sig and the `least` least keys of each class."""
+    ranked = keys.select("sig", "key").withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("key"))).where(F.col("at") <= p.least)
+    return ranked.groupBy("sig").agg(F.collect_list("key").alias("least"))
+
+
 def blocks(keys: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
-    """Lists as rows (key, i, j, g, n, r, sig, root, bits): of a list split into blocks, each pair (i, j) of blocks, with
-    the own one of each class as g."""
+    """Lists as rows (key, i, j, g, n, r, sig, root, bits, least): of a list split into blocks, each pair (i, j) of blocks,
+    with the own one of each class as g, and the least of the keys that the class has here."""
     own = in_parts(keys.select("key", "n", "r", "sig", "root"), p.block)
     each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return each.select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "n", "r", "sig", "root").join(sets.select("sig", "bits"), "sig")
+    return each.select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "n", "r", "sig", "root").join(sets.select("sig", "bits"), "sig").join(_least(keys, p), "sig")
+
 
+#: Pairs that are looked at together, by sketches and by least keys.
+_PAIRS, _FEWER = 1 << 20, 1 << 16
 
-#: Pairs that are looked at together.
-_PAIRS = 1 << 20
+
+def _elsewhere(key: np.ndarray, least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows a and b, two of one key each, a list of a lesser key has too, by the least keys of both."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), _FEWER):
+        x, y = a[lo : lo + _FEWER], least[b[lo : lo + _FEWER]]
+        for c in range(least.shape[1]):
+            v = least[x, c]
+            out[lo : lo + _FEWER] |= (v < key[x]) & (y == v[:, None]).any(1)
+    return out
 
 
 def _in_reach(t: pa.Table, p: Join) -> Iterator[pa.RecordBatch]:
     """Of whole blocks, rows as `blocks` has them and sorted by key, i, j and n, the pairs (a, b) of different
-    roots that may be similar enough by size, shared tokens and sketches.  A bit that one sketch has and
-    the other lacks is a token that the other set lacks, so sketches bound the intersection from above."""
+    roots that may be similar enough by size, shared tokens and sketches, without those that a list of a lesser key
+    has.  A bit that one sketch has and the other lacks is a token that the other set lacks, so sketches bound the
+    intersection from above.  All of this but the last is the same in each list that has the pair."""
     key, i, j, g, n, r, sig, root = (t.column(c).to_numpy() for c in ("key", "i", "j", "g", "n", "r", "sig", "root"))
     n, r = n.astype(np.int64), r.astype(np.int64)
     bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(-1, SKETCH // 64)
+    held = t.column("least").combine_chunks()
+    count = held.value_lengths().to_numpy()
+    least = np.full((len(key), p.least), np.iinfo(np.int64).max)  # no key is greater
+    least[np.arange(p.least) < count[:, None]] = held.flatten().to_numpy()
     head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     size = np.diff(np.append(head, len(key)))
     after = np.repeat(head + size, size) - np.arange(len(key)) - 1
@@ -427,6 +453,8 @@ def _in_reach(t: pa.Table, p: Join) -> Iterator[pa.RecordBatch]:
         x, y = bits[a], bits[b]
         one, two = r[a] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), r[b] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
         ok = (100 + p.percent) * np.minimum(one, two) >= p.percent * (n[a] + n[b])
+        a, b = a[ok], b[ok]
+        ok = ~_elsewhere(key, least, a, b)
         yield pa.record_batch([pa.array(sig[a[ok]]), pa.array(sig[b[ok]])], names=["a", "b"])
 
 
@@ -531,7 +559,7 @@ def connected(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
         some = labelled.join(_sized(open_.select("key")), "key")
         if most is not None:  # which ones, the hash of key and set says, so that lists of the same sets try different ones
             some = some.withColumn("i", F.row_number().over(Window.partitionBy("key", "root").orderBy(F.xxhash64("key", "sig"), "sig"))).where(F.col("i") <= most).drop("i")
-        now = common.stored(all_candidates(some, sets, p).join(tried, ["a", "b"], "left_anti"))
+        now = common.stored(all_candidates(common.stored(some), sets, p).join(tried, ["a", "b"], "left_anti"))
         more = common.stored(verified(now, sets, p))
         tried = tried.unionByName(now)
         if not more.isEmpty():

@@ -49,6 +49,24 @@ def test_components_of_long_lists_and_equal_fingerprints(spark, p):
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(brute.jaccard(rows), key=repr)
 
 
+@pytest.mark.parametrize("p", [neardup.Join(), neardup.Join(block=7), neardup.Join(frequent=3, part=4)])
+def test_a_pair_is_not_made_in_every_list_that_has_it(spark, p):
+    """Near copies share some thirty lists and more; the pairs that leave the lists are those in reach, few of them twice."""
+    g = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if at != i + 20 else f"x{g.randrange(10**6)}" for at, w in enumerate(base))) for i in range(40)]
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), p)
+    sets, keys = found.where(F.col("kind") == neardup.SET), found.where(F.col("kind") == neardup.KEY).withColumn("root", F.col("sig"))
+    dealt = neardup.blocks(keys, sets, p).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "sig")
+    made = [tuple(sorted(r)) for r in dealt.mapInArrow(lambda it: neardup._block_pairs(it, p), neardup.PAIR_DDL).collect()]
+    by_key = {}
+    for r in keys.collect():
+        by_key.setdefault(r.key, set()).add(r.sig)
+    meet = {(a, b) for sigs in by_key.values() for a in sigs for b in sigs if a < b}
+    assert set(made) == meet and len(meet) == 40 * 39 // 2
+    assert len(made) <= 1.1 * len(meet)
+
+
 @pytest.mark.parametrize("op", ["bytes", "words"])
 def test_places_across_blocks(spark, op):
     """Texts longer than the places that fit beside a hash, with repeats on both sides of the borders."""
